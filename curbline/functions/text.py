@@ -74,11 +74,11 @@ def question_route(question: Column, keywords: list[str] = POLICY_KEYWORDS) -> C
 
 def clean_place(place: Column) -> Column:
     """Tidy a place name typed by a rider: no commas, no word 'station', St. spelled out."""
-    text = F.replace(F.trim(place), F.lit(","), F.lit(""))
+    text = F.replace(place, F.lit(","), F.lit(""))
     text = F.replace(text, F.lit("station"), F.lit(""))
     text = F.replace(text, F.lit("St."), F.lit("Street"))
     text = F.replace(text, F.lit("st."), F.lit("street"))
-    return F.initcap(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.initcap(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def strip_html(html: Column) -> Column:
@@ -91,8 +91,8 @@ def strip_html(html: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ``. ? !`` plus white space, or at line breaks; blank pieces are dropped."""
-    pieces = F.split(text, r"(?<=[.?!])\s+|\n+")
-    trimmed = F.transform(pieces, lambda piece: F.regexp_replace(piece, r"^\s+|\s+$", ""))
+    pieces = F.split(text, r"(?U)(?<=[.?!])\s+|\n+")
+    trimmed = F.transform(pieces, lambda piece: F.regexp_replace(piece, r"(?U)^\s+|\s+$", ""))
     return F.filter(trimmed, lambda piece: F.length(piece) > 0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEEK_HOURS = 168
-HOUR = F.lit(3600)
+HOUR_SECONDS = 3600
 
 
 def dense_hours(counts: DataFrame, value: str) -> DataFrame:
@@ -25,7 +25,7 @@ def with_lags(dense: DataFrame, value: str, lags: tuple[int, ...] = (24, WEEK_HO
 
 
 def hour_index(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / HOUR).cast("long")
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / HOUR_SECONDS).cast("long")
 
 
 def seasonal_differences(counts: DataFrame, value: str, season: int = WEEK_HOURS) -> DataFrame:

@@ -182,7 +182,7 @@ def arrival_pickup_correlation(
 ) -> DataFrame:
     """Correlation of hourly transit arrivals with bike pickups in reach, per station.
 
-    Hours in which at least one of the two happens take part.
+    Hours in which at least one of the two happens take part. NULL where either is constant.
     """
     stops = coverage.unique_stations(transit)
     arrivals = (
@@ -217,9 +217,10 @@ def arrival_pickup_correlation(
     both = arrivals.join(pickups, ["station_id", "ts_hour"], "full").fillna(
         0, ["arrivals", "pickups"]
     )
+    spread = F.stddev_pop("arrivals") * F.stddev_pop("pickups")
     return both.groupBy("station_id").agg(
         F.count("*").alias("hours"),
-        F.corr("arrivals", "pickups").alias("correlation"),
+        F.try_divide(F.covar_pop("arrivals", "pickups"), spread).alias("correlation"),
     )
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from curbline.operators import keyed
 
@@ -54,7 +55,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _score_batches(query_ids: list, query_matrix: np.ndarray, id_name: str, k: int):
+def _score_batches(query_ids: list, query_type: pa.DataType, query_matrix: np.ndarray, id_name: str, k: int):
     unit_queries = _unit(query_matrix)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,7 @@ def _score_batches(query_ids: list, query_matrix: np.ndarray, id_name: str, k: i
             counts = [len(pick) for pick in picks]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([q for q, n in zip(query_ids, counts) for _ in range(n)]),
+                    pa.array([q for q, n in zip(query_ids, counts) for _ in range(n)], type=query_type),
                     batch.column(id_name).take(pa.array(np.concatenate(picks))),
                     pa.array(np.concatenate([row[pick] for row, pick in zip(scores, picks)])),
                 ],
@@ -138,7 +139,10 @@ def cosine_top_k(
         best = vectors.sparkSession.createDataFrame([], schema)
     elif len(shared) <= max_shared:
         task = _score_batches(
-            [row["query_id"] for row in shared], _matrix(row["embedding"] for row in shared), id_name, k
+            [row["query_id"] for row in shared],
+            to_arrow_type(schema["query_id"].dataType),
+            _matrix(row["embedding"] for row in shared),
+            id_name, k,
         )
         best = vectors.mapInArrow(task, schema)
     else:

@@ -480,5 +480,8 @@ def reference_sql(body: str) -> str:
     visit(body)
     if not ordered:
         return body
-    views = "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in ordered)
-    return views + (",\n" + body.removeprefix("WITH ") if body.startswith("WITH ") else "\n" + body)
+    views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in ordered)
+    own = re.match(r"WITH( RECURSIVE)? ", body)
+    if own is None:
+        return f"WITH {views}\n{body}"
+    return f"{own.group().strip()} {views},\n{body[own.end():]}"

@@ -1 +1,274 @@
-"""Placeholder."""
+"""Demand and occupancy models."""
+
+from pyspark.sql import functions as F
+
+from curbline.operators import demand, demand_models, forecast, occupancy
+from curbline.plans.inputs import AS_OF
+from curbline.plans.registry import query
+from curbline.session import cut_lineage
+
+CALENDAR_KEY = ["station_id", "day_of_week", "hour", "is_weekend"]
+
+
+def features(t):
+    return demand.demand_features(t.bike_trips, t.station_info)
+
+
+def mean_models(t):
+    """Two mean predictors as model stand-ins with an exact reference."""
+    rows = features(t).withColumn("y_true", F.col("pickups").cast("double"))
+    by_key = demand_models.mean_predictor(rows, rows, "pickups", CALENDAR_KEY, "station_mean")
+    both = demand_models.mean_predictor(by_key, rows, "pickups", ["hour"], "hour_mean")
+    return demand_models.long_predictions(both, ["station_mean", "hour_mean"], [*CALENDAR_KEY, "station_name"])
+
+
+_MEANS = """
+WITH preds AS (SELECT station_id, station_name, day_of_week, hour, is_weekend, pickups AS y, avg(pickups) OVER (PARTITION BY station_id, day_of_week, hour, is_weekend) AS p1,
+  avg(pickups) OVER (PARTITION BY hour) AS p2 FROM demand),
+metrics AS (SELECT 'station_mean' AS model_name, sqrt(avg(pow(y - p1, 2))) AS rmse FROM preds UNION ALL SELECT 'hour_mean', sqrt(avg(pow(y - p2, 2))) FROM preds)
+"""
+
+
+@query("model_errors", "A-10 U-1 M-6", _MEANS + "SELECT model_name, round(rmse, 6) AS rmse FROM metrics")
+def model_errors(t):
+    return demand_models.model_rmse(mean_models(t)).withColumn("rmse", F.round("rmse", 6))
+
+
+@query(
+    "model_errors_by_join_weight",
+    "J-10 J-11",
+    _MEANS + """
+SELECT m.model_name, round(sqrt(sum(n * sse) / sum(CAST(n AS DOUBLE) * n)), 6) AS rmse FROM
+ (SELECT 'station_mean' AS model_name, count(*) AS n, sum(pow(y - p1, 2)) AS sse FROM preds GROUP BY station_id, day_of_week, hour, is_weekend
+  UNION ALL SELECT 'hour_mean', count(*), sum(pow(y - p2, 2)) FROM preds GROUP BY station_id, day_of_week, hour, is_weekend) m GROUP BY m.model_name""",
+)
+def model_errors_by_join_weight(t):
+    errors = demand_models.group_weighted_rmse(mean_models(t), CALENDAR_KEY)
+    return errors.withColumn("rmse", F.round("rmse", 6))
+
+
+@query(
+    "best_model",
+    "W-2 M-7 U-1",
+    _MEANS + "SELECT model_name, round(rmse, 6) AS rmse FROM metrics QUALIFY rmse = min(rmse) OVER ()",
+)
+def best_model(t):
+    best = demand_models.select_best(demand_models.model_rmse(mean_models(t)))
+    return best.withColumn("rmse", F.round("rmse", 6))
+
+
+_PREDICTED = """
+SELECT station_id, day_of_week, hour, is_weekend, min(station_name) AS station_name, avg(p1) AS predicted_pickups FROM preds GROUP BY station_id, day_of_week, hour, is_weekend"""
+
+
+def predicted(t):
+    chosen = mean_models(t).filter(F.col("model_name") == "station_mean")
+    return demand_models.predicted_table(chosen, "y_pred", "predicted_pickups")
+
+
+@query(
+    "predicted_demand_table",
+    "A-11 M-8",
+    _MEANS + f"SELECT * REPLACE (round(predicted_pickups, 6) AS predicted_pickups) FROM ({_PREDICTED}) q",
+)
+def predicted_demand_table(t):
+    return predicted(t).withColumn("predicted_pickups", F.round("predicted_pickups", 6))
+
+
+@query(
+    "top_predicted_stations",
+    "K-6",
+    _MEANS + f"""
+, slots AS (SELECT step, dayofweek(TIMESTAMP '2024-01-31 00:00:00' + step * INTERVAL '1' HOUR) + 1 AS day_of_week, hour(TIMESTAMP '2024-01-31 00:00:00' + step * INTERVAL '1' HOUR) AS hour FROM range(1, 25) r(step))
+SELECT h.horizon_hours, p.station_id, min(p.station_name) AS station_name, round(sum(predicted_pickups), 6) AS demand,
+  row_number() OVER (PARTITION BY h.horizon_hours ORDER BY round(sum(predicted_pickups), 6) DESC, p.station_id) AS rank
+FROM ({_PREDICTED}) p JOIN slots s ON s.day_of_week = p.day_of_week AND s.hour = p.hour JOIN (SELECT unnest([1, 4, 24]) AS horizon_hours) h ON s.step <= h.horizon_hours
+GROUP BY h.horizon_hours, p.station_id QUALIFY rank <= 10""",
+)
+def top_predicted_stations(t):
+    return demand_models.top_predicted(predicted(t), "predicted_pickups", AS_OF)
+
+
+_SERIES = """
+WITH counts AS (SELECT station_id, date_trunc('hour', snapshot_ts) AS ts_hour, count(*) AS n FROM station_status GROUP BY ALL),
+spine AS (SELECT station_id, unnest(generate_series(min(ts_hour), max(ts_hour), INTERVAL '1' HOUR)) AS ts_hour FROM counts GROUP BY station_id),
+dense AS (SELECT s.station_id, s.ts_hour, coalesce(c.n, 0) AS n FROM spine s LEFT JOIN counts c ON c.station_id = s.station_id AND c.ts_hour = s.ts_hour)
+"""
+
+
+def snapshot_counts(t):
+    return demand.hourly_counts(t.station_status, "station_id", "snapshot_ts", "n")
+
+
+@query(
+    "hourly_lags",
+    "W-4",
+    _SERIES + """
+SELECT station_id, ts_hour, n, coalesce(lag(n, 24) OVER w, -1) AS lag_24, coalesce(lag(n, 168) OVER w, -1) AS lag_168 FROM dense WINDOW w AS (PARTITION BY station_id ORDER BY ts_hour)""",
+)
+def hourly_lags(t):
+    lagged = forecast.with_lags(forecast.dense_hours(snapshot_counts(t), "n"), "n")
+    return lagged.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("lag_24", "lag_168")})
+
+
+_FIT = _SERIES + """
+, diffs AS (SELECT station_id, ts_hour, n - lag(n, 168) OVER w AS d FROM dense WINDOW w AS (PARTITION BY station_id ORDER BY ts_hour)),
+pairs AS (SELECT station_id, ts_hour, d AS y, lag(d) OVER (PARTITION BY station_id ORDER BY ts_hour) AS x FROM diffs),
+fitted AS (SELECT station_id, count(*) AS hours, coalesce(regr_slope(y, x), 0) AS slope, coalesce(regr_intercept(y, x), avg(y)) AS intercept,
+  regr_syy(y, x) / count(*) - coalesce(regr_slope(y, x), 0) * coalesce(regr_slope(y, x), 0) * regr_sxx(y, x) / count(*) AS residual_variance
+  FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY station_id)
+"""
+
+
+@query(
+    "seasonal_fit",
+    "M-5",
+    _FIT + "SELECT station_id, hours, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(residual_variance, 6) AS residual_variance FROM fitted",
+)
+def seasonal_fit(t):
+    params = forecast.fit_seasonal_ar(snapshot_counts(t), "n").filter(F.col("hours") > 0)
+    return params.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "residual_variance")})
+
+
+@query(
+    "seasonal_forecast",
+    "M-5 M-6",
+    _FIT + """
+, past AS (SELECT station_id, ts_hour, lag(n, 168) OVER w AS base, lag(n, 1) OVER w AS last, lag(n, 169) OVER w AS before FROM dense WINDOW w AS (PARTITION BY station_id ORDER BY ts_hour))
+SELECT c.station_id, c.ts_hour, c.n, round(greatest(coalesce(p.base, 0) + coalesce(f.intercept, 0) + coalesce(f.slope, 0) * (coalesce(p.last, 0) - coalesce(p.before, 0)), 0), 6) AS forecast
+FROM counts c JOIN past p ON p.station_id = c.station_id AND p.ts_hour = c.ts_hour LEFT JOIN fitted f ON f.station_id = c.station_id""",
+)
+def seasonal_forecast(t):
+    counts = snapshot_counts(t)
+    params = forecast.fit_seasonal_ar(counts, "n")
+    rows = forecast.one_step_forecast(counts, counts, params, "n", "forecast")
+    return rows.withColumn("forecast", F.round("forecast", 6))
+
+
+@query(
+    "station_mean_features",
+    "M-1 M-3",
+    """
+WITH cells AS (SELECT station_id, hour, sum(pickups) AS s, count(*) AS n FROM demand GROUP BY ALL), o AS (SELECT sum(s) / sum(n) AS m FROM cells),
+st AS (SELECT station_id, (sum(s) + 5.0 * any_value(o.m)) / (sum(n) + 5.0) AS sm FROM cells, o GROUP BY station_id)
+SELECT c.station_id, c.hour, round(st.sm, 6) AS station_mean, round((c.s + 5.0 * st.sm) / (c.n + 5.0), 6) AS station_hour_mean FROM cells c JOIN st ON st.station_id = c.station_id""",
+)
+def station_mean_features(t):
+    means = demand_models.station_means(features(t), "pickups")
+    return means.withColumns({c: F.round(c, 6) for c in ("station_mean", "station_hour_mean")})
+
+
+@query(
+    "holdout_split",
+    "M-1",
+    """
+SELECT ts_hour >= (SELECT max(ts_hour) FROM demand) - INTERVAL '28' DAY AS holdout, count(*) AS n FROM demand GROUP BY 1""",
+)
+def holdout_split(t):
+    train, holdout = demand_models.split_by_time(features(t), 28)
+    flagged = train.withColumn("holdout", F.lit(False)).unionByName(holdout.withColumn("holdout", F.lit(True)))
+    return flagged.groupBy("holdout").agg(F.count("*").alias("n"))
+
+
+_FAMILIES = [demand_models.LINEAR, demand_models.FOREST, demand_models.BOOSTED, demand_models.SERIES]
+
+
+def _scored_holdout(t, label):
+    _, scored = demand_models.compare_families(cut_lineage(features(t)), label)
+    extra = [*CALENDAR_KEY, "station_name"]
+    return demand_models.long_predictions(scored, _FAMILIES, extra)
+
+
+@query("pickup_model_selection", "M-2 M-3 M-4 M-5 M-6 M-7 W-2")
+def pickup_model_selection(t):
+    """Errors of the four families on the same hold-out rows, the best one marked."""
+    errors = cut_lineage(demand_models.model_rmse(_scored_holdout(t, "pickups")))
+    best = demand_models.select_best(errors).select("model_name", F.lit(True).alias("is_best"))
+    return errors.join(best, "model_name", "left").fillna(False, ["is_best"])
+
+
+@query("predicted_dropoffs", "M-2 M-3 M-4 M-5 M-8 A-11")
+def predicted_dropoffs(t):
+    """Demand table from the family with the least hold-out error."""
+    scored = cut_lineage(_scored_holdout(t, "dropoffs"))
+    winner = demand_models.select_best(demand_models.model_rmse(scored)).select("model_name")
+    chosen = scored.join(winner, "model_name", "left_semi")
+    return demand_models.predicted_table(chosen, "y_pred", "predicted_dropoffs")
+
+
+@query("occupancy_features", "M-9 P-5 P-9 P-15 P-16", "SELECT * FROM occupancy")
+def occupancy_features(t):
+    return occupancy.occupancy_features(t.vehicle_positions)
+
+
+_SPLIT = """
+WITH parts AS (SELECT 'train' AS part, * FROM occupancy WHERE ts < TIMESTAMP '2024-01-24 00:00:00' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '67' DAY
+  UNION ALL SELECT 'eval', * FROM occupancy WHERE ts >= TIMESTAMP '2024-01-24 00:00:00')
+"""
+
+
+def _parts(t):
+    rows = occupancy.occupancy_features(t.vehicle_positions)
+    return occupancy.train_rows(rows, AS_OF), occupancy.eval_rows(rows, AS_OF)
+
+
+@query("occupancy_split", "M-10 P-7", _SPLIT + "SELECT part, label, route_id, count(*) AS n FROM parts GROUP BY ALL")
+def occupancy_split(t):
+    train, evaluation = _parts(t)
+    both = train.withColumn("part", F.lit("train")).unionByName(evaluation.withColumn("part", F.lit("eval")))
+    return both.groupBy("part", "label", "route_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "class_weights",
+    "M-11",
+    _SPLIT + """
+SELECT label, count(*) AS n, round((SELECT count(*) FROM parts WHERE part = 'train') / ((SELECT count(DISTINCT label) FROM parts WHERE part = 'train') * count(*)), 6) AS weight
+FROM parts WHERE part = 'train' GROUP BY label""",
+)
+def class_weights(t):
+    train, _ = _parts(t)
+    weighted = occupancy.with_class_weights(train)
+    return weighted.groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("weight"), 6).alias("weight"))
+
+
+@query(
+    "occupancy_metrics",
+    "M-14 U-1",
+    """
+WITH preds AS (SELECT 'by_hour' AS model, label, CASE hour_of_day % 3 WHEN 0 THEN 'FULL' WHEN 1 THEN 'FEW_SEATS_AVAILABLE' ELSE 'MANY_SEATS_AVAILABLE' END AS guess FROM occupancy
+  UNION ALL SELECT 'always_full', label, 'FULL' FROM occupancy),
+labels_ AS (SELECT DISTINCT model, label FROM preds UNION SELECT DISTINCT model, guess FROM preds),
+per AS (SELECT l.model, l.label, count(*) FILTER (WHERE p.label = l.label) AS actual, count(*) FILTER (WHERE p.guess = l.label) AS guessed, count(*) FILTER (WHERE p.label = l.label AND p.guess = l.label) AS hits
+  FROM labels_ l JOIN preds p ON p.model = l.model GROUP BY l.model, l.label),
+pr AS (SELECT *, CASE WHEN guessed > 0 THEN hits / guessed ELSE 0 END AS p, CASE WHEN actual > 0 THEN hits / actual ELSE 0 END AS r FROM per)
+SELECT model, round(sum(hits) / sum(actual), 6) AS accuracy, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+  round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1_score, CAST(sum(actual) AS BIGINT) AS rows FROM pr GROUP BY model""",
+)
+def occupancy_metrics(t):
+    """The evaluation step over two fixed guesses, which has an exact reference."""
+    rows = occupancy.occupancy_features(t.vehicle_positions)
+    levels = F.array(F.lit("FULL"), F.lit("FEW_SEATS_AVAILABLE"), F.lit("MANY_SEATS_AVAILABLE"))
+    guesses = F.array(
+        F.struct(F.lit("by_hour").alias("model"), F.get(levels, F.col("hour_of_day") % 3).alias("predicted_label")),
+        F.struct(F.lit("always_full").alias("model"), F.lit("FULL").alias("predicted_label")),
+    )
+    metrics = occupancy.classification_metrics(occupancy.confusion(rows.select("label", F.inline(guesses))))
+    return metrics.withColumns(
+        {c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1_score")}
+    )
+
+
+@query("occupancy_model_metrics", "M-11 M-12 M-13 M-14")
+def occupancy_model_metrics(t):
+    train, evaluation = _parts(t)
+    models = occupancy.fit_classifiers(cut_lineage(occupancy.with_class_weights(train)))
+    return occupancy.evaluate(models, evaluation)
+
+
+@query("occupancy_probabilities", "M-15")
+def occupancy_probabilities(t):
+    """Class probabilities for the rows of the evaluation days."""
+    train, evaluation = _parts(t)
+    models = occupancy.fit_classifiers(cut_lineage(occupancy.with_class_weights(train)), ["lr"])
+    return occupancy.label_probabilities(models["lr"], occupancy.predict(models["lr"], evaluation))

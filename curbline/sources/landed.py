@@ -177,12 +177,17 @@ def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def complete_archives(spark: SparkSession, root: str) -> DataFrame:
-    """Archives (folders below ``root``) that hold every schedule file."""
-    name = F.regexp_extract("path", r"([^/]+)/([^/]+)\.txt$", 1)
-    file = F.regexp_extract("path", r"([^/]+)/([^/]+)\.txt$", 2)
+    """Archives (folders below ``root``) that hold every schedule file.
+
+    A file may also be a folder of parts under the file's name.
+    """
+    pattern = r"([^/]+)/([^/]+)\.txt(/part-[^/]*)?$"
     return (
         list_objects(spark, root)
-        .select(name.alias("archive"), file.alias("file"))
+        .select(
+            F.regexp_extract("path", pattern, 1).alias("archive"),
+            F.regexp_extract("path", pattern, 2).alias("file"),
+        )
         .filter(F.col("file").isin(*schemas.SCHEDULE_FILES))
         .groupBy("archive")
         .agg(F.countDistinct("file").alias("files"))

@@ -10,7 +10,7 @@ from curbline.operators import keyed
 
 
 def land_partitioned(df: DataFrame, path: str, ts: str) -> None:
-    """Rows as JSON lines below ``dt=/HH=/mm=`` folders of their time."""
+    """Rows as JSON lines below ``dt=/HH=/mm=`` folders of their time, few files per folder."""
     (
         df.withColumns(
             {
@@ -19,6 +19,7 @@ def land_partitioned(df: DataFrame, path: str, ts: str) -> None:
                 "mm": F.date_format(ts, "mm"),
             }
         )
+        .hint("rebalance", "dt", "HH", "mm")
         .write.mode("append")
         .partitionBy("dt", "HH", "mm")
         .json(path)
