@@ -87,7 +87,7 @@ def label_clusters(df: DataFrame, label: str = "cluster_label") -> DataFrame:
     labels = cluster_means(df).select(
         "cluster", _rule(F.col("mean_distance_m"), F.col("mean_bikes_morning")).alias(label)
     )
-    return df.join(labels, "cluster", "left")
+    return df.join(F.broadcast(labels), "cluster", "left")  # k rows
 
 
 def label_by_rank(df: DataFrame, label: str = "rank_label") -> DataFrame:
@@ -100,7 +100,7 @@ def label_by_rank(df: DataFrame, label: str = "rank_label") -> DataFrame:
     labels = cluster_means(df).select(
         "cluster", F.when(rank == 1, DESERT).when(rank == 2, MODERATE).when(rank == 3, SERVED).alias(label)
     )
-    return df.join(labels, "cluster", "left")
+    return df.join(F.broadcast(labels), "cluster", "left")  # k rows
 
 
 def cluster_profile(df: DataFrame, label: str = "rank_label") -> DataFrame:

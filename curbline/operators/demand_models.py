@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curbline.functions import times
 from curbline.operators import forecast, keyed
+from curbline.session import cut_lineage, spread_out
 
 BOOSTING_ROUNDS = 30  # fixed value
 HASH_SLOTS = 4096
@@ -80,7 +81,8 @@ def estimators() -> dict[str, Pipeline]:
         outputCol="_hashed",
     )
     linear = LinearRegression(
-        featuresCol="_hashed", labelCol="y_true", predictionCol=LINEAR, solver="l-bfgs", regParam=1e-4
+        featuresCol="_hashed", labelCol="y_true", predictionCol=LINEAR,
+        solver="l-bfgs", regParam=1e-4, maxIter=25,
     )
     common = {"featuresCol": "_numeric", "labelCol": "y_true", "seed": SEED}
     return {
@@ -210,11 +212,11 @@ def compare_families(
     Returns the fitted models and the scored hold-out rows. ``features`` should be a stored table.
     """
     train, holdout = split_by_time(features, holdout_days)
-    frame = model_frame(train, train, label).persist()
+    frame = spread_out(cut_lineage(model_frame(train, train, label))).persist()
     try:
         models = fit_families(frame)
     finally:
         frame.unpersist()
     params = forecast.fit_seasonal_ar(train, label)
-    scored = score(models, model_frame(holdout, train, label))
-    return models, forecast.one_step_forecast(scored, features, params, label, SERIES)
+    rows = forecast.one_step_forecast(holdout, features, params, label, SERIES)
+    return models, score(models, model_frame(rows, train, label))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import places, text, times
+from curbline.session import spread_out
 
 # Split days, iterations, depth, trees and layer sizes.
 EVAL_DAYS, TRAIN_DAYS = 7, 67
@@ -26,7 +27,7 @@ TREE_DEPTH, PARALLEL_TREES = 6, 4
 HIDDEN_LAYERS = [64, 32]
 
 INPUTS = ["route_id", "current_status", "hour_of_day", "day_of_week", "is_weekend", "lat_bin", "lon_bin"]
-HASH_SLOTS = 256
+HASH_SLOTS = 128
 SEED = 42
 
 
@@ -89,7 +90,8 @@ def with_class_weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
     weights = counts.withColumn("_t", totals).select(
         "label", (F.col("_t.rows") / (F.col("_t.labels") * F.col("_n"))).alias(weight)
     )
-    return rows.join(weights, "label")
+    # One row per label, and labels are a short fixed list of seat levels.
+    return rows.join(F.broadcast(weights), "label")
 
 
 def _prepare() -> list:
@@ -97,7 +99,6 @@ def _prepare() -> list:
         StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
         FeatureHasher(
             inputCols=INPUTS,
-            categoricalCols=["hour_of_day", "day_of_week", "is_weekend"],
             numFeatures=HASH_SLOTS,
             outputCol="_hashed",
         ),
@@ -106,8 +107,9 @@ def _prepare() -> list:
 
 
 def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str, PipelineModel]:
-    """Fit the classifier families on weighted rows; ``rows`` should be persisted.
+    """Fit the classifier families on weighted rows; ``rows`` should be a stored table.
 
+    Route and status are hashed into slots, the other inputs are numbers.
     ``lr`` logistic regression, ``bt`` boosted trees one label against the rest,
     ``rf`` a forest (as ``bt`` gives no probabilities), ``dnn`` a neural network.
     """
@@ -129,7 +131,7 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
             layers=[HASH_SLOTS, *HIDDEN_LAYERS, len(labels)], maxIter=MAX_ITERATIONS, seed=SEED, **common
         ),
     }
-    ready = prepared.transform(rows).drop("_hashed").persist()
+    ready = spread_out(prepared.transform(rows).drop("_hashed")).persist()
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
     try:
         return {

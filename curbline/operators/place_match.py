@@ -36,7 +36,8 @@ def match_places(requests: DataFrame, transit: DataFrame) -> DataFrame:
     Among several the shortest name wins, then the smallest id. Every word of
     the text has to lie inside a word of the name, so a text meets only the
     names that hold its rarest word; a word that most names share is not used
-    unless the text has no other. Equal texts are matched once.
+    unless the text has no other. Equal texts are matched once. The exploded
+    sides are never broadcast: their size is not known when the plan is made.
     """
     cleaned = text.clean_place(F.col("place")).alias("cleaned")
     texts = requests.select(cleaned).distinct().filter(F.length("cleaned") > 0)
@@ -57,8 +58,8 @@ def match_places(requests: DataFrame, transit: DataFrame) -> DataFrame:
         .agg(F.min_by("fragment", F.struct("names", "fragment")).alias("fragment"))
     )
     candidates = (
-        probes.join(fragments.drop("n"), "fragment")
-        .join(names, "word")
+        probes.join(fragments.drop("n").hint("merge"), "fragment")
+        .join(names.hint("merge"), "word")
         .filter(F.contains(F.lower("station_name"), F.lower("cleaned")))
     )
     best = candidates.groupBy("cleaned").agg(

@@ -19,6 +19,7 @@ from curbline.functions import places
 CELL_MARGIN = 1.001  # cells a little wider than the radius, so rounding loses no edge pair
 LEVEL_STEP = 4
 TIE_PLACES = 3
+HALF_DIAGONAL = 0.8661  # of a unit cube, rounded up
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,18 @@ class Metric:
     finest: float
     levels: int
     tie_places: int
+    occupiable: Callable[[list[Column], Column], Column] | None = None
 
 
-SPHERE = Metric(places.haversine_m, places.earth_axes, 3, 250.0, 10, TIE_PLACES)
+def _touches_surface(cell: list[Column], size: Column) -> Column:
+    """Whether a cube of the grid can hold a point of the sphere; most neighbours cannot."""
+    centre = sum((((axis + 0.5) * size) * ((axis + 0.5) * size) for axis in cell), F.lit(0.0))
+    return F.abs(F.sqrt(centre) - places.EARTH_RADIUS_M) <= size * HALF_DIAGONAL + 1.0
+
+
+SPHERE = Metric(
+    places.haversine_m, places.earth_axes, 3, 250.0, 10, TIE_PLACES, _touches_surface
+)
 PLANAR = Metric(places.planar_degrees, places.degree_axes, 2, 0.0025, 11, 9)
 
 
@@ -59,15 +69,23 @@ def _names(metric: Metric) -> list[str]:
     return [f"_g{axis}" for axis in range(metric.dimensions)]
 
 
-def _neighbourhood(df: DataFrame, metric: Metric) -> DataFrame:
-    """Repeat every row for its own cell and all adjacent ones."""
+def _neighbourhood(df: DataFrame, metric: Metric, size: Column | float) -> DataFrame:
+    """Repeat every row for its own cell and all adjacent ones.
+
+    The result must not be broadcast: the planner takes it for as small as its
+    input. Joins on it ask for a merge join, which spills and splits skewed cells.
+    """
     names = _names(metric)
+    size = size if isinstance(size, Column) else F.lit(size)
     steps = product((-1, 0, 1), repeat=metric.dimensions)
     cells = [
         F.struct(*[(F.col(n) + F.lit(s)).alias(n) for n, s in zip(names, step)]) for step in steps
     ]
     kept = [c for c in df.columns if c not in names]
-    return df.select(*kept, F.explode(F.array(*cells)).alias("_cell")).select(*kept, "_cell.*")
+    around = df.select(*kept, F.explode(F.array(*cells)).alias("_cell")).select(*kept, "_cell.*")
+    if metric.occupiable is not None:
+        around = around.filter(metric.occupiable([F.col(n) for n in names], size))
+    return around.hint("merge")
 
 
 def _spread(df: DataFrame, parts: int) -> DataFrame:
@@ -95,7 +113,7 @@ def radius_pairs(
         .withColumnRenamed("lat", "near_lat")
         .withColumnRenamed("lng", "near_lng")
     )
-    probe = _neighbourhood(_replicate(left, spread).withColumns(cells), SPHERE)
+    probe = _neighbourhood(_replicate(left, spread).withColumns(cells), SPHERE, size)
     distance = places.haversine_m(
         F.col("lat"), F.col("lng"), F.col("near_lat"), F.col("near_lng")
     )
@@ -135,15 +153,13 @@ def nearest_site(
     lean = left.select("lat", "lng").distinct()
     layered = right.withColumn("_level", scales).withColumns(cells)
     occupied = layered.select("_level", *names).distinct()
-    probe = _neighbourhood(
-        lean.withColumn("_level", scales).withColumns(cells), metric
-    )
+    probe = _neighbourhood(lean.withColumn("_level", scales).withColumns(cells), metric, size)
     reach = (
         probe.join(occupied, ["_level", *names], "left_semi")
         .groupBy("lat", "lng")
         .agg(F.least(F.min("_level") + 1, F.lit(metric.levels - 1)).alias("_level"))
     )
-    search = _neighbourhood(reach.withColumns(cells), metric)
+    search = _neighbourhood(reach.withColumns(cells), metric, size)
     near = layered.withColumnRenamed("lat", "near_lat").withColumnRenamed("lng", "near_lng")
     payload = [c for c in near.columns if c not in ("_level", *names)]
     distance = metric.distance(

@@ -22,7 +22,7 @@ _local_base: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings and make sure ``checkpoint()`` has a folder."""
+    """Apply the runtime settings."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -51,8 +51,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so later steps never recompute it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
-    return df.checkpoint()
+    """Store ``df`` in the shared folder and go on from the stored table.
+
+    Later steps never recompute it, a lost executor takes nothing with it, and
+    the planner knows its true size.
+    """
+    path = scratch_dir(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for a stored frame that an iterative fit reads many times.
+
+    A small table is stored in few parts, which would leave most cores idle in every iteration.
+    Only for frames that need no shuffle any more: counting the partitions of others runs them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
