@@ -30,21 +30,21 @@ def planar_degrees(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Co
     return F.sqrt(F.pow(lat1 - lat2, F.lit(2)) + F.pow(lng1 - lng2, F.lit(2)))
 
 
-def earth_axes(lat: Column, lng: Column) -> list[Column]:
-    """Earth-centred coordinates in metres.
+def earth_axes(lat: str, lng: str) -> list[str]:
+    """Earth-centred coordinates in metres, as SQL text.
 
     A straight-line distance never exceeds the distance over ground, so a grid
     on these axes is a safe filter everywhere, the date line and poles included.
     """
-    phi, lam = F.radians(lat), F.radians(lng)
+    phi, lam = f"radians({lat})", f"radians({lng})"
     return [
-        F.cos(phi) * F.cos(lam) * EARTH_RADIUS_M,
-        F.cos(phi) * F.sin(lam) * EARTH_RADIUS_M,
-        F.sin(phi) * EARTH_RADIUS_M,
+        f"cos({phi}) * cos({lam}) * {EARTH_RADIUS_M}D",
+        f"cos({phi}) * sin({lam}) * {EARTH_RADIUS_M}D",
+        f"sin({phi}) * {EARTH_RADIUS_M}D",
     ]
 
 
-def degree_axes(lat: Column, lng: Column) -> list[Column]:
+def degree_axes(lat: str, lng: str) -> list[str]:
     return [lat, lng]
 
 

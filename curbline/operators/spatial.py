@@ -27,22 +27,24 @@ class Metric:
     """A distance with the grid axes that bound it.
 
     ``finest`` cells grow by ``LEVEL_STEP`` up to ``levels``; the last level has
-    to be wider than anything on its axes.
+    to be wider than anything on its axes. Axes, and the test whether a cell can
+    hold a point at all, are SQL text: a cell has 27 neighbours, and building
+    those column by column takes seconds on the driver.
     """
 
     distance: Callable[[Column, Column, Column, Column], Column]
-    axes: Callable[[Column, Column], list[Column]]
+    axes: Callable[[str, str], list[str]]
     dimensions: int
     finest: float
     levels: int
     tie_places: int
-    occupiable: Callable[[list[Column], Column], Column] | None = None
+    occupiable: Callable[[list[str], str], str] | None = None
 
 
-def _touches_surface(cell: list[Column], size: Column) -> Column:
+def _touches_surface(cell: list[str], size: str) -> str:
     """Whether a cube of the grid can hold a point of the sphere; most neighbours cannot."""
-    centre = sum((((axis + 0.5) * size) * ((axis + 0.5) * size) for axis in cell), F.lit(0.0))
-    return F.abs(F.sqrt(centre) - places.EARTH_RADIUS_M) <= size * HALF_DIAGONAL + 1.0
+    squares = " + ".join(f"(({axis} + 0.5D) * ({size})) * (({axis} + 0.5D) * ({size}))" for axis in cell)
+    return f"abs(sqrt({squares}) - {places.EARTH_RADIUS_M}D) <= ({size}) * {HALF_DIAGONAL}D + 1.0D"
 
 
 SPHERE = Metric(
@@ -60,31 +62,30 @@ def sites(df: DataFrame, lat: str, lng: str, *payload: Column) -> DataFrame:
     return grouped.agg(*payload) if payload else grouped.agg(F.count("*").alias("n"))
 
 
-def _cell(metric: Metric, size: Column | float) -> list[Column]:
-    axes = metric.axes(F.col("lat"), F.col("lng"))
-    return [F.floor(axis / size).cast("long") for axis in axes]
-
-
 def _names(metric: Metric) -> list[str]:
     return [f"_g{axis}" for axis in range(metric.dimensions)]
 
 
-def _neighbourhood(df: DataFrame, metric: Metric, size: Column | float) -> DataFrame:
+def _with_cell(df: DataFrame, metric: Metric, size: str) -> DataFrame:
+    cells = zip(metric.axes("lat", "lng"), _names(metric))
+    return df.selectExpr("*", *[f"CAST(floor(({axis}) / ({size})) AS BIGINT) AS {n}" for axis, n in cells])
+
+
+def _neighbourhood(df: DataFrame, metric: Metric, size: str) -> DataFrame:
     """Repeat every row for its own cell and all adjacent ones.
 
     The result must not be broadcast: the planner takes it for as small as its
     input. Joins on it ask for a merge join, which spills and splits skewed cells.
     """
     names = _names(metric)
-    size = size if isinstance(size, Column) else F.lit(size)
-    steps = product((-1, 0, 1), repeat=metric.dimensions)
-    cells = [
-        F.struct(*[(F.col(n) + F.lit(s)).alias(n) for n, s in zip(names, step)]) for step in steps
-    ]
+    cells = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {n} + {s}" for n, s in zip(names, step)) + ")"
+        for step in product((-1, 0, 1), repeat=metric.dimensions)
+    )
     kept = [c for c in df.columns if c not in names]
-    around = df.select(*kept, F.explode(F.array(*cells)).alias("_cell")).select(*kept, "_cell.*")
+    around = df.selectExpr(*[f"`{c}`" for c in kept], f"inline(array({cells}))")
     if metric.occupiable is not None:
-        around = around.filter(metric.occupiable([F.col(n) for n in names], size))
+        around = around.filter(metric.occupiable(names, size))
     return around.hint("merge")
 
 
@@ -105,15 +106,14 @@ def radius_pairs(
     cells and for ``spread`` parts, into which the sites of each cell of
     ``right`` are split. Right coordinates come out as ``near_lat, near_lng``.
     """
-    size = radius_m * CELL_MARGIN
+    size = f"{radius_m * CELL_MARGIN}D"
     names = _names(SPHERE)
-    cells = dict(zip(names, _cell(SPHERE, size)))
     near = (
-        _spread(right.withColumns(cells), spread)
+        _spread(_with_cell(right, SPHERE, size), spread)
         .withColumnRenamed("lat", "near_lat")
         .withColumnRenamed("lng", "near_lng")
     )
-    probe = _neighbourhood(_replicate(left, spread).withColumns(cells), SPHERE, size)
+    probe = _neighbourhood(_with_cell(_replicate(left, spread), SPHERE, size), SPHERE, size)
     distance = places.haversine_m(
         F.col("lat"), F.col("lng"), F.col("near_lat"), F.col("near_lng")
     )
@@ -147,19 +147,18 @@ def nearest_site(
     """
     names = _names(metric)
     scales = F.explode(F.sequence(F.lit(0), F.lit(metric.levels - 1)))
-    size = F.lit(metric.finest) * F.pow(F.lit(float(LEVEL_STEP)), F.col("_level"))
-    cells = dict(zip(names, _cell(metric, size)))
+    size = f"{metric.finest}D * pow({LEVEL_STEP}D, _level)"
 
     lean = left.select("lat", "lng").distinct()
-    layered = right.withColumn("_level", scales).withColumns(cells)
+    layered = _with_cell(right.withColumn("_level", scales), metric, size)
     occupied = layered.select("_level", *names).distinct()
-    probe = _neighbourhood(lean.withColumn("_level", scales).withColumns(cells), metric, size)
+    probe = _neighbourhood(_with_cell(lean.withColumn("_level", scales), metric, size), metric, size)
     reach = (
         probe.join(occupied, ["_level", *names], "left_semi")
         .groupBy("lat", "lng")
         .agg(F.least(F.min("_level") + 1, F.lit(metric.levels - 1)).alias("_level"))
     )
-    search = _neighbourhood(reach.withColumns(cells), metric, size)
+    search = _neighbourhood(_with_cell(reach, metric, size), metric, size)
     near = layered.withColumnRenamed("lat", "near_lat").withColumnRenamed("lng", "near_lng")
     payload = [c for c in near.columns if c not in ("_level", *names)]
     distance = metric.distance(
