@@ -22,6 +22,12 @@ POLICY_KEYWORDS = [
     "fine", "罚款", "parking", "停在哪里", "使用条款", "terms of use", "can i",
     "是不是可以", "能不能",
 ]
+# All characters that count as white space at the ends of a sentence.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(chr(code) for code in range(0x2000, 0x200B))
+)
+
 POLICY_ROUTE, RIDE_ROUTE = "policy", "bb"
 
 
@@ -92,7 +98,7 @@ def strip_html(html: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after ``. ? !`` plus white space, or at line breaks; blank pieces are dropped."""
     pieces = F.split(text, r"(?U)(?<=[.?!])\s+|\n+")
-    trimmed = F.transform(pieces, lambda piece: F.regexp_replace(piece, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(pieces, lambda piece: F.btrim(piece, F.lit(WHITE_SPACE)))
     return F.filter(trimmed, lambda piece: F.length(piece) > 0)
 
 

@@ -46,17 +46,14 @@ def pack_sentences(
     split = documents.select(*keys, text.sentences(F.col(column)).alias("_s")).withColumn(
         "_starts", _chunk_starts(F.transform("_s", F.length), limit)
     )
-    ends = F.concat(
-        F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_s") + 1)
-    )
-    pieces = F.zip_with(
-        "_starts", ends,
-        lambda start, end: F.concat_ws(" ", F.slice("_s", start, end - start)),
-    )
-    return (
-        split.filter(F.size("_s") > 0)
-        .select(*keys, F.posexplode(pieces).alias("chunk_id", "chunk_text"))
-    )
+    # The last chunk ends with the text. No sentences, no starts, no rows.
+    after = F.size("_s") + 1
+
+    def piece(start: Column, index: Column) -> Column:
+        end = F.coalesce(F.get("_starts", index + 1), after)
+        return F.concat_ws(" ", F.slice("_s", start, end - start))
+
+    return split.select(*keys, F.posexplode(F.transform("_starts", piece)).alias("chunk_id", "chunk_text"))
 
 
 def overlapping_windows(
