@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from curbline.functions import text, times
-from curbline.operators import quality
+from curbline.operators import quality, schedule
+from curbline.operators.coverage import latest_info
 from curbline.plans.inputs import AS_OF
 from curbline.plans.registry import query
 from curbline.session import scratch_dir
@@ -188,8 +189,6 @@ def schedule_archive_scan(t):
         frame.withColumn("note", F.lit("unused")).write.option("header", True).csv(f"{root}/2024a/{file}.txt")
     t.stops.write.option("header", True).csv(f"{root}/2024b/stops.txt")
     files = landed.read_schedules(t.spark, root)
-    from curbline.operators import schedule
-
     trips = files["trips"].withColumn("service_date", F.lit("2024-01-01").cast("date"))
     rows = schedule.scheduled_trips(trips, files["stop_times"], files["stops"], AS_OF)
     return rows.select(
@@ -250,7 +249,7 @@ def day_partitioned_table(t):
 
 @query(
     "replace_and_append",
-    "S-9 S-10 S-11 S-14",
+    "S-9 S-10 S-11 S-14 Q-4",
     """
 SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY 1""",
 )
@@ -274,8 +273,6 @@ SELECT i.station_id, i.name, i.region_id, r.r_name AS region_name,
 FROM latest_info i LEFT JOIN region r ON r.r_regionkey = i.region_id""",
 )
 def station_dimension(t):
-    from curbline.operators.coverage import latest_info
-
     info = latest_info(t.station_info).selectExpr(
         "station_id", "name", "region_id", "concat('old', station_id) AS legacy_id",
         """CASE CAST(station_id AS BIGINT) % 3 WHEN 0 THEN array() WHEN 1 THEN array('KEY')

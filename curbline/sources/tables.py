@@ -38,13 +38,15 @@ def replace(df: DataFrame, path: str) -> None:
 def write_by_day(df: DataFrame, path: str, ts: str, day: str, cluster: str | None = None) -> None:
     """A table with one folder per day, sorted by ``cluster`` within its files.
 
-    The rebalance step gathers a day into few files and still splits a day that
-    holds far more rows than others over several tasks.
+    Days that the rows do not touch stay as they are. The rebalance step gathers
+    a day into few files and still splits a day that holds far more rows than
+    others over several tasks.
     """
     daily = df.withColumn(day, F.to_date(ts)).hint("rebalance", day)
     if cluster is not None:
         daily = daily.sortWithinPartitions(day, cluster)
-    daily.write.mode("overwrite").partitionBy(day).parquet(path)
+    writer = daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(day).parquet(path)
 
 
 def require_table(spark: SparkSession, path: str) -> DataFrame:
