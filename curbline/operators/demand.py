@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import times
@@ -56,12 +56,8 @@ def combine_golden(pickups: DataFrame, dropoffs: DataFrame) -> DataFrame:
     )
 
 
-def station_hours(trips: DataFrame) -> DataFrame:
-    """Pickups and dropoffs per station and hour from one scan and one shuffle.
-
-    Every trip becomes two rows, which the map-side aggregate reduces at once;
-    that replaces two aggregates and a full join.
-    """
+def trip_ends(trips: DataFrame) -> DataFrame:
+    """Both ends of every trip as rows ``station_id, ts, pickup``; ends without a station are left out."""
     ends = F.array(
         *[
             F.struct(
@@ -75,12 +71,21 @@ def station_hours(trips: DataFrame) -> DataFrame:
             )
         ]
     )
-    return (
-        trips.select(F.inline(ends))
-        .filter(F.col("station_id").isNotNull())
-        .groupBy("station_id", times.hour_floor(F.col("ts")).alias("ts_hour"))
-        .agg(F.sum("pickup").alias("pickups"), F.sum(1 - F.col("pickup")).alias("dropoffs"))
-    )
+    return trips.select(F.inline(ends)).filter(F.col("station_id").isNotNull())
+
+
+def _both_ways() -> list[Column]:
+    return [F.sum("pickup").alias("pickups"), F.sum(1 - F.col("pickup")).alias("dropoffs")]
+
+
+def station_hours(trips: DataFrame) -> DataFrame:
+    """Pickups and dropoffs per station and hour from one scan and one shuffle.
+
+    Every trip becomes two rows, which the map-side aggregate reduces at once;
+    that replaces two aggregates and a full join.
+    """
+    hour = times.hour_floor(F.col("ts")).alias("ts_hour")
+    return trip_ends(trips).groupBy("station_id", hour).agg(*_both_ways())
 
 
 def demand_features(trips: DataFrame, info: DataFrame) -> DataFrame:
@@ -91,13 +96,16 @@ def demand_features(trips: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-def station_totals(hours: DataFrame) -> DataFrame:
-    """Total and net demand per station; net is what leaves minus what arrives."""
-    return hours.groupBy("station_id").agg(
-        F.min("station_name").alias("station_name"),
-        F.sum("pickups").alias("pickups"),
-        F.sum("dropoffs").alias("dropoffs"),
-        F.sum(F.col("pickups") - F.col("dropoffs")).alias("net_demand"),
+def station_totals(trips: DataFrame, info: DataFrame) -> DataFrame:
+    """Total and net demand per station; net is what leaves minus what arrives.
+
+    Totals need no hourly step, and names are joined to one row per station.
+    """
+    totals = trip_ends(trips).groupBy("station_id").agg(*_both_ways())
+    return (
+        totals.join(station_names(info), "station_id", "left")
+        .select("station_id", "station_name", "pickups", "dropoffs")
+        .withColumn("net_demand", F.col("pickups") - F.col("dropoffs"))
     )
 
 

@@ -10,14 +10,14 @@ from curbline.plans.registry import query
 
 @query(
     "station_net_demand",
-    "P-4 P-8 P-9 P-17 P-18 J-0 J-1 J-2 A-1 A-2 A-27 K-2 W-1",
+    "P-4 P-17 J-0 J-1 A-27 K-2 W-1",
     """
 SELECT station_id, min(station_name) AS station_name, CAST(sum(pickups) AS BIGINT) AS pickups,
   CAST(sum(dropoffs) AS BIGINT) AS dropoffs, CAST(sum(pickups - dropoffs) AS BIGINT) AS net_demand
 FROM demand GROUP BY station_id ORDER BY pickups DESC, station_id LIMIT 10""",
 )
 def station_net_demand(t):
-    totals = demand.station_totals(demand.demand_features(t.bike_trips, t.station_info))
+    totals = demand.station_totals(t.bike_trips, t.station_info)
     return keyed.top_k(totals, 10, F.desc("pickups"), F.asc("station_id"))
 
 
@@ -83,7 +83,7 @@ SELECT station_id, min(station_name) AS station_name, CAST(sum(pickups - dropoff
 FROM demand GROUP BY station_id ORDER BY net_demand DESC, station_id LIMIT 20""",
 )
 def rebalancing_priorities(t):
-    totals = demand.station_totals(demand.demand_features(t.bike_trips, t.station_info))
+    totals = demand.station_totals(t.bike_trips, t.station_info)
     return keyed.top_k(
         totals.select("station_id", "station_name", "net_demand"), 20, F.desc("net_demand"), F.asc("station_id")
     )

@@ -11,7 +11,8 @@ CALENDAR_KEY = ["station_id", "day_of_week", "hour", "is_weekend"]
 
 
 def features(t):
-    return demand.demand_features(t.bike_trips, t.station_info)
+    """The demand feature table, stored once: every model step reads it several times."""
+    return cut_lineage(demand.demand_features(t.bike_trips, t.station_info))
 
 
 def mean_models(t):
@@ -97,7 +98,7 @@ dense AS (SELECT s.station_id, s.ts_hour, coalesce(c.n, 0) AS n FROM spine s LEF
 
 
 def snapshot_counts(t):
-    return demand.hourly_counts(t.station_status, "station_id", "snapshot_ts", "n")
+    return cut_lineage(demand.hourly_counts(t.station_status, "station_id", "snapshot_ts", "n"))
 
 
 @query(
@@ -174,7 +175,7 @@ _FAMILIES = [demand_models.LINEAR, demand_models.FOREST, demand_models.BOOSTED,
 
 
 def _scored_holdout(t, label):
-    _, scored = demand_models.compare_families(cut_lineage(features(t)), label)
+    _, scored = demand_models.compare_families(features(t), label)
     extra = [*CALENDAR_KEY, "station_name"]
     return demand_models.long_predictions(scored, _FAMILIES, extra)
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from curbline.sources import landed, schemas, tables
+from curbline.operators import keyed
+from curbline.sources import landed, schemas
 
 KEY_DAY = "key_day"
 NO_DAY = "1970-01-01"
@@ -38,10 +39,11 @@ def _with_key_day(df: DataFrame, event_time: str) -> DataFrame:
     return df.withColumn(KEY_DAY, day)
 
 
-def read_base(spark: SparkSession, path: str) -> DataFrame | None:
-    """The base table as written so far, or ``None`` before the first batch."""
+def read_base(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame | None:
+    """The base table, or only its folders of some key days; ``None`` if there are none yet."""
+    chosen = "*" if days is None else "{" + ",".join(days) + "}"
     try:
-        return spark.read.option("basePath", path).parquet(f"{path}/source=*/batch=*")
+        return spark.read.option("basePath", path).parquet(f"{path}/{KEY_DAY}={chosen}")
     except AnalysisException:
         return None
 
@@ -51,32 +53,35 @@ def merge_batches(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step: insert rows whose key the base table lacks.
 
-    Every batch owns the folder ``source=/batch=`` and overwrites it, so a
-    repeated batch leaves the table as it was. ``source`` should name the stream
-    run, because a new checkpoint counts batches from 0 again. Rows with a NULL in
-    ``require`` are left out. Late rows are kept: the merge has no time limit.
+    Equal keys share their key day, so only the day folders of the batch are
+    listed and read. Every batch owns the folders ``source=/batch=`` below its
+    days and overwrites them, so a repeated batch leaves the table as it was.
+    ``source`` should name the stream run, because a new checkpoint counts
+    batches from 0 again. Rows with a NULL in ``require`` are left out. Late
+    rows are kept: the merge has no time limit.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         complete = batch.dropna(subset=require) if require else batch
-        dated = _with_key_day(complete, event_time)
-        base = read_base(spark, path)
-        if base is not None:
-            own = (F.col("source") == source) & (F.col("batch") == batch_id)
-            fresh = tables.new_rows(
-                base.filter(~own).withColumn(KEY_DAY, F.date_format(KEY_DAY, "yyyy-MM-dd")),
-                dated, key, order, KEY_DAY,
+        fresh = keyed.earliest_per_key(_with_key_day(complete, event_time), [key], order).persist()
+        try:
+            days = [row[KEY_DAY] for row in fresh.select(KEY_DAY).distinct().toLocalIterator()]
+            base = read_base(batch.sparkSession, path, days) if days else None
+            if base is not None:
+                own = (F.col("source").cast("string") == source) & (F.col("batch") == batch_id)
+                unseen = fresh.join(base.filter(~own).select(key), key, "left_anti")
+            else:
+                unseen = fresh
+            (
+                unseen.withColumns({"source": F.lit(source), "batch": F.lit(batch_id)})
+                .hint("rebalance", KEY_DAY)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(KEY_DAY, "source", "batch")
+                .parquet(path)
             )
-        else:
-            fresh = tables.keyed.earliest_per_key(dated, [key], order)
-        (
-            fresh.hint("rebalance", KEY_DAY)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(KEY_DAY)
-            .parquet(f"{path}/source={source}/batch={batch_id}")
-        )
+        finally:
+            fresh.unpersist()
 
     return write
 
