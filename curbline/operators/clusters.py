@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.operators import keyed
+from curbline.session import side_by_side
 
 DESERT, MODERATE, SERVED = "Transit Desert", "Moderate Coverage", "Well-Served"
 LABELS = [DESERT, SERVED, MODERATE]  # order in which a tied count is settled
@@ -44,11 +45,15 @@ def kmeans(
     scaling = prepare.fit(filled)
     scaled = scaling.transform(filled).select("_scaled").persist()
     try:
-        fits = [
-            KMeans(k=k, seed=seed + start, featuresCol="_scaled", predictionCol="cluster").fit(scaled)
-            for start in range(starts)
-        ]
-        best = min(fits, key=lambda fit: fit.summary.trainingCost)
+        seeds = range(seed, seed + starts)
+        jobs = {
+            str(number): partial(
+                KMeans(k=k, seed=number, featuresCol="_scaled", predictionCol="cluster").fit, scaled
+            )
+            for number in seeds
+        }
+        fits = side_by_side(features.sparkSession, jobs)
+        best = min((fits[str(number)] for number in seeds), key=lambda fit: fit.summary.trainingCost)
         rows = scaled.count()
     finally:
         scaled.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curbline.functions import times
 from curbline.operators import forecast, keyed
-from curbline.session import cut_lineage, spread_out
+from curbline.session import cut_lineage, side_by_side, spread_out
 
 BOOSTING_ROUNDS = 30  # fixed value
 HASH_SLOTS = 4096
@@ -93,9 +95,10 @@ def estimators() -> dict[str, Pipeline]:
 
 
 def fit_families(frame: DataFrame, names: list[str] | None = None) -> dict[str, PipelineModel]:
-    """Fit each family. ``frame`` is read many times: pass a stored or persisted one."""
+    """Fit the families side by side. ``frame`` is read many times: pass a persisted one."""
     chosen = estimators()
-    return {name: chosen[name].fit(frame) for name in (names or list(chosen))}
+    jobs = {name: partial(chosen[name].fit, frame) for name in (names or list(chosen))}
+    return side_by_side(frame.sparkSession, jobs)
 
 
 def score(models: dict[str, PipelineModel], frame: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import places, text, times
-from curbline.session import spread_out
+from curbline.session import side_by_side, spread_out
 
 # Split days, iterations, depth, trees and layer sizes.
 EVAL_DAYS, TRAIN_DAYS = 7, 67
@@ -122,7 +122,7 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
         ),
         "bt": lambda: OneVsRest(
             classifier=GBTClassifier(maxDepth=TREE_DEPTH, maxIter=10, seed=SEED, **common),
-            weightCol="weight", **common,
+            weightCol="weight", parallelism=len(labels), **common,
         ),
         "rf": lambda: RandomForestClassifier(
             numTrees=PARALLEL_TREES * 5, maxDepth=TREE_DEPTH, weightCol="weight", seed=SEED, **common
@@ -133,13 +133,12 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
     }
     ready = spread_out(prepared.transform(rows).drop("_hashed")).persist()
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
+    jobs = {name: (lambda make=families[name]: make().fit(ready)) for name in (names or list(families))}
     try:
-        return {
-            name: PipelineModel(stages=[*prepared.stages, families[name]().fit(ready), back])
-            for name in (names or list(families))
-        }
+        fitted = side_by_side(rows.sparkSession, jobs)
     finally:
         ready.unpersist()
+    return {name: PipelineModel(stages=[*prepared.stages, fit, back]) for name, fit in fitted.items()}
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. Timestamps are kept as UTC wall-clock
@@ -68,3 +71,12 @@ def spread_out(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """Run independent jobs at the same time, so that one's small steps fill the other's gaps."""
+    with ThreadPool(max(1, len(jobs))) as pool:
+        started = {
+            name: pool.apply_async(inheritable_thread_target(spark)(job)) for name, job in jobs.items()
+        }
+        return {name: result.get() for name, result in started.items()}
