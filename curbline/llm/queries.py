@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import reference
 from curbline.llm.chat import format_conversations, read_loss_texts, read_turns
-from curbline.llm.common import table
+from curbline.llm import embeddings, mixing, packing, parity, quality
+from curbline.llm.common import stored, table
 from curbline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from curbline.llm.rules import BASE_RULES, apply_rules
 from curbline.llm.sharding import shard
@@ -68,3 +71,79 @@ def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = BASE_RULES[0].fails({n: F.col(n) for n in names}) | BASE_RULES[1].fails({n: F.col(n) for n in names})
     return done.select("doc_id", *names, base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
+
+
+def held_out(doc_id) -> Column:
+    """Rows whose label may not be learned: crc32 of the id as text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str):
+    return quality.train(docs, table(spark, folder, "labels"), "quality", ~held_out(F.col("doc_id")))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vectors, network = quality_model(spark, docs, folder)
+    return quality.score(docs, vectors, network).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+# Share of the tokens that each label class is to have: (quality, toxic) -> share.
+TARGET_SHARES = {"1-0": 0.9, "1-1": 0.02, "0-0": 0.07, "0-1": 0.01}
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The label classes as domains."""
+    return table(spark, folder, "labels").select(
+        "doc_id", F.concat(F.col("quality").cast("string"), F.lit("-"), F.col("toxic").cast("string")).alias("domain")
+    )
+
+
+def target_totals(domains: list, tokens: int, shares: dict = TARGET_SHARES):
+    """Target tokens per domain, the shares of the domains that occur scaled to add up to ``tokens``."""
+    wanted = np.array([shares.get(d, 0.0) for d in domains])
+    return wanted / wanted.sum() * tokens if wanted.sum() else np.full(len(domains), tokens / len(domains))
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document so that expected tokens per label class have the target shares."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    domains, weights, bias = mixing.fit_domains(docs, domain_labels(spark, folder))
+    scored = stored(mixing.add_posteriors(docs, weights, bias).drop("text"))
+    tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    steps, _ = mixing.fit_rates(scored, target_totals(domains, tokens))
+    rated = mixing.add_rates(scored, steps, len(domains))
+    return rated.select(
+        "doc_id", "n_tokens", "posterior", "rate",
+        mixing.whole_copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+    )
+
+
+CAPACITY = 2048
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of up to 2048 tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, with_ids=False)
+    return packing.pack(stored(pieces), CAPACITY).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query("op5_embeddings")
+def op5_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Links with a cosine of 0.95 or more between all vectors, none lost."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"), 0.95)
+
+
+@query("op6_jaccard")
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all whole texts."""
+    docs = table(spark, folder, "documents")
+    return parity.jaccard_components(docs).withColumnRenamed("id", "doc_id")
