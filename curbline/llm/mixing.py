@@ -15,7 +15,8 @@ from curbline.llm.tokens import U, chunks, word_hashes
 
 FEATURE_BITS = 18  # word slots of the domain classifier
 MAX_TRAINING_ROWS = 20_000  # bound of the labelled sample it is fitted on
-EPOCHS, STEP, RIDGE = 60, 0.5, 1e-4
+MIN_ROWS = 10  # words in fewer sample texts have no weight
+EPOCHS, STEP, RIDGE = 120, 0.5, 10.0
 MAX_ROUNDS, TOLERANCE = 60, 1e-5
 
 
@@ -76,6 +77,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
     parts = [np.frombuffer(b, np.int32) for b in rows["slots"]]
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     slot = np.concatenate(parts).astype(np.int64)
+    common = np.bincount(slot, minlength=1 << FEATURE_BITS)[slot] >= MIN_ROWS
+    row, slot = row[common], slot[common]
     y = np.searchsorted(domains, rows["domain"].to_numpy())
     n, truth = len(parts), np.eye(len(domains))[y]
     bias = np.log(truth.mean(axis=0) + 1e-9)

@@ -16,6 +16,7 @@ from curbline.llm.tokens import U, chunks, mix, word_hashes
 
 SLOT_BITS = 14  # word slots; words share a slot by hash, so the vector table is bounded
 SLOTS, DIM, SIGNS, WINDOW = 1 << SLOT_BITS, 64, 4, 2
+FEATURES = 2 * DIM + 2
 MAX_TRAINING_ROWS = 20_000  # bound of the labelled sample a model is fitted on
 HIDDEN, EPOCHS, BATCH, RATE = 32, 14, 256, 0.004
 
@@ -75,8 +76,9 @@ def word_vectors(texts: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Per text: the mean and the mean square of its word vectors, and the logarithm of its length."""
-    out = np.zeros((len(column), 2 * DIM + 1), np.float32)
+    """Per text: the mean and the mean square of its word vectors, the mean cosine of neighbours in the
+    text, and the logarithm of its length."""
+    out = np.zeros((len(column), FEATURES), np.float32)
     for first, _, data, offsets in chunks(column):
         slot, row = _slots(data, offsets)
         for at in range(0, len(slot), 1 << 17):  # bounds the gathered vectors
@@ -85,9 +87,14 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
             own = first + r[starts]
             out[own, :DIM] += np.add.reduceat(v, starts)
             out[own, DIM : 2 * DIM] += np.add.reduceat(v * v, starts)
+            before = np.concatenate((vectors[slot[max(at - 1, 0) : max(at - 1, 0) + 1]], v[:-1]))
+            near = np.einsum("ij,ij->i", v, before)
+            near[row[np.maximum(np.arange(at, at + len(r)) - 1, 0)] != r] = 0
+            near[: at == 0] = 0
+            out[own, -2] += np.add.reduceat(near, starts)
             out[own, -1] += np.diff(np.append(starts, len(r)))
     n = np.maximum(out[:, -1:], 1)
-    out[:, : 2 * DIM] /= n
+    out[:, : FEATURES - 1] /= n
     out[:, -1] = np.log1p(out[:, -1]) / 8
     return out
 
@@ -136,7 +143,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
             back = np.outer(error, w[2]) * (1 - h * h)
             step += 1
             for i, g in enumerate((z[rows].T @ back, back.sum(0), h.T @ error, error.sum(keepdims=True))):
-                g = g + 1e-4 * w[i]
+                g = g + 1e-3 * w[i]
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w[i] -= RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -181,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tup
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, -1)
     order = np.lexsort([*x.T[::-1][:1], rows["key"].to_numpy()]) if rows.num_rows else np.zeros(0, int)
     y = rows["y"].to_numpy()[order].astype(np.float64)
-    return vectors, fit_network(x[order] if rows.num_rows else np.zeros((0, 2 * DIM + 1)), y)
+    return vectors, fit_network(x[order] if rows.num_rows else np.zeros((0, FEATURES)), y)
 
 
 def score(df: DataFrame, vectors: np.ndarray, network: Network, text: str = "text") -> DataFrame:
