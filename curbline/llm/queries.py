@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curbline.llm import reference
 from curbline.llm.chat import format_conversations, read_loss_texts, read_turns
-from curbline.llm import embeddings, mixing, packing, parity, quality
+from curbline.llm import embeddings, lines, mixing, packing, parity, quality
 from curbline.llm.common import stored, table
 from curbline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from curbline.llm.rules import BASE_RULES, apply_rules
@@ -147,3 +147,11 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all whole texts."""
     docs = table(spark, folder, "documents")
     return parity.jaccard_components(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_lines")
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without later copies of line runs of 50 words and more."""
+    return lines.remove_repeated_runs(table(spark, folder, "documents")).select(
+        "doc_id", "text", "n_lines", "n_removed"
+    )
