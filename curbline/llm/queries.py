@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from curbline.llm import reference
 from curbline.llm.chat import format_conversations, read_loss_texts, read_turns
-from curbline.llm import embeddings, lines, mixing, packing, parity, quality
+from curbline.llm import embeddings, lines, mixing, packing, parity, quality, tokenfiles
 from curbline.llm.common import stored, table
 from curbline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from curbline.llm.rules import BASE_RULES, apply_rules
 from curbline.llm.sharding import shard
+from curbline.session import scratch_dir
 
 SHARDS = 40
 
@@ -155,3 +156,13 @@ def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.remove_repeated_runs(table(spark, folder, "documents")).select(
         "doc_id", "text", "n_lines", "n_removed"
     )
+
+
+@query("op10_tokens")
+def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as coded token files in the shared folder, read back."""
+    path = scratch_dir(spark, "tokens")
+    tokenfiles.write_token_files(
+        table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    return tokenfiles.read_token_files(spark, path, with_ids=False)
