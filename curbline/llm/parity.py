@@ -22,7 +22,8 @@ from curbline.llm.tokens import U, chunks, mix, shingles, word_hashes
 
 SHINGLE = 5
 BAND = 2  # sizes of a band are within this factor
-CROWD = 32  # sets that meet in one key from which on not all pairs of them are listed
+CROWD = 16  # sets that meet in one key from which on not all pairs of them are listed
+ROUNDS = 6  # of checking one partner per set of a crowd, before all that is left is checked
 FLUSH = 2_000_000  # keys a task gathers before it hands them on
 BUCKET = 1_500_000  # keys a task joins, on average
 KEY_BITS = 39
@@ -45,8 +46,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(has):
                 both[0, has] = np.bitwise_xor.reduceat(mix(h), starts)
                 both[1, has] = np.add.reduceat(mix(h + U(0x632BE59BD9B4E019)), starts)
-            # single-bit sketch: a power of two of bits, at least twice the size of the set
-            bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), 0)
+            # single-bit sketch: a power of two of bits, at least four times the size of the set
+            bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64), 0)
             at = np.cumsum(bits) - bits
             flips = np.zeros(int(bits.sum()), np.uint8)
             np.add.at(flips, at[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), 1)
@@ -269,58 +270,84 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], ["id", "set"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 3/4 or more, by exact intersection."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set array<long>")
-    sets = stored(sets.dropDuplicates(["id"]))
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the documents named by ``ids`` (id), each once."""
+    wanted = docs.join(ids.distinct(), "id", "left_semi").select("id", "text")
+    return wanted.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``link``: whether their sets have a similarity of 3/4, by exact intersection."""
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return two.where(100 * common >= 75 * union).select("a", "b")
+    return two.select("a", "b", (100 * common >= 75 * union).alias("link"))
 
 
-def crowded_pairs(members: DataFrame, groups: DataFrame, classes: DataFrame, block: int = 512) -> DataFrame:
-    """Pairs of classes in crowded keys whose components differ so far, as sizes and sketches leave them.
-
-    A key whose members are all in one component has nothing left to find. The members of the others are
-    dealt into blocks, and one task compares two blocks by sketch.
-    """
+def open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, class, component) of the keys whose members are not all in one component."""
     known = members.join(groups.withColumnRenamed("id", "class"), "class", "left").select(
         "key", "class", F.coalesce("component", "class").alias("component")
     )
-    open_keys = (
-        known.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-        .where("lo < hi")
-        .select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    ends = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return known.join(ends.where("lo < hi").select("key"), "key", "left_semi")
+
+
+def crowded_pairs(open_rows: DataFrame, classes: DataFrame, rejected: DataFrame, every: bool, block: int = 512) -> DataFrame:
+    """Pairs (class, other) in crowded keys, of different components, as sizes and sketches leave them.
+
+    With ``every`` all of them; otherwise one per class, the one that differs least and is not in the
+    class's own ``rejected`` (class, others). The members of a key are dealt into blocks, and one task
+    compares two blocks by sketch.
+    """
+    blocks = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = (
+        open_rows.join(blocks, "key")
+        .join(classes.select("class", "n", "sketch"), "class")
+        .join(rejected, "class", "left")
     )
-    rows = known.join(open_keys, "key").join(classes.select("class", "n", "sketch"), "class")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = (
-        rows.withColumn("own", own)
+        rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"), "own", "class", "component", "n", "sketch")
+        .withColumn("x", F.greatest("own", "other"))
+        .withColumn("y", F.least("own", "other"))
+        .select("key", "x", "y", "own", "class", "component", "n", "sketch", "others")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         own, id_, comp, n = (table.column(c).to_numpy() for c in ("own", "class", "component", "n"))
-        sketch = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
-        m = min(len(s) for s in sketch)
-        folded = np.stack([np.bitwise_xor.reduce(s.reshape(-1, m), axis=0) for s in sketch])
-        left, right, found = np.flatnonzero(own == x), np.flatnonzero(own == y), []
-        for i in left:
-            rest = right[right > i] if x == y else right
-            rest = rest[(comp[rest] != comp[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))]
-            differ = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1)
-            rest = rest[differ <= most_differing(n[rest], n[i])]
-            found.append((np.minimum(id_[rest], id_[i]), np.maximum(id_[rest], id_[i])))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+        known = [np.array(v or [], np.int64) for v in table.column("others").to_pylist()]
+        sketch = [np.frombuffer(v, np.uint64) for v in table.column("sketch").to_pylist()]
+        m = min(len(v) for v in sketch)
+        folded = np.stack([np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in sketch])
+        sides = [(np.flatnonzero(own == x), np.flatnonzero(own == y))]
+        if x != y and not every:
+            sides.append(sides[0][::-1])
+        found = []
+        for left, right in sides:
+            for i in left:
+                rest = right[right > i] if every and x == y else right
+                rest = rest[(comp[rest] != comp[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))]
+                differ = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1)
+                good = differ <= most_differing(n[rest], n[i])
+                if not every and len(known[i]):
+                    good &= ~np.isin(id_[rest], known[i])
+                rest, differ = rest[good], differ[good]
+                if not every and len(rest):
+                    best = np.lexsort((id_[rest], differ))[:1]
+                    rest, differ = rest[best], differ[best]
+                found.append((np.full(len(rest), id_[i]), id_[rest], differ))
+        columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+        return pa.table({c: pa.array(v.astype(np.int64)) for c, v in zip(("class", "other", "differ"), columns, strict=True)})
+
+    found = dealt.groupBy("key", "x", "y").applyInArrow(compare, "class long, other long, differ long")
+    found = found if every else stored(found)
+    if every:
+        return found.select("class", "other").distinct()
+    least = found.groupBy("class").agg(F.min(F.col("differ")).alias("differ"))
+    return found.join(least, ["class", "differ"]).groupBy("class").agg(F.min("other").alias("other"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,6 +359,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty texts have an empty set, linked with nothing. Rows with equal ids are one vertex, rows with a
     NULL id stand alone without component. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     known = stored(facts(given))
     usable = known.where("n > 0 AND id IS NOT NULL")
@@ -351,10 +379,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = as_class(as_class(met.where("kind = 2").select("a", "b").distinct(), "a"), "b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = stored(possible(pairs, classes))
+    members = as_class(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")), "class")
+    members = members.distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("class"))
+    sets = stored(shingle_sets(given, ids))
     # one pair per class settles most components; only pairs across components remain to be checked
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = stored(linked(first, given))
-    groups = stored(components(sure))
+    links = stored(compared(first, sets).where("link").select("a", "b"))
+    groups = stored(components(links))
 
     def across(df: DataFrame) -> DataFrame:
         ends = df
@@ -363,11 +395,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             ends = ends.join(to, side, "left")
         return ends.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    members = as_class(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")), "class").distinct()
-    rest = across(pairs).unionAll(crowded_pairs(members, groups, classes)).distinct().join(first, ["a", "b"], "left_anti")
-    more = linked(stored(rest), given)
+    rest = compared(across(pairs).join(first, ["a", "b"], "left_anti"), sets)
+    links = stored(links.unionAll(rest.where("link").select("a", "b")))
+    groups = stored(components(links))
+    # crowds: every set tries its likeliest partner of another component, until none has any left
+    crowd = stored(open_members(members, groups))
+    rejected = spark.createDataFrame([], "class long, others array<long>")
+    for turn in range(ROUNDS + 1):
+        tried = stored(crowded_pairs(crowd, classes, rejected, every=turn == ROUNDS))
+        if tried.isEmpty():
+            break
+        ends = tried.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+        told = stored(compared(ends.distinct(), sets))
+        links = stored(links.unionAll(told.where("link").select("a", "b")))
+        no = tried.withColumn("a", F.least("class", "other")).withColumn("b", F.greatest("class", "other"))
+        no = no.join(told.where("NOT link"), ["a", "b"]).select("class", F.array("other").alias("others"))
+        rejected = stored(rejected.unionAll(no).groupBy("class").agg(F.flatten(F.collect_list("others")).alias("others")))
+        groups = stored(components(links))
+        crowd = stored(open_members(crowd.select("key", "class"), groups))
     same = named.select(F.col("class").alias("a"), F.col("id").alias("b"))
-    every = components(sure.unionAll(more).unionAll(same))
+    every = components(links.unionAll(same))
     return (
         known.select("id", "n")
         .join(every, "id", "left")
