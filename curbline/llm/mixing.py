@@ -17,7 +17,7 @@ FEATURE_BITS = 18  # word slots of the domain classifier
 MAX_TRAINING_ROWS = 20_000  # bound of the labelled sample it is fitted on
 MIN_ROWS = 10  # words in fewer sample texts have no weight
 EPOCHS, STEP, RIDGE = 120, 0.5, 10.0
-MAX_ROUNDS, TOLERANCE = 60, 1e-5
+MAX_ROUNDS, TOLERANCE = 150, 1e-4  # targets that rates can meet take a few rounds
 
 
 def _present(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,65 +118,74 @@ def add_posteriors(df: DataFrame, weights: np.ndarray, bias: np.ndarray, text: s
     return given.mapInArrow(scored, schema)
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - p @ g)
-    return r
+Step = tuple[np.ndarray, float]  # what a posterior is multiplied with, and the momentum after the step
+
+
+def _rates(p: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point of the next gradient) of documents with posteriors ``p`` after the given steps."""
+    r = y = np.ones(len(p))
+    for g, momentum in steps:
+        before, r = r, np.maximum(0.0, y - p @ g)
+        y = r + momentum * (r - before)
+    return r, y
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _totals(scored: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected domain totals under the rates, and sum of n p p' over the documents; one row per task."""
+def _totals(scored: DataFrame, steps: list[Step], k: int) -> np.ndarray:
+    """Rows: expected domain totals under the rates, and under the point of the next gradient; then the sum
+    of n p p' over the documents. Each task sends one row."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, square = np.zeros(k), np.zeros((k, k))
+        out = np.zeros((k + 2, k))
         for batch in batches:
             n, p = batch.column(0).to_numpy().astype(float), _matrix(batch.column(1), k)
-            total += (n * _rates(p, steps)) @ p
-            square += (p * n[:, None]).T @ p
-        values = [*total, *square.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], [f"v{i}" for i in range(len(values))])
+            r, y = _rates(p, steps)
+            out[0] += (n * r) @ p
+            out[1] += (n * y) @ p
+            out[2:] += (p * n[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out.ravel()], names)
 
-    names = [f"v{i}" for i in range(k + k * k)]
+    names = [f"v{i}" for i in range(k * (k + 2))]
     out = (
         scored.select("n_tokens", "posterior")
         .mapInArrow(part, ", ".join(f"{n} double" for n in names))
         .agg(*[F.sum(n).alias(n) for n in names])
         .first()
     )
-    values = np.array([v or 0.0 for v in out])
-    return values[:k], values[k:].reshape(k, k)
+    return np.array([v or 0.0 for v in out]).reshape(k + 2, k)
 
 
-def fit_rates(scored: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(scored: DataFrame, targets: np.ndarray) -> tuple[list[Step], np.ndarray]:
     """Steps of projected gradient least squares for rates r >= 0, and the totals they reach.
 
     Minimises (S - T)' M (S - T) with S the sum of r n p over the documents, T the target totals and
-    M the inverse of the sum of n p p', which makes a step of length 1 right. It starts at r = 1. The
-    gradient of a document is its posterior times one vector that all documents share, so a round needs
-    only the totals: K numbers cross the cluster, and a document's rate follows from its posterior and
-    the list of these vectors. Stops once the totals meet the targets, or no longer change.
+    M the inverse of the sum of n p p', which makes a step of length 1 right. It starts at r = 1 and
+    uses momentum, which starts anew whenever it overshoots. The gradient of a document is its posterior times one vector that all documents
+    share, so a round needs only the totals: a few numbers cross the cluster, and a document's rate
+    follows from its posterior and the list of these vectors. Stops once the totals meet the targets.
     """
     k, steps = len(targets), []
-    totals, square = _totals(scored, steps, k)
-    size = max(np.trace(square), 1.0)
-    metric = np.linalg.inv(square / size + 1e-9 * np.eye(k)) / size
+    sums = _totals(scored, steps, k)
+    size = max(np.trace(sums[2:]), 1.0)
+    metric = np.linalg.inv(sums[2:] / size + 1e-9 * np.eye(k)) / size
+    run, last = 0, np.inf
     for _ in range(MAX_ROUNDS):
-        gap = totals - targets
+        gap, ahead = sums[0] - targets, sums[1] - targets
         if np.abs(gap).max() <= TOLERANCE * max(targets.sum(), 1.0):
             break
-        steps.append(metric @ gap)
-        before, (totals, _) = totals, _totals(scored, steps, k)
-        if np.abs(totals - before).max() <= 1e-9 * max(targets.sum(), 1.0):
-            break
-    return steps, totals
+        now = gap @ metric @ gap
+        if now > last:  # overshot: go on from the rates themselves
+            steps[-1], ahead, run = (steps[-1][0], 0.0), gap, 0
+        last, run = now, run + 1
+        steps.append((metric @ ahead, run / (run + 3)))
+        sums = _totals(scored, steps, k)
+    return steps, sums[0]
 
 
-def add_rates(scored: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
+def add_rates(scored: DataFrame, steps: list[Step], k: int) -> DataFrame:
     """``scored`` with ``rate``, the times a document is to be used; replaces a column of that name."""
     given = scored.drop("rate")
     at = given.columns.index("posterior")
@@ -184,7 +193,7 @@ def add_rates(scored: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = _rates(_matrix(batch.column(at), k), steps)
+            r, _ = _rates(_matrix(batch.column(at), k), steps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], schema.names)
 
     return given.mapInArrow(rated, schema)

@@ -105,8 +105,9 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP, spare: int = 16)
         keep = [f for f in keyed.schema.fields if f.name not in (order, deal)]
 
         def fill(table: pa.Table) -> pa.Table:
-            # equal hashes are equal rows, so any order between them gives the same packing
-            table = table.take(pa.array(np.argsort(table.column(seq).to_numpy(), kind="stable")))
+            # long pieces first; equal hashes are equal rows, so any order between them packs alike
+            size = table.column(at).to_numpy()
+            table = table.take(pa.array(np.lexsort((table.column(seq).to_numpy(), -size))))
             size = table.column(at).to_numpy()
             if len(size) and (size.min() < 1 or size.max() > capacity):
                 raise ValueError("piece lengths must be from 1 to the capacity")

@@ -185,10 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tup
 
     sample = labelled_sample(docs, labels, label, usable)
     rows = sample.mapInArrow(features, "key long, y int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, -1)
-    order = np.lexsort([*x.T[::-1][:1], rows["key"].to_numpy()]) if rows.num_rows else np.zeros(0, int)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, FEATURES)
+    order = np.lexsort((x[:, -1], rows["key"].to_numpy()))
     y = rows["y"].to_numpy()[order].astype(np.float64)
-    return vectors, fit_network(x[order] if rows.num_rows else np.zeros((0, FEATURES)), y)
+    return vectors, fit_network(x[order], y)
 
 
 def score(df: DataFrame, vectors: np.ndarray, network: Network, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 
-MAX_WORDS = 1_000_000  # words a worker remembers before it starts anew
+MAX_WORDS = 700_000  # words a worker remembers before it starts anew
 LONG = 64  # longer words are not remembered
 _IRREGULAR = regex.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 _BEYOND_LATIN = regex.compile("[^\\x00-\u024f]")
