@@ -71,6 +71,11 @@ def since(ts: Column, as_of: str | Column, days: int) -> Column:
     return ts >= F.timestamp_add("DAY", F.lit(-days), as_instant(as_of))
 
 
+def until(ts: Column, as_of: str | Column) -> Column:
+    """Rows up to ``as_of``, included."""
+    return ts <= as_instant(as_of)
+
+
 def before(ts: Column, as_of: str | Column, days: int) -> Column:
     return ts < F.timestamp_add("DAY", F.lit(-days), as_instant(as_of))
 

@@ -9,7 +9,6 @@ from curbline.functions import text
 
 PACK_CHARS = 800  # fixed value
 WINDOW_CHARS, WINDOW_OVERLAP = 1000, 100  # fixed values
-METADATA_CHARS = 1000  # fixed value
 
 
 def _chunk_starts(lengths: Column, limit: int) -> Column:
@@ -78,13 +77,16 @@ def overlapping_windows(
     )
 
 
-def vector_records(chunks: DataFrame, source: str) -> DataFrame:
-    """Id and metadata under which a chunk's vector is stored."""
+def vector_records(chunks: DataFrame, source: str, text_chars: int | None = None) -> DataFrame:
+    """Id and metadata under which a chunk's vector is stored; ``text_chars`` shortens the stored text."""
+    text_column = F.col("chunk_text")
+    if text_chars is not None:
+        text_column = F.substring("chunk_text", 1, text_chars)
     return chunks.select(
         F.concat_ws("_chunk_", F.col(source).cast("string"), F.col("chunk_id").cast("string")).alias("id"),
         F.col(source).cast("string").alias("source"),
         "chunk_id",
-        F.substring("chunk_text", 1, METADATA_CHARS).alias("chunk_text"),
+        text_column.alias("chunk_text"),
     )
 
 

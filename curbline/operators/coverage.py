@@ -35,7 +35,7 @@ def latest_info(info: DataFrame) -> DataFrame:
 def active_ratio(status: DataFrame, as_of: str | Column, days: int = ACTIVE_DAYS) -> DataFrame:
     """Share of a station's recent snapshots that had a bike."""
     has_bike = (F.coalesce("num_bikes_available", F.lit(0)) > 0).cast("int")
-    recent = status.filter(times.since(F.col("snapshot_ts"), as_of, days))
+    recent = status.filter(times.since(F.col("snapshot_ts"), as_of, days) & times.until(F.col("snapshot_ts"), as_of))
     return recent.groupBy("station_id").agg(F.avg(has_bike).alias("active_ratio"))
 
 

@@ -210,9 +210,10 @@ def top_predicted(
 def compare_families(
     features: DataFrame, label: str, holdout_days: int = 28
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fit all families on the earlier rows and score the later ones, the series model included.
+    """Fit all families on the earlier rows and score all rows, the series model included.
 
-    Returns the fitted models and the scored hold-out rows. ``features`` should be a stored table.
+    Returns the fitted models and the scored rows; ``holdout`` marks the later ones, on which errors
+    are to be compared. ``features`` should be a stored table.
     """
     train, holdout = split_by_time(features, holdout_days)
     frame = spread_out(cut_lineage(model_frame(train, train, label))).persist()
@@ -221,5 +222,6 @@ def compare_families(
     finally:
         frame.unpersist()
     params = forecast.fit_seasonal_ar(train, label)
-    rows = forecast.one_step_forecast(holdout, features, params, label, SERIES)
+    flagged = train.withColumn("holdout", F.lit(False)).unionByName(holdout.withColumn("holdout", F.lit(True)))
+    rows = forecast.one_step_forecast(flagged, features, params, label, SERIES)
     return models, score(models, model_frame(rows, train, label))

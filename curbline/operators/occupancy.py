@@ -80,7 +80,9 @@ def train_rows(features: DataFrame, as_of: str | Column) -> DataFrame:
 
 
 def eval_rows(features: DataFrame, as_of: str | Column) -> DataFrame:
-    return features.filter(times.since(F.col("ts"), as_of, EVAL_DAYS)).drop("ts")
+    """The last 7 days before ``as_of``; later rows are not known then."""
+    ts = F.col("ts")
+    return features.filter(times.since(ts, as_of, EVAL_DAYS) & times.until(ts, as_of)).drop("ts")
 
 
 def with_class_weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
@@ -96,7 +98,7 @@ def with_class_weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
 
 def _prepare() -> list:
     return [
-        StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
+        StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="error"),
         FeatureHasher(
             inputCols=INPUTS,
             numFeatures=HASH_SLOTS,
@@ -138,21 +140,21 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
         fitted = side_by_side(rows.sparkSession, jobs)
     finally:
         ready.unpersist()
-    return {name: PipelineModel(stages=[*prepared.stages, fit, back]) for name, fit in fitted.items()}
+    # Labels are indexed for the fit only: scoring neither needs them nor drops rows with unseen ones.
+    return {name: PipelineModel(stages=[*prepared.stages[1:], fit, back]) for name, fit in fitted.items()}
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Predicted label per row; serving rows without a label need none."""
-    ready = rows if "label" in rows.columns else rows.withColumn("label", F.lit(model.stages[0].labels[0]))
+    """Predicted label per row, whatever its own label is."""
     kept = [c for c in rows.columns]
-    scored = model.transform(ready)
+    scored = model.transform(rows)
     extra = ["probability"] if "probability" in scored.columns else []
     return scored.select(*kept, "predicted_label", *extra)
 
 
 def label_probabilities(model: PipelineModel, scored: DataFrame) -> DataFrame:
     """One row per input row and label with its probability."""
-    labels = F.array(*[F.lit(label) for label in model.stages[0].labels])
+    labels = F.array(*[F.lit(label) for label in model.stages[-1].getLabels()])
     pairs = F.arrays_zip(labels.alias("label"), vector_to_array("probability").alias("prob"))
     kept = [c for c in scored.columns if c not in ("probability", "label")]
     return scored.select(*kept, F.inline(pairs).alias("class_label", "prob"))

@@ -158,16 +158,16 @@ def cosine_distance_top_k(
     return found.withColumn("distance", F.round(1 - F.col("score"), SCORE_PLACES)).drop("score")
 
 
-def with_chunk_text(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Vectors with their chunk text."""
-    return embeddings.join(chunks, ["source", "chunk_id"])
+def with_chunk_text(embeddings: DataFrame, chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Vectors with their chunk text: of one chunk, or with the key ``source`` of all chunks of a source."""
+    return embeddings.join(chunks, keys or ["source", "chunk_id"])
 
 
 def context_block(hits: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     """The retrieved chunks of each query as one text, best first.
 
-    ``hits`` has ``query_id, rank, source, chunk_id, score, chunk_text`` and at
-    most k rows per query.
+    ``hits`` has ``query_id, rank, source, chunk_id, score, chunk_text``; chunks
+    of one rank follow in their order.
     """
     entry = F.concat(
         F.lit("[source="), F.col("source"), F.lit(", chunk_id="), F.col("chunk_id").cast("string"),
@@ -175,7 +175,7 @@ def context_block(hits: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     )
     return hits.groupBy("query_id").agg(
         F.concat_ws(
-            separator, F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))).getField("entry")
+            separator, F.sort_array(F.collect_list(F.struct("rank", "chunk_id", entry.alias("entry")))).getField("entry")
         ).alias("context")
     )
 

@@ -283,7 +283,7 @@ def cluster_feature_importance(t):
 @query("kmeans_clusters", "M-17 M-19 M-21")
 def kmeans_clusters(t):
     stored = stored_features(t)
-    model, _ = clusters.kmeans(stored, starts=3)
+    model, _ = clusters.kmeans(stored)
     return rounded(clusters.run_table(clusters.label_clusters(clusters.assign(model, stored)), RUN_ID))
 
 
@@ -291,7 +291,7 @@ def kmeans_clusters(t):
 def training_run_registry(t):
     """The registry row of a clustering run, with parameters and metrics as JSON text."""
     stored = stored_features(t)
-    model, inertia = clusters.kmeans(stored, starts=2)
+    model, inertia = clusters.kmeans(stored)
     labelled = clusters.label_stations(clusters.assign(model, stored))
     return registry.training_run_row(
         clusters.cluster_summary(labelled), RUN_ID, MODEL["model_id"], "stations-2024a",

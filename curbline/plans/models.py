@@ -174,27 +174,59 @@ def holdout_split(t):
 _FAMILIES = [demand_models.LINEAR, demand_models.FOREST, demand_models.BOOSTED, demand_models.SERIES]
 
 
-def _scored_holdout(t, label):
+def _scored(t, label):
+    """Predictions of all families for every feature row."""
     _, scored = demand_models.compare_families(features(t), label)
-    extra = [*CALENDAR_KEY, "station_name"]
-    return demand_models.long_predictions(scored, _FAMILIES, extra)
+    extra = [*CALENDAR_KEY, "station_name", "holdout"]
+    return cut_lineage(demand_models.long_predictions(scored, _FAMILIES, extra))
+
+
+def _selection(t, label):
+    errors = cut_lineage(demand_models.model_rmse(_scored(t, label).where("holdout")))
+    best = demand_models.select_best(errors).select("model_name", F.lit(True).alias("is_best"))
+    return errors.join(best, "model_name", "left").fillna(False, ["is_best"])
+
+
+def _predicted(t, label, output):
+    """Demand table over all feature rows from the family with the least hold-out error."""
+    scored = _scored(t, label)
+    winner = demand_models.select_best(demand_models.model_rmse(scored.where("holdout"))).select("model_name")
+    chosen = scored.join(winner.limit(1), "model_name", "left_semi")
+    return demand_models.predicted_table(chosen, "y_pred", output)
 
 
 @query("pickup_model_selection", "M-2 M-3 M-4 M-5 M-6 M-7 W-2")
 def pickup_model_selection(t):
     """Errors of the four families on the same hold-out rows, the best one marked."""
-    errors = cut_lineage(demand_models.model_rmse(_scored_holdout(t, "pickups")))
-    best = demand_models.select_best(errors).select("model_name", F.lit(True).alias("is_best"))
-    return errors.join(best, "model_name", "left").fillna(False, ["is_best"])
+    return _selection(t, "pickups")
+
+
+@query("dropoff_model_selection", "M-2 M-3 M-4 M-5 M-6 M-7 W-2")
+def dropoff_model_selection(t):
+    return _selection(t, "dropoffs")
 
 
 @query("predicted_dropoffs", "M-2 M-3 M-4 M-5 M-8 A-11")
 def predicted_dropoffs(t):
-    """Demand table from the family with the least hold-out error."""
-    scored = cut_lineage(_scored_holdout(t, "dropoffs"))
-    winner = demand_models.select_best(demand_models.model_rmse(scored)).select("model_name")
-    chosen = scored.join(winner, "model_name", "left_semi")
-    return demand_models.predicted_table(chosen, "y_pred", "predicted_dropoffs")
+    return _predicted(t, "dropoffs", "predicted_dropoffs")
+
+
+@query("predicted_pickups", "M-2 M-3 M-4 M-5 M-8 A-11")
+def predicted_pickups(t):
+    return _predicted(t, "pickups", "predicted_pickups")
+
+
+@query(
+    "predicted_demand_keys",
+    "M-8",
+    """
+SELECT station_id, day_of_week, hour, is_weekend, 1 AS predictions FROM demand GROUP BY station_id, day_of_week, hour, is_weekend""",
+)
+def predicted_demand_keys(t):
+    """The keys of the fitted pickup table with a prediction: one for every key of the features."""
+    keys = ["station_id", "day_of_week", "hour", "is_weekend"]
+    table = _predicted(t, "pickups", "predicted_pickups").where("predicted_pickups IS NOT NULL")
+    return table.groupBy(*keys).agg(F.count("*").cast("int").alias("predictions"))
 
 
 @query("occupancy_features", "M-9 P-5 P-9 P-15 P-16", "SELECT * FROM occupancy")

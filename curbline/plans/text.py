@@ -29,10 +29,7 @@ def document_sentences(t):
     return listed.withColumn("pos", F.col("pos") + 1)
 
 
-@query(
-    "packed_chunks",
-    "X-3",
-    """
+PACKED_CHUNKS = """
 WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, list_transform(s, lambda x: length(x)) AS n FROM sentence_list WHERE len(s) > 0),
 packs(doc_id, i, used, chunk) AS (
   SELECT doc_id, 1, n[1], 0 FROM sized
@@ -41,18 +38,24 @@ packs(doc_id, i, used, chunk) AS (
     CASE WHEN p.used + z.n[p.i + 1] > 800 THEN p.chunk + 1 ELSE p.chunk END
   FROM packs p JOIN sized z ON z.doc_id = p.doc_id WHERE p.i < len(z.n))
 SELECT p.doc_id, p.chunk AS chunk_id, string_agg(l.s[p.i], ' ' ORDER BY p.i) AS chunk_text
-FROM packs p JOIN sentence_list l ON l.doc_id = p.doc_id GROUP BY p.doc_id, p.chunk""",
+FROM packs p JOIN sentence_list l ON l.doc_id = p.doc_id GROUP BY p.doc_id, p.chunk"""
+
+
+@query(
+    "packed_chunks",
+    "X-3",
+    PACKED_CHUNKS,
 )
 def packed_chunks(t):
     return chunks.pack_sentences(t.documents, ["doc_id"])
 
 
-_WINDOWS = """
+DOCUMENT_WINDOWS = """
 SELECT doc_id, source, k AS chunk_id, substring(text, 1 + 900 * k, 1000) AS chunk_text FROM
  (SELECT doc_id, source, text, unnest(range(0, 1 + CAST(greatest(ceil((length(text) - 1000) / 900.0), 0) AS INT))) AS k FROM documents WHERE length(text) > 0) q"""
 
 
-@query("overlapping_windows", "X-4", _WINDOWS)
+@query("overlapping_windows", "X-4", DOCUMENT_WINDOWS)
 def overlapping_windows(t):
     return chunks.overlapping_windows(t.documents, ["doc_id", "source"])
 
@@ -61,8 +64,8 @@ def overlapping_windows(t):
     "chunk_vector_records",
     "X-5",
     f"""
-SELECT concat(CAST(doc_id AS VARCHAR), '_chunk_', CAST(chunk_id AS VARCHAR)) AS id, CAST(doc_id AS VARCHAR) AS source, chunk_id, substring(chunk_text, 1, 1000) AS chunk_text
-FROM ({_WINDOWS}) w""",
+SELECT concat(CAST(doc_id AS VARCHAR), '_chunk_', CAST(chunk_id AS VARCHAR)) AS id, CAST(doc_id AS VARCHAR) AS source, chunk_id, chunk_text
+FROM ({DOCUMENT_WINDOWS}) w""",
 )
 def chunk_vector_records(t):
     return chunks.vector_records(chunks.overlapping_windows(t.documents, ["doc_id"]), "doc_id")
@@ -71,11 +74,12 @@ def chunk_vector_records(t):
 @query(
     "chunks_per_source",
     "X-3 Q-8 S-11",
-    "SELECT source, count(*) AS documents FROM sentence_list WHERE len(s) > 0 GROUP BY source",
+    f"SELECT d.source, count(*) AS chunks, count(DISTINCT c.doc_id) AS documents FROM ({PACKED_CHUNKS}) c JOIN documents d ON d.doc_id = c.doc_id GROUP BY d.source",
 )
 def chunks_per_source(t):
     packed = chunks.pack_sentences(t.documents, ["source", "doc_id"])
-    return packed.filter(F.col("chunk_id") == 0).groupBy("source").agg(F.count("*").alias("documents"))
+    first = F.count_if(F.col("chunk_id") == 0)
+    return packed.groupBy("source").agg(F.count("*").alias("chunks"), first.alias("documents"))
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from curbline.operators import chunks, vectors
 from curbline.plans.registry import query
+from curbline.plans.text import DOCUMENT_WINDOWS
 
 
 def label_queries(t):
@@ -44,27 +45,26 @@ def cosine_distance_top_five(t):
     "chunks_with_vectors",
     "J-12",
     """
-SELECT CAST(v.vec_id AS VARCHAR) AS source, 0 AS chunk_id, v.vec_id, substring(d.text, 1, 1000) AS chunk_text FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE length(d.text) > 0""",
+SELECT CAST(w.doc_id AS VARCHAR) AS source, w.chunk_id, v.vec_id, w.chunk_text FROM embeddings v JOIN (""" + DOCUMENT_WINDOWS + """) w ON w.doc_id = v.vec_id""",
 )
 def chunks_with_vectors(t):
     return _stored_chunks(t).drop("embedding", "label")
 
 
 def _stored_chunks(t):
+    """Every chunk of each document that has a vector."""
     pieces = chunks.overlapping_windows(t.documents, ["doc_id"])
     texts = pieces.select(F.col("doc_id").cast("string").alias("source"), "chunk_id", "chunk_text")
-    stored = t.table("embeddings").withColumns(
-        {"source": F.col("vec_id").cast("string"), "chunk_id": F.lit(0)}
-    )
-    return vectors.with_chunk_text(stored, texts)
+    stored = t.table("embeddings").withColumn("source", F.col("vec_id").cast("string"))
+    return vectors.with_chunk_text(stored, texts, ["source"])
 
 
 @query(
     "retrieval_context",
     "X-9",
     r"""
-SELECT query_id, string_agg('[source=' || CAST(vec_id AS VARCHAR) || ', chunk_id=0, score=' || printf('%.3f', score) || ']' || chr(10) || substring(text, 1, 1000),
-  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM vector_hits h JOIN documents d ON d.doc_id = h.vec_id WHERE length(d.text) > 0 GROUP BY query_id""",
+SELECT query_id, string_agg('[source=' || CAST(vec_id AS VARCHAR) || ', chunk_id=' || chunk_id || ', score=' || printf('%.3f', score) || ']' || chr(10) || chunk_text,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM vector_hits h JOIN (""" + DOCUMENT_WINDOWS + """) w ON w.doc_id = h.vec_id GROUP BY query_id""",
 )
 def retrieval_context(t):
     texts = _stored_chunks(t).select("vec_id", "source", "chunk_id", "chunk_text")

@@ -70,11 +70,11 @@ def new_rows(
     """Rows of ``batch`` whose key ``base`` has not seen, the first copy of each.
 
     ``day`` names a column that follows from the key. Equal keys then share a
-    day, so only the days of the batch are read from ``base``.
+    day, so only the days of the batch are read from ``base``. A NULL day is a day of its own.
     """
     fresh = keyed.earliest_per_key(batch, [key], order)
     if day is None:
         return fresh.join(base.select(key), key, "left_anti").select(*batch.columns)
-    days = fresh.select(day).distinct()
-    seen = base.select(day, key).join(days, day, "left_semi").select(key)
+    days = fresh.select(F.col(day).alias("_day")).distinct()
+    seen = base.select(day, key).join(days, F.col(day).eqNullSafe(F.col("_day")), "left_semi").select(key)
     return fresh.join(seen, key, "left_anti").select(*batch.columns)

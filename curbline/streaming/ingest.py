@@ -44,7 +44,9 @@ def read_base(spark: SparkSession, path: str, days: list[str] | None = None) ->
     chosen = "*" if days is None else "{" + ",".join(days) + "}"
     try:
         return spark.read.option("basePath", path).parquet(f"{path}/{KEY_DAY}={chosen}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
