@@ -110,8 +110,9 @@ def station_totals(trips: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def top_by_total(golden: DataFrame, value: str, k: int) -> DataFrame:
-    totals = golden.groupBy("station_id").agg(
-        F.min("station_name").alias("station_name"), F.sum(value).alias(f"total_{value}")
+    totals = golden.groupBy("station_id", "station_name").agg(F.sum(value).alias(f"total_{value}"))
+    totals = totals.groupBy("station_id").agg(
+        F.min("station_name").alias("station_name"), F.sum(f"total_{value}").alias(f"total_{value}")
     )
     return keyed.top_k(totals, k, F.desc(f"total_{value}"), F.asc("station_id"))
 

@@ -31,11 +31,6 @@ def earliest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return _pick(df, keys, order, newest=False)
 
 
-def any_per_key(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One value per key and column; the smallest, so reruns agree."""
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns])
-
-
 def keep_minimum(df: DataFrame, column: str) -> DataFrame:
     """All rows that hold the least value of ``column``: ties stay, NULL never does."""
     return df.filter(F.col(column) == df.agg(F.min(column)).scalar())

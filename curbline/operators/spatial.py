@@ -134,7 +134,7 @@ def radius_summary(
 
 
 def nearest_site(
-    left: DataFrame, right: DataFrame, metric: Metric = SPHERE, identity: str = "near_id"
+    left: DataFrame, right: DataFrame, metric: Metric = SPHERE, identity: str = "near_id", spread: int = 8
 ) -> DataFrame:
     """The nearest right site for every left site: ``near_*`` columns and ``distance``.
 
@@ -142,8 +142,9 @@ def nearest_site(
     found at which a left site has any right site in an adjacent cell; that
     bounds the distance by 2 * sqrt(dimensions) cells, which is less than one
     cell of the next level. So the adjacent cells of the next level hold the
-    nearest site. Distances that round to the same value tie and the smaller
-    ``identity`` wins.
+    nearest site. Only right sites in cells that some search visits are loaded,
+    and the sites of a cell are split into ``spread`` parts. Distances that
+    round to the same value tie and the smaller ``identity`` wins.
     """
     names = _names(metric)
     scales = F.explode(F.sequence(F.lit(0), F.lit(metric.levels - 1)))
@@ -159,14 +160,17 @@ def nearest_site(
         .agg(F.least(F.min("_level") + 1, F.lit(metric.levels - 1)).alias("_level"))
     )
     search = _neighbourhood(_with_cell(reach, metric, size), metric, size)
-    near = layered.withColumnRenamed("lat", "near_lat").withColumnRenamed("lng", "near_lng")
-    payload = [c for c in near.columns if c not in ("_level", *names)]
+    visited = search.select("_level", *names).distinct()
+    near = _spread(layered.join(visited, ["_level", *names], "left_semi"), spread)
+    near = near.withColumnRenamed("lat", "near_lat").withColumnRenamed("lng", "near_lng")
+    payload = [c for c in near.columns if c not in ("_level", "_part", *names)]
     distance = metric.distance(
         F.col("lat"), F.col("lng"), F.col("near_lat"), F.col("near_lng")
     )
     tie = F.struct(F.round("distance", metric.tie_places), F.col(identity))
     return (
-        search.join(near, ["_level", *names])
+        _replicate(search, spread).hint("merge")
+        .join(near, ["_level", *names, "_part"])
         .withColumn("distance", distance)
         .groupBy("lat", "lng")
         .agg(F.min_by(F.struct(*payload, "distance"), tie).alias("_near"))

@@ -4,13 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  registers the queries
 from curbline.operators import coverage, demand, reviews, spatial
 from curbline.plans.registry import QUERIES
 from tests.conftest import SMALL
 
 EAGER = {
-    "pickup_model_selection", "predicted_dropoffs", "occupancy_model_metrics", "occupancy_probabilities",
+    "pickup_model_selection", "dropoff_model_selection", "predicted_pickups", "predicted_dropoffs",
+    "predicted_demand_keys", "occupancy_model_metrics", "occupancy_probabilities",
     "kmeans_clusters", "training_run_registry",
 }
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
@@ -20,7 +21,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER and not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER and not n.startswith("stream_")])
 def test_no_cross_product_and_no_row_wise_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert not [node for node in FORBIDDEN if node in plan]

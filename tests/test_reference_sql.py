@@ -8,8 +8,10 @@ from tests.conftest import SMALL
 from tools.compare import compare, connect
 
 # These fit models; tests/test_models.py looks at their results.
-FITTED = {"pickup_model_selection", "predicted_dropoffs", "occupancy_model_metrics"}
-QUERIES = entry.queries()
+FITTED = {
+    "pickup_model_selection", "dropoff_model_selection", "predicted_pickups", "predicted_dropoffs", "occupancy_model_metrics",
+}
+QUERIES = entry.QUERIES
 
 
 @pytest.fixture(scope="module")
