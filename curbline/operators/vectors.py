@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from curbline.operators import keyed
 
 EPSILON = 1e-9  # fixed value: added to a norm before dividing
 SCORE_PLACES = 6  # scores that agree to this many places tie, and the smaller id wins
-MAX_SHARED_QUERIES = 256  # more queries than this take the blocked path
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 4096  # rows of one side of a block product
 
 
 def norm(vector: Column) -> Column:
@@ -42,8 +37,10 @@ def mean_vectors(df: DataFrame, group: str, column: str = "embedding") -> DataFr
     )
 
 
-def _matrix(values) -> np.ndarray:
-    return np.asarray(list(values), dtype="float64")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix, straight from their shared buffer."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype("float64", copy=False)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -55,98 +52,57 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _score_batches(query_ids: list, query_type: pa.DataType, query_matrix: np.ndarray, id_name: str, k: int):
-    unit_queries = _unit(query_matrix)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(id_name).to_numpy(zero_copy_only=False)
-            vectors = _matrix(batch.column("embedding").to_numpy(zero_copy_only=False))
-            scores = np.round(unit_queries @ _unit(vectors).T, SCORE_PLACES)
-            picks = [_best(row, ids, k) for row in scores]
-            counts = [len(pick) for pick in picks]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q for q, n in zip(query_ids, counts) for _ in range(n)], type=query_type),
-                    batch.column(id_name).take(pa.array(np.concatenate(picks))),
-                    pa.array(np.concatenate([row[pick] for row, pick in zip(scores, picks)])),
-                ],
-                names=["query_id", id_name, "score"],
-            )
-
-    return score
-
-
 def _score_group(id_name: str, k: int):
-    def score(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        ids = vectors[id_name].to_numpy()
-        if len(queries) == 0 or len(ids) == 0:
-            return pd.DataFrame({"query_id": [], id_name: [], "score": []})
-        scores = np.round(
-            _unit(_matrix(queries["embedding"])) @ _unit(_matrix(vectors["embedding"])).T, SCORE_PLACES
+    def score(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        names, ids = queries.column("query_id"), vectors.column(id_name)
+        picked, query, scores = [], [], []
+        if len(names) and len(ids):
+            products = _unit(_matrix(queries.column("embedding"))) @ _unit(_matrix(vectors.column("embedding"))).T
+            products, order = np.round(products, SCORE_PLACES), ids.to_numpy()
+            for i, row in enumerate(products):
+                pick = _best(row, order, k)
+                picked.append(pick)
+                query.append(np.full(len(pick), i))
+                scores.append(row[pick])
+        whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table(
+            {
+                "query_id": names.take(pa.array(whole(query, "int64"))),
+                id_name: ids.take(pa.array(whole(picked, "int64"))),
+                "score": pa.array(whole(scores, "float64")),
+            }
         )
-        parts = []
-        for query, row in zip(queries["query_id"], scores):
-            pick = _best(row, ids, k)
-            parts.append(pd.DataFrame({"query_id": query, id_name: ids[pick], "score": row[pick]}))
-        return pd.concat(parts)
 
     return score
 
 
-def _blocked_scores(queries: DataFrame, vectors: DataFrame, id_name: str, k: int, schema) -> DataFrame:
-    """Block matrix product: every group holds one block of queries and one of vectors.
-
-    Block numbers come from a hash of distinct ids, so blocks stay near
-    ``BLOCK_ROWS`` rows however the values are distributed.
-    """
-
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // BLOCK_ROWS))
-
-    q_blocks, v_blocks = blocks(queries), blocks(vectors)
-
-    def tile(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)).cast("array<long>"))
-        )
-
-    left = tile(queries, "query_id", "_q", q_blocks, "_v", v_blocks).groupBy("_q", "_v")
-    right = tile(vectors, id_name, "_v", v_blocks, "_q", q_blocks).groupBy("_q", "_v")
-    return left.cogroup(right).applyInPandas(_score_group(id_name, k), schema)
-
-
-def cosine_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, id_name: str = "vec_id",
-    max_shared: int = MAX_SHARED_QUERIES,
-) -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_name: str = "vec_id") -> DataFrame:
     """The ``k`` most similar vectors of every query: ``query_id, id, score, rank``.
 
-    Exact. Up to ``max_shared`` queries are sent to all tasks as one matrix;
-    each task multiplies its Arrow batches and passes on ``k`` rows per batch
-    and query. More queries take the blocked path. ``queries`` has
-    ``query_id, embedding``.
+    Exact, as a block matrix product: every group holds one block of queries and
+    one of vectors and passes on ``k`` rows per query. Block numbers come from a
+    hash of the ids, so blocks stay near ``BLOCK_ROWS`` rows. The work is the
+    product of both sides; a vector is sent once per block of queries.
+    ``queries`` has ``query_id, embedding``; NULL vectors match nothing.
     """
-    queries = queries.select("query_id", "embedding")
+    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     vectors = vectors.select(id_name, "embedding").filter(F.col("embedding").isNotNull())
     schema = T.StructType(
         [queries.schema["query_id"], vectors.schema[id_name], T.StructField("score", T.DoubleType())]
     )
-    shared = queries.limit(max_shared + 1).collect()
-    if not shared:
-        best = vectors.sparkSession.createDataFrame([], schema)
-    elif len(shared) <= max_shared:
-        task = _score_batches(
-            [row["query_id"] for row in shared],
-            to_arrow_type(schema["query_id"].dataType),
-            _matrix(row["embedding"] for row in shared),
-            id_name, k,
+
+    def blocks(df: DataFrame) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(1)).cast("long")).scalar()
+
+    def tile(df: DataFrame, key: str, own: str, other: str, own_n: Column, other_n: Column) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), own_n)).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), other_n - 1))
         )
-        best = vectors.mapInArrow(task, schema)
-    else:
-        best = _blocked_scores(queries, vectors, id_name, k, schema)
+
+    q_blocks, v_blocks = blocks(queries), blocks(vectors)
+    left = tile(queries, "query_id", "_q", "_v", q_blocks, v_blocks).groupBy("_q", "_v")
+    right = tile(vectors, id_name, "_v", "_q", v_blocks, q_blocks).groupBy("_q", "_v")
+    best = left.cogroup(right).applyInArrow(_score_group(id_name, k), schema)
     return keyed.top_k_per_group(best, ["query_id"], k, F.desc("score"), F.asc(id_name))
 
 

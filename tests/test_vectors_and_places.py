@@ -1,4 +1,4 @@
-"""Retrieval against numpy, both scoring paths, and place matching against brute force."""
+"""Retrieval against numpy, and place matching against brute force."""
 
 import numpy as np
 import pytest
@@ -21,17 +21,17 @@ def brute(queries, stored, k):
     return result
 
 
-@pytest.mark.parametrize("shared", [256, 3])
-def test_top_k_on_both_paths(spark, frame, monkeypatch, shared):
+@pytest.mark.parametrize("block", [4096, 16, 3])
+def test_top_k_with_any_block_size(spark, frame, monkeypatch, block):
     """Ties, a zero vector and k above the number of rows included."""
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
     rng = np.random.default_rng(3)
     stored = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(90)] + [(90, [0.0] * 4)]
     queries = [(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(8)]
     v = frame(stored, "vec_id long, embedding array<double>").repartition(5)
     q = frame(queries, "query_id string, embedding array<double>")
     for k in (5, 200):
-        got = vectors.cosine_top_k(q, v, k, max_shared=shared)
+        got = vectors.cosine_top_k(q, v, k)
         assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == brute(queries, stored, k)
 
 
