@@ -1,5 +1,6 @@
 """Station features, clusters, labels and registry rows."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from curbline.operators import clusters, keyed, registry, station_features
@@ -287,6 +288,29 @@ def kmeans_clusters(t):
     return rounded(clusters.run_table(clusters.label_clusters(clusters.assign(model, stored)), RUN_ID))
 
 
+@query(
+    "kmeans_nearest_centres",
+    "M-17",
+    "SELECT count(*) AS stations, count(*) AS at_nearest_centre FROM features",
+)
+def kmeans_nearest_centres(t):
+    """Stations whose cluster is the one with the nearest centre: all of them."""
+    stored = stored_features(t)
+    model, _ = clusters.kmeans(stored)
+    scaled = model.transform(stored.fillna(0, clusters.CLUSTER_FEATURES)).withColumn("x", vector_to_array("_scaled"))
+    gaps = [
+        F.aggregate(
+            F.zip_with("x", F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)),
+            F.lit(0.0), lambda total, d: total + d,
+        )
+        for centre in model.stages[-1].clusterCenters()
+    ]
+    own = F.get(F.array(*gaps), F.col("cluster"))
+    return scaled.agg(
+        F.count("*").alias("stations"), F.count_if(own <= F.least(*gaps) + 1e-9).alias("at_nearest_centre")
+    )
+
+
 @query("training_run_registry", "M-21 M-22")
 def training_run_registry(t):
     """The registry row of a clustering run, with parameters and metrics as JSON text."""

@@ -1,10 +1,14 @@
 """Demand and occupancy models."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from curbline.operators import demand, demand_models, forecast, occupancy
+from curbline.functions.times import as_instant
+from curbline.operators import demand, demand_models, forecast, occupancy, schedule
 from curbline.plans.inputs import AS_OF
 from curbline.plans.registry import query
+from curbline.plans.schedule import scheduled
 from curbline.session import cut_lineage
 
 CALENDAR_KEY = ["station_id", "day_of_week", "hour", "is_weekend"]
@@ -305,3 +309,44 @@ def occupancy_probabilities(t):
     train, evaluation = _parts(t)
     models = occupancy.fit_classifiers(cut_lineage(occupancy.with_class_weights(train)), ["lr"])
     return occupancy.label_probabilities(models["lr"], occupancy.predict(models["lr"], evaluation))
+
+
+@query(
+    "occupancy_request_scores",
+    "M-15",
+    _SPLIT + """
+SELECT r.route_id, h.hour_of_day, (SELECT count(DISTINCT label) FROM parts WHERE part = 'train') AS levels, CAST(1 AS DOUBLE) AS total
+FROM (SELECT DISTINCT route_id FROM occupancy) r, (SELECT unnest([8, 17]) AS hour_of_day) h""",
+)
+def occupancy_request_scores(t):
+    """Requests (route, time) to probabilities: one per seat level, which add up to 1."""
+    train, _ = _parts(t)
+    model = occupancy.fit_classifiers(cut_lineage(occupancy.with_class_weights(train)), ["lr"])["lr"]
+    routes = occupancy.occupancy_features(t.vehicle_positions).select("route_id").distinct()
+    times_asked = F.explode(F.array(*[F.timestamp_add("HOUR", F.lit(h), as_instant(AS_OF)) for h in (8, 17)]))
+    requests = routes.select("route_id", F.lit("IN_TRANSIT_TO").alias("current_status"), times_asked.alias("ts"))
+    asked = occupancy.serving_features(requests, schedule.route_centres(scheduled(t)))
+    scored = occupancy.label_probabilities(model, occupancy.predict(model, asked))
+    return scored.groupBy("route_id", "hour_of_day").agg(
+        F.count("*").alias("levels"), F.round(F.sum("prob"), 6).alias("total")
+    )
+
+
+@query(
+    "occupancy_rows_scored",
+    "M-12 M-13 M-14 U-1",
+    _SPLIT + """
+SELECT m.model, (SELECT count(*) FROM parts WHERE part = 'eval') AS rows, true AS in_range
+FROM (SELECT unnest(['lr', 'bt', 'rf', 'dnn']) AS model) m""",
+)
+def occupancy_rows_scored(t):
+    """Every fitted family scores every evaluation row; all measures are shares."""
+    train, evaluation = _parts(t)
+    models = occupancy.fit_classifiers(cut_lineage(occupancy.with_class_weights(train)))
+    measures = {
+        name: occupancy.evaluate({name: model}, evaluation).drop("model") for name, model in models.items()
+    }
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1_score")]
+    return demand_models.union_metrics(measures, "model").select(
+        "model", "rows", reduce(lambda a, b: a & b, shares).alias("in_range")
+    )
