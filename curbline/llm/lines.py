@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from curbline.llm.common import fresh, numbered, stored
 from curbline.llm.rules import words
 
+SALTS = 8  # parts that the rows of one line or run are dealt into
 LINE_BITS = 27  # lines of one text: a position is its document's number and then the line
 
 
@@ -48,9 +49,14 @@ def line_positions(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
 
 
 def _ranked(rows: DataFrame, *key: str) -> DataFrame:
-    """(p, f): positions whose key occurs again, with the first position of that key."""
+    """(p, f): positions whose key occurs again, with the first position of that key.
+
+    A very common line is reduced in the map tasks, and its rows meet their result in ``SALTS`` parts.
+    """
     first = rows.groupBy(*key).agg(F.min("p").alias("f"), F.max("p").alias("last")).where("f < last").drop("last")
-    return rows.join(first, list(key)).select("p", "f")
+    parts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, [*key, "salt"]).select("p", "f")
 
 
 def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
