@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every job relies on. Timestamps are kept as UTC wall-clock
 # values (timestamp_ntz), so the session zone has to be UTC.
@@ -21,6 +22,7 @@ RUNTIME_CONF = {
 }
 
 _local_base: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -48,8 +50,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; :func:`drop_scratch` deletes it."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has stored below the shared folder.
+
+    Call it when no frame built on them is needed any more, for example after a query's result is written.
+    """
+    context = spark.sparkContext
+    for name in _scratch.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -64,13 +79,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for a stored frame that an iterative fit reads many times.
+    """One partition per core and more, dealt by the hash of the rows, for a frame that a fit reads many times.
 
-    A small table is stored in few parts, which would leave most cores idle in every iteration.
-    Only for frames that need no shuffle any more: counting the partitions of others runs them.
+    The same rows share a partition however they were stored, so a fit does not depend on the files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    context = df.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plain = [c for c, kind in df.dtypes if kind != "vector"]
+    return df.repartition(parts, F.xxhash64(*plain))
 
 
 def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], object]]) -> dict[str, object]:
