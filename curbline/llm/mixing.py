@@ -74,13 +74,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
     weights, bias = np.zeros((len(domains), 1 << FEATURE_BITS)), np.zeros(len(domains))
     if len(domains) == 1:
         return domains, weights.astype(np.float32), bias
-    parts = [np.frombuffer(b, np.int32) for b in rows["slots"]]
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    slot = np.concatenate(parts).astype(np.int64)
+    y, n = np.searchsorted(domains, rows["domain"].to_numpy()), len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), rows["slots"].str.len() // 4)
+    slot = np.frombuffer(b"".join(rows["slots"]), np.int32)
+    del rows
     common = np.bincount(slot, minlength=1 << FEATURE_BITS)[slot] >= MIN_ROWS
     row, slot = row[common], slot[common]
-    y = np.searchsorted(domains, rows["domain"].to_numpy())
-    n, truth = len(parts), np.eye(len(domains))[y]
+    truth = np.eye(len(domains))[y]
     bias = np.log(truth.mean(axis=0) + 1e-9)
     seen, seen_bias = np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
     for _ in range(EPOCHS):

@@ -81,8 +81,8 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(column), FEATURES), np.float32)
     for first, _, data, offsets in chunks(column):
         slot, row = _slots(data, offsets)
-        for at in range(0, len(slot), 1 << 17):  # bounds the gathered vectors
-            v, r = vectors[slot[at : at + (1 << 17)]], row[at : at + (1 << 17)]
+        for at in range(0, len(slot), 1 << 15):  # bounds the gathered vectors
+            v, r = vectors[slot[at : at + (1 << 15)]], row[at : at + (1 << 15)]
             starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
             own = first + r[starts]
             out[own, :DIM] += np.add.reduceat(v, starts)

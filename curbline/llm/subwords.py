@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 
-MAX_WORDS = 700_000  # words a worker remembers before it starts anew
+MAX_WORDS = 300_000  # words a worker remembers before it starts anew
 LONG = 64  # longer words are not remembered
 _IRREGULAR = regex.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 _BEYOND_LATIN = regex.compile("[^\\x00-\u024f]")
@@ -80,7 +80,7 @@ class Encoder:
             ids = self.parts.get(part)
             if ids is None:
                 printed = part.encode().decode("latin-1").translate(_STAND_IN)
-                ids = [t.id for t in self.model.tokenize(printed)]
+                ids = tuple([t.id for t in self.model.tokenize(printed)])
                 if len(part) <= LONG:
                     self.parts[part] = ids
             found += ids
@@ -134,7 +134,7 @@ def encoder(path: str, blanks: bool) -> Encoder:
     return _encoders[path, blanks]
 
 
-def slices(column: pa.Array, limit: int = 8 << 20):
+def slices(column: pa.Array, limit: int = 2 << 20):
     """Runs of rows of up to ``limit`` bytes of text (one row at least)."""
     sizes = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0))) if len(column) else []
     first = 0

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 4 << 20  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text handled at once; a longer text is a chunk of its own
 
 _rng = np.random.default_rng(20_240_601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
