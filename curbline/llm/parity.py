@@ -23,7 +23,6 @@ from curbline.llm.tokens import U, chunks, mix, shingles, word_hashes
 SHINGLE = 5
 BAND = 2  # sizes of a band are within this factor
 CROWD = 16  # sets that meet in one key from which on not all pairs of them are listed
-ROUNDS = 6  # of checking one partner per set of a crowd, before all that is left is checked
 FLUSH = 2_000_000  # keys a task gathers before it hands them on
 BUCKET = 1_500_000  # keys a task joins, on average
 KEY_BITS = 39
@@ -238,11 +237,17 @@ def hamming_at_most(n_a: np.ndarray, n_b: np.ndarray, a: list[bytes], b: list[by
     """
     out = 4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)
     limit = most_differing(n_a, n_b)
-    for i in np.flatnonzero(out):
-        x, y = np.frombuffer(a[i], np.uint64), np.frombuffer(b[i], np.uint64)
-        m = min(len(x), len(y))
-        x, y = (np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
-        out[i] = int(np.bitwise_count(x ^ y).sum()) <= limit[i]
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for length_a, length_b in np.unique(sizes[out], axis=0):
+        rows = np.flatnonzero(out & (sizes[:, 0] == length_a) & (sizes[:, 1] == length_b))
+        m = min(length_a, length_b) // 8
+        for at in range(0, len(rows), max(1, (1 << 20) // max(length_a, length_b))):
+            part = rows[at : at + max(1, (1 << 20) // max(length_a, length_b))]
+            x, y = (
+                np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in part), np.uint64).reshape(len(part), -1, m), axis=1)
+                for side in (a, b)
+            )
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit[part]
     return out
 
 
@@ -294,51 +299,48 @@ def open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     return known.join(ends.where("lo < hi").select("key"), "key", "left_semi")
 
 
-def crowded_pairs(open_rows: DataFrame, classes: DataFrame, rejected: DataFrame, every: bool, block: int = 512) -> DataFrame:
+def crowded_pairs(open_rows: DataFrame, classes: DataFrame, every: bool, block: int = 512) -> DataFrame:
     """Pairs (class, other) in crowded keys, of different components, as sizes and sketches leave them.
 
-    With ``every`` all of them; otherwise one per class, the one that differs least and is not in the
-    class's own ``rejected`` (class, others). The members of a key are dealt into blocks, and one task
-    compares two blocks by sketch.
+    With ``every`` all of them; otherwise one per class, the one that differs least. The members of a key
+    are dealt into blocks, and one task compares two blocks by sketch.
     """
     blocks = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = (
-        open_rows.join(blocks, "key")
-        .join(classes.select("class", "n", "sketch"), "class")
-        .join(rejected, "class", "left")
-    )
+    rows = open_rows.join(blocks, "key").join(classes.select("class", "n", "sketch"), "class")
     dealt = (
         rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("x", F.greatest("own", "other"))
         .withColumn("y", F.least("own", "other"))
-        .select("key", "x", "y", "own", "class", "component", "n", "sketch", "others")
+        .select("key", "x", "y", "own", "class", "component", "n", "sketch")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         own, id_, comp, n = (table.column(c).to_numpy() for c in ("own", "class", "component", "n"))
-        known = [np.array(v or [], np.int64) for v in table.column("others").to_pylist()]
         sketch = [np.frombuffer(v, np.uint64) for v in table.column("sketch").to_pylist()]
         m = min(len(v) for v in sketch)
         folded = np.stack([np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in sketch])
         sides = [(np.flatnonzero(own == x), np.flatnonzero(own == y))]
         if x != y and not every:
             sides.append(sides[0][::-1])
-        found = []
-        for left, right in sides:
-            for i in left:
-                rest = right[right > i] if every and x == y else right
-                rest = rest[(comp[rest] != comp[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))]
-                differ = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1)
-                good = differ <= most_differing(n[rest], n[i])
-                if not every and len(known[i]):
-                    good &= ~np.isin(id_[rest], known[i])
-                rest, differ = rest[good], differ[good]
-                if not every and len(rest):
-                    best = np.lexsort((id_[rest], differ))[:1]
-                    rest, differ = rest[best], differ[best]
-                found.append((np.full(len(rest), id_[i]), id_[rest], differ))
+        found, step = [], max(1, (1 << 18) // max(1, len(own) * m))
+        for whole, right in sides:
+            for at in range(0, len(whole), step):  # bounds the table of compared bits
+                left = whole[at : at + step]
+                small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+                differ = np.bitwise_count(folded[left][:, None] ^ folded[right]).sum(axis=2, dtype=np.int64)
+                good = (comp[left][:, None] != comp[right]) & (4 * small >= 3 * large)
+                good &= differ <= most_differing(small, large)
+                if every:
+                    i, j = np.nonzero(good & (left[:, None] < right) if x == y else good)
+                else:
+                    # the least difference, then the smallest id
+                    rank = np.where(good, differ * len(id_) + np.argsort(np.argsort(id_[right])), 1 << 60)
+                    j = rank.argmin(axis=1) if len(right) else np.zeros(0, np.int64)
+                    i = np.flatnonzero(good.any(axis=1))
+                    j = j[i]
+                found.append((id_[left[i]], id_[right[j]], differ[i, j]))
         columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
         return pa.table({c: pa.array(v.astype(np.int64)) for c, v in zip(("class", "other", "differ"), columns, strict=True)})
 
@@ -359,7 +361,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty texts have an empty set, linked with nothing. Rows with equal ids are one vertex, rows with a
     NULL id stand alone without component. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     known = stored(facts(given))
     usable = known.where("n > 0 AND id IS NOT NULL")
@@ -383,7 +384,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = members.distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("class"))
     sets = stored(shingle_sets(given, ids))
-    # one pair per class settles most components; only pairs across components remain to be checked
+    # one pair per class settles most components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(compared(first, sets).where("link").select("a", "b"))
     groups = stored(components(links))
@@ -395,24 +396,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             ends = ends.join(to, side, "left")
         return ends.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    rest = compared(across(pairs).join(first, ["a", "b"], "left_anti"), sets)
-    links = stored(links.unionAll(rest.where("link").select("a", "b")))
-    groups = stored(components(links))
-    # crowds: every set tries its likeliest partner of another component, until none has any left
+    # of what is left across components, all pairs of small keys and the likeliest of each set in a crowd
+    rest = across(pairs).join(first, ["a", "b"], "left_anti")
     crowd = stored(open_members(members, groups))
-    rejected = spark.createDataFrame([], "class long, others array<long>")
-    for turn in range(ROUNDS + 1):
-        tried = stored(crowded_pairs(crowd, classes, rejected, every=turn == ROUNDS))
-        if tried.isEmpty():
-            break
+    for every in (False, True):
+        tried = crowded_pairs(crowd, classes, every)
         ends = tried.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
-        told = stored(compared(ends.distinct(), sets))
-        links = stored(links.unionAll(told.where("link").select("a", "b")))
-        no = tried.withColumn("a", F.least("class", "other")).withColumn("b", F.greatest("class", "other"))
-        no = no.join(told.where("NOT link"), ["a", "b"]).select("class", F.array("other").alias("others"))
-        rejected = stored(rejected.unionAll(no).groupBy("class").agg(F.flatten(F.collect_list("others")).alias("others")))
-        groups = stored(components(links))
-        crowd = stored(open_members(crowd.select("key", "class"), groups))
+        ends = ends if every else ends.unionAll(rest)
+        links = stored(links.unionAll(compared(ends.distinct(), sets).where("link").select("a", "b")))
+        if not every:
+            # then all that crowds still hold across components
+            groups = stored(components(links))
+            crowd = stored(open_members(crowd.select("key", "class"), groups))
     same = named.select(F.col("class").alias("a"), F.col("id").alias("b"))
     every = components(links.unionAll(same))
     return (
