@@ -12,7 +12,8 @@ from tests.conftest import SMALL
 EAGER = {
     "pickup_model_selection", "dropoff_model_selection", "predicted_pickups", "predicted_dropoffs",
     "predicted_demand_keys", "occupancy_model_metrics", "occupancy_probabilities",
-    "kmeans_clusters", "training_run_registry",
+    "kmeans_clusters", "kmeans_nearest_centres", "training_run_registry", "occupancy_request_scores",
+    "occupancy_rows_scored",
 }
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
