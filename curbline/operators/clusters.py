@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbline.operators import keyed
+from curbline.operators import keyed, percentiles
 from curbline.session import side_by_side
 
 DESERT, MODERATE, SERVED = "Transit Desert", "Moderate Coverage", "Well-Served"
@@ -164,17 +164,12 @@ def of_types(df: DataFrame, chosen: list[str], label: str = "rank_label") -> Dat
 
 
 def classify_by_percentile(df: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
-    """Labels from the data's own quartiles instead of fixed thresholds.
+    """Labels from the data's own quartiles instead of fixed thresholds. ``df`` should be a stored table."""
 
-    Distances are counted per 0.1 m and bikes per 0.1 before the percentiles, so
-    that step holds one row per distinct value, not one per station.
-    """
-
-    def cuts(column: str) -> Column:
-        steps = df.groupBy(F.round(column, 1).alias("v")).agg(F.count("*").alias("n"))
-        return steps.agg(F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("n"))).scalar()
+    def cuts(column: str, width: float) -> Column:
+        return percentiles.exact_percentiles(df, column, [low, high], width).scalar()
 
-    staged = df.withColumns({"_d": cuts("distance_to_nearest_m"), "_b": cuts("avg_bikes_morning")})
+    staged = df.withColumns({"_d": cuts("distance_to_nearest_m", 1.0), "_b": cuts("avg_bikes_morning", 0.1)})
     distance, bikes = F.col("distance_to_nearest_m"), F.col("avg_bikes_morning")
     label = (
         F.when((distance > F.col("_d")[1]) | (bikes < F.col("_b")[0]), DESERT)

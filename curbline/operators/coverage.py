@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import places, text, times
-from curbline.operators import keyed, spatial
+from curbline.operators import keyed, percentiles, spatial
 
 ACTIVE_DAYS = 14  # fixed value
 ACTIVE_RATIO = 0.3  # fixed value
-DISTANCE_PLACES = 1  # distances are reported to 0.1 m
+PERCENTILE_STEP_M = 1.0  # distances are counted per metre on the way to exact percentiles
 
 
 def unique_stations(transit: DataFrame) -> DataFrame:
@@ -140,24 +140,21 @@ def farthest_k(cover: DataFrame, k: int = 10) -> DataFrame:
 def distance_summary(cover: DataFrame) -> DataFrame:
     """Counts, compliance and the distribution of nearest distances, in one row.
 
-    Distances are first counted per 0.1 m step. The percentile step then sees at
-    most ``radius / 0.1`` rows, whatever the number of stations.
+    ``cover`` is read several times: pass a stored table.
     """
-    step = F.round("nearest_distance_m", DISTANCE_PLACES)
-    steps = cover.groupBy(step.alias("metres"), "meets_last_mile").agg(F.count("*").alias("n"))
-    # Without any distance the weighted sum and the percentiles stay NULL.
-    measured = F.col("metres").isNotNull()
-    weight = F.when(measured, F.col("n")).otherwise(0)
-    met = F.sum(F.when(F.col("meets_last_mile"), F.col("n")).otherwise(0))
-    median, p90 = (F.percentile("metres", q, weight) for q in (0.5, 0.9))
-    return steps.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_stations"),
-        F.coalesce(met, F.lit(0)).alias("stations_meeting"),
-        F.coalesce(F.sum("n") - met, F.lit(0)).alias("stations_failing"),
-        F.coalesce(F.try_divide(met * 100.0, F.sum("n")), F.lit(0.0)).alias("percent_meeting"),
-        median.alias("median_distance_m"),
-        F.try_divide(F.sum(F.col("metres") * weight), F.sum(weight)).alias("mean_distance_m"),
-        p90.alias("p90_distance_m"),
+    met = F.count_if("meets_last_mile")
+    total = F.count("*")
+    cuts = percentiles.exact_percentiles(cover, "nearest_distance_m", [0.5, 0.9], PERCENTILE_STEP_M).scalar()
+    return cover.agg(
+        total.alias("total_stations"),
+        met.alias("stations_meeting"),
+        (total - met).alias("stations_failing"),
+        F.coalesce(F.try_divide(met * 100.0, total), F.lit(0.0)).alias("percent_meeting"),
+        F.avg("nearest_distance_m").alias("mean_distance_m"),
+    ).select(
+        "total_stations", "stations_meeting", "stations_failing", "percent_meeting",
+        F.get(cuts, F.lit(0)).alias("median_distance_m"), "mean_distance_m",
+        F.get(cuts, F.lit(1)).alias("p90_distance_m"),
     )
 
 

@@ -217,8 +217,8 @@ def chosen_cluster_types(t):
     "percentile_labels",
     "A-30",
     """
-WITH q AS (SELECT quantile_cont(round(distance_to_nearest_m, 1), 0.25) AS d0, quantile_cont(round(distance_to_nearest_m, 1), 0.75) AS d1,
-  quantile_cont(round(avg_bikes_morning, 1), 0.25) AS b0, quantile_cont(round(avg_bikes_morning, 1), 0.75) AS b1 FROM features)
+WITH q AS (SELECT quantile_cont(distance_to_nearest_m, 0.25) AS d0, quantile_cont(distance_to_nearest_m, 0.75) AS d1,
+  quantile_cont(avg_bikes_morning, 0.25) AS b0, quantile_cont(avg_bikes_morning, 0.75) AS b1 FROM features)
 SELECT station_id, CASE WHEN distance_to_nearest_m > d1 OR avg_bikes_morning < b0 THEN 'Transit Desert'
   WHEN distance_to_nearest_m < d0 AND avg_bikes_morning > b1 THEN 'Well-Served' ELSE 'Moderate Coverage' END AS percentile_label FROM features CROSS JOIN q""",
 )

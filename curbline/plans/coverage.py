@@ -7,6 +7,7 @@ from curbline.operators import coverage, spatial
 from curbline.operators.station_features import nearest_and_close
 from curbline.plans.inputs import AS_OF
 from curbline.plans.registry import query
+from curbline.session import cut_lineage
 
 MILE = places.miles_to_metres(1.0)
 
@@ -151,14 +152,14 @@ def latest_station_status(t):
     "coverage_summary",
     "A-18",
     """
-WITH c AS (SELECT meets_last_mile, round(nearest_distance_m, 1) AS m FROM covered)
+WITH c AS (SELECT meets_last_mile, nearest_distance_m AS m FROM covered)
 SELECT count(*) AS total_stations, count(*) FILTER (WHERE meets_last_mile) AS stations_meeting, count(*) FILTER (WHERE NOT meets_last_mile) AS stations_failing,
   round(count(*) FILTER (WHERE meets_last_mile) * 100.0 / count(*), 6) AS percent_meeting, round(quantile_cont(m, 0.5), 6) AS median_distance_m,
   round(avg(m), 6) AS mean_distance_m, round(quantile_cont(m, 0.9), 6) AS p90_distance_m FROM c""",
 )
 def coverage_summary(t):
     return rounded(
-        coverage.distance_summary(covered(t)),
+        coverage.distance_summary(cut_lineage(covered(t))),
         ["percent_meeting", "median_distance_m", "mean_distance_m", "p90_distance_m"], 6,
     )
 
