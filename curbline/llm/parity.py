@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from curbline.llm.common import components, stored
 from curbline.llm.tokens import U, chunks, mix, shingles, word_hashes
+from curbline.session import cut_lineage
 
 SHINGLE = 5
 BAND = 2  # sizes of a band are within this factor
@@ -45,8 +46,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(has):
                 both[0, has] = np.bitwise_xor.reduceat(mix(h), starts)
                 both[1, has] = np.add.reduceat(mix(h + U(0x632BE59BD9B4E019)), starts)
-            # single-bit sketch: a power of two of bits, at least four times the size of the set
-            bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64), 0)
+            # single-bit sketch: a power of two of bits, at least twice the size of the set
+            bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), 0)
             at = np.cumsum(bits) - bits
             flips = np.zeros(int(bits.sum()), np.uint8)
             np.add.at(flips, at[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), 1)
@@ -275,14 +276,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], ["id", "set"])
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents named by ``ids`` (id), each once."""
-    wanted = docs.join(ids.distinct(), "id", "left_semi").select("id", "text")
-    return wanted.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with ``link``: whether their sets have a similarity of 3/4, by exact intersection."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set array<long>")
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -383,10 +380,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = as_class(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")), "class")
     members = members.distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("class"))
-    sets = stored(shingle_sets(given, ids))
+    texts = cut_lineage(given.join(ids.distinct(), "id", "left_semi"))
     # one pair per class settles most components
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(compared(first, sets).where("link").select("a", "b"))
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = stored(compared(first, texts).where("link").select("a", "b"))
     groups = stored(components(links))
 
     def across(df: DataFrame) -> DataFrame:
@@ -403,7 +400,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         tried = crowded_pairs(crowd, classes, every)
         ends = tried.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         ends = ends if every else ends.unionAll(rest)
-        links = stored(links.unionAll(compared(ends.distinct(), sets).where("link").select("a", "b")))
+        links = stored(links.unionAll(compared(stored(ends.distinct()), texts).where("link").select("a", "b")))
         if not every:
             # then all that crowds still hold across components
             groups = stored(components(links))
