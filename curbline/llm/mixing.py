@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from curbline.llm.common import fresh
+from curbline.llm.common import fresh, in_small_batches
 from curbline.llm.tokens import U, chunks, word_hashes
 
 FEATURE_BITS = 18  # word slots of the domain classifier
@@ -57,7 +57,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
         .orderBy(F.xxhash64("key"), "key")
         .limit(MAX_TRAINING_ROWS)
     )
-    sample = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen), "key")
+    sample = in_small_batches(docs).select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen), "key")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
 def add_posteriors(df: DataFrame, weights: np.ndarray, bias: np.ndarray, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens`` (words) and ``posterior`` (one probability per domain); replaces same names."""
     source = fresh(df.columns, "text")[0]
-    given = df.drop("n_tokens", "posterior").withColumn(source, F.col(f"`{text}`"))
+    given = in_small_batches(df).drop("n_tokens", "posterior").withColumn(source, F.col(f"`{text}`"))
     keep = [f for f in given.schema.fields if f.name != source]
     shared = df.sparkSession.sparkContext.broadcast((weights, bias))
     schema = StructType(

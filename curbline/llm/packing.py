@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from curbline.llm.common import fresh, stored
-from curbline.llm.subwords import encoder, slices
+from curbline.llm.common import fresh, in_small_batches, stored
+from curbline.llm.subwords import encoder, forget, slices
 
 GROUP = 20_000  # pieces that one task packs together, on average
 
@@ -47,8 +47,9 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0,
                     ))
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ddl)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ddl)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import components, stored
+from curbline.llm.common import components, in_small_batches, stored
 from curbline.llm.tokens import U, chunks, mix, shingles, word_hashes
 from curbline.session import cut_lineage
 
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty texts have an empty set, linked with nothing. Rows with equal ids are one vertex, rows with a
     NULL id stand alone without component. An empty table gives an empty result.
     """
-    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    given = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     known = stored(facts(given))
     usable = known.where("n > 0 AND id IS NOT NULL")
     # equal sets are one class, named by its smallest id

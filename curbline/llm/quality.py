@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from curbline.llm.common import fresh
+from curbline.llm.common import fresh, in_small_batches
 from curbline.llm.tokens import U, chunks, mix, word_hashes
 
 SLOT_BITS = 14  # word slots; words share a slot by hash, so the vector table is bounded
@@ -173,7 +173,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tuple[np.ndarray, Network]:
     """Word vectors of all ``docs`` and a network fitted on labelled rows that meet ``usable``."""
-    vectors = word_vectors(docs)
+    vectors = word_vectors(in_small_batches(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def score(df: DataFrame, vectors: np.ndarray, network: Network, text: str = "tex
     stays empty.
     """
     source = fresh(df.columns, "text")[0]
-    given = df.drop("score", "predicted").withColumn(source, F.col(f"`{text}`"))
+    given = in_small_batches(df).drop("score", "predicted").withColumn(source, F.col(f"`{text}`"))
     keep = [f for f in given.schema.fields if f.name != source]
     shared = df.sparkSession.sparkContext.broadcast((vectors, network))
 

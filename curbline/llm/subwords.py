@@ -128,12 +128,18 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
-    """One encoder per worker process and file, so that its words outlast a task."""
+    """One encoder per worker process and file, until :func:`forget`."""
     if (path, blanks) not in _encoders:
         _encoders[path, blanks] = Encoder(path, blanks)
     return _encoders[path, blanks]
 
 
+def forget() -> None:
+    """Free the words of all encoders; called at the end of a task, as other work may follow in its process."""
+    for known in _encoders.values():
+        known._forget()
+
+
 def slices(column: pa.Array, limit: int = 2 << 20):
     """Runs of rows of up to ``limit`` bytes of text (one row at least)."""
     sizes = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0))) if len(column) else []

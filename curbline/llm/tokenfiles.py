@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbline.llm import rangecoder
-from curbline.llm.subwords import encoder, slices
+from curbline.llm.common import in_small_batches
+from curbline.llm.subwords import encoder, forget, slices
 
 SEGMENT = 6_000_000  # ids of a segment from which on the next document starts a new one
 
@@ -50,9 +51,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
                     ids, sizes, names, held = [], [], [], 0
         if names:
             yield flush()
+        forget()
 
     order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    given = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     spread = given.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(*order)
     ddl = "part int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
     spread.mapInArrow(coded, ddl).write.option("compression", "uncompressed").parquet(path)
