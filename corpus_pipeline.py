@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality, repeated lines, near duplicates, mixture, packing.
+"""Corpus pipeline: quality, repeated lines, near duplicates, repeated passages, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored before the next one reads
 it; all but the last return the columns of ``documents``.
@@ -45,6 +45,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 words or more are cut inside lines too; a text that loses all its words goes."""
+    done = lines.remove_repeated_passages(docs)
+    left = done.where((F.col("n_words_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    changed = F.when(F.col("n_words_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", changed).select(*COLUMNS)
+
+
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, the fraction decided by the hash of the id.
 
@@ -78,6 +86,7 @@ STAGES = [
     ("quality", keep_good),
     ("lines", drop_repeated_lines),
     ("near_duplicates", drop_near_duplicates),
+    ("passages", drop_repeated_passages),
     ("mixing", mix_domains),
     ("packing", pack_sequences),
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames that are no longer used.
+
+    Its cleaner only learns of them when the driver collects garbage, which may be long after the disk is full.
+    """
+    for _ in range(2):  # what the first round lets go of may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, its session set to send Python 1,000 rows at once: whole texts make the usual 10,000 too large."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -7,6 +7,10 @@ first position of its interval, as later steps need that one and not the sorting
 prefix occurs once drop out, so each level only holds what repeats.
 
 Any run of lines is covered by two runs of 2^k lines, so two ranks name the interval of a run of any length.
+
+Passages that repeat inside longer lines are runs of words. Those of ``min_words`` words and more are unions
+of windows of exactly that many words, so one rank is enough. Only windows around a repeated mark are hashed:
+marks follow some words chosen by hash, and every window holds one, so no repeated window is missed.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbline.llm.common import fresh, numbered, stored
-from curbline.llm.rules import words
+from curbline.llm.common import fresh, let, numbered, release, stored
+from curbline.llm.rules import WHITE, words
 
 SALTS = 8  # parts that the rows of one line or run are dealt into
+MARK_EVERY = 8  # a mark follows one of so many words, by hash
 LINE_BITS = 27  # lines of one text: a position is its document's number and then the line
 
 
@@ -170,3 +175,122 @@ def remove_repeated_runs(
         .drop(d, t, cut, rest)
         .select(*given.columns, "n_lines", "n_removed")
     )
+
+
+def _word_hashes(text: str) -> Column:
+    return F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+
+
+def passage_marks(hashes: Column, min_words: int, size: int) -> Column:
+    """(i, h): places of a text with the hash of their next ``size`` words, so that any two equal windows of
+    ``min_words`` words hold a mark at the same place.
+
+    The first ``min_words - size`` words of a window hold a chosen word, and a mark follows it, or they hold
+    none; then they are part of a stretch without chosen words of that length, where all places are marks.
+    """
+    every = MARK_EVERY if min_words >= 2 * MARK_EVERY else 1
+
+    def placed(w: Column) -> Column:
+        n = F.size(w)
+        chosen = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.get(w, i), F.lit(every)) == 0)
+
+        def spread(b: Column) -> Column:
+            def after(c: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(b, k + 1), n) - 1
+                return F.when(end - c >= min_words - size, F.sequence(c + 1, F.greatest(c + 1, end))).otherwise(F.array(c + 1))
+
+            places = F.filter(F.flatten(F.transform(b, after)), lambda i: i <= n - size)
+            return F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, i + 1, size)).alias("h")))
+
+        return F.when(n >= min_words, let(F.concat(F.array(F.lit(-1)), chosen), spread))
+
+    return let(hashes, placed)
+
+
+def repeated_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """(d, t, starts): per document the sorted first words of windows of ``min_words`` words that occur earlier."""
+    size = max(1, min_words // 6)
+    d, t = _key(doc_id, text)
+    given = docs.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
+    # c only names candidates: documents that share it get each other's marks, and the windows decide
+    c = F.xxhash64("d", "t").alias("c")
+    marks = given.select(c, passage_marks(_word_hashes("text"), min_words, size).alias("marks"))
+    marks = stored(marks.select("c", F.col("marks.i").alias("i"), F.col("marks.h").alias("h")))
+    each = marks.select("c", F.inline(F.arrays_zip("i", "h")))
+    again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    near = stored(each.join(again, "h").groupBy("c").agg(F.sort_array(F.collect_set("i")).alias("near")))
+    del marks, each, again
+    release(docs.sparkSession)
+    near = given.select("d", "t", c).distinct().join(near, "c").drop("c")
+    near = stored(numbered(near, [F.col("d"), F.col("t")], "g"))
+    release(docs.sparkSession)
+
+    def starts(at: Column, n: Column) -> Column:
+        """Windows that hold one of the marks, each once."""
+
+        def around(i: Column, k: Column) -> Column:
+            first = F.greatest(i - (min_words - size), F.lit(0), F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1)
+            last = F.least(i, n - min_words)
+            return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(at, around))
+
+    def windows(w: Column) -> Column:
+        def window(s: Column) -> Column:
+            part = F.slice(w, s + 1, min_words)
+            return F.struct(s.alias("s"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
+
+        return F.transform(starts(F.col("near"), F.size(w)), window)
+
+    rows = given.join(near, ["d", "t"]).select("g", F.inline(let(_word_hashes("text"), windows)))
+    limit = F.when(F.col("s") >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
+    rows = stored(rows.select(F.coalesce(limit, F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
+    release(docs.sparkSession)
+    later = _ranked(rows, "h1", "h2").where("p > f")
+    place = F.col("p").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+    found = later.groupBy(F.shiftright("p", LINE_BITS).alias("g")).agg(F.sort_array(F.collect_set(place)).alias("starts"))
+    return found.join(near.select("d", "t", "g"), "g").select("d", "t", "starts")
+
+
+def remove_repeated_passages(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50
+) -> DataFrame:
+    """``docs`` with later copies of runs of words cut from ``text``, and ``n_words_removed``.
+
+    A run of ``min_words`` words or more that equals an earlier run (by id, then word; it may overlap it) is
+    removed wherever it stands in its lines, with the white space after each of its words; all else stays byte
+    for byte. White space between words is not compared. Documents, their order, NULL texts and other columns
+    are as in ``remove_repeated_runs``. ``docs`` is read several times, so give a stored frame.
+    """
+    given = docs.drop("n_words_removed")
+    d, t, cut, rest, kept = fresh(given.columns, "d", "t", "starts", "words", "kept")
+    found = repeated_windows(given, doc_id, text, min_words)
+    found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("starts").alias(cut))
+    key = _key(doc_id, text)
+    white = WHITE.removesuffix("+")
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{white.replace('[', '[^', 1)}+{white}*"), F.lit(0))
+    # what lies between the end of a window and the start of the next one
+    ends = F.concat(F.col(cut), F.array(F.size(rest)))
+    gaps = F.transform(
+        ends, lambda s, k: F.struct(F.coalesce(F.get(F.col(cut), k - 1) + min_words, F.lit(0)).alias("a"), s.alias("b"))
+    )
+    joined = F.array_join(
+        F.transform(kept, lambda r: F.array_join(F.slice(F.col(rest), r["a"] + 1, r["b"] - r["a"]), "")), ""
+    )
+    left = F.aggregate(kept, F.lit(0), lambda n, r: n + r["b"] - r["a"])
+    return (
+        given.withColumn(d, key[0])
+        .withColumn(t, F.when(F.col(text).isNotNull(), key[1]))
+        .join(found, [d, t], "left")
+        .withColumn(rest, F.when(F.col(cut).isNotNull(), pieces))
+        .withColumn(kept, F.filter(gaps, lambda r: r["a"] < r["b"]))
+        .withColumn("n_words_removed", F.coalesce(F.size(rest) - left, F.lit(0)).cast("long"))
+        .withColumn(
+            text,
+            F.when(F.col(cut).isNull(), F.col(text)).otherwise(
+                F.concat(F.regexp_extract(F.col(text), f"^{white}*", 0), joined)
+            ),
+        )
+        .drop(d, t, cut, rest, kept)
+        .select(*given.columns, "n_words_removed")
+    )
