@@ -459,6 +459,13 @@ FROM (SELECT query_id, list_transform(embedding, lambda x: x / (sqrt(list_sum(li
 CROSS JOIN (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-9)) AS u FROM embeddings) v""",
     "vector_hits": """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vector_scores
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "unit_rows": """
+SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-9)) AS u FROM embeddings""",
+    "row_hits": """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.u, q.u), lambda p: p[1] * p[2])), 6) AS score
+  FROM unit_rows q CROSS JOIN unit_rows v WHERE q.vec_id % 20 = 0) s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
 }
 

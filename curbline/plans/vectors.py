@@ -1,4 +1,5 @@
-"""Vector retrieval. The queries are the mean vectors of the labels."""
+"""Vector retrieval. The queries are the mean vectors of the labels, and in the searches named row_ every
+row whose id is divisible by 20."""
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,14 @@ def hits(t, k=5):
     return vectors.cosine_top_k(label_queries(t), t.table("embeddings"), k)
 
 
+def row_queries(t):
+    return t.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def row_hits(t, k=5):
+    return vectors.cosine_top_k(row_queries(t), t.table("embeddings"), k)
+
+
 @query(
     "unit_vectors",
     "X-6",
@@ -41,6 +50,20 @@ def cosine_distance_top_five(t):
     return vectors.cosine_distance_top_k(label_queries(t), t.table("embeddings"))
 
 
+@query("row_cosine_top_five", "X-7 K-5", "SELECT query_id, vec_id, score, rank FROM row_hits")
+def row_cosine_top_five(t):
+    return row_hits(t)
+
+
+@query(
+    "row_cosine_distance_top_five",
+    "X-8 K-5",
+    "SELECT query_id, vec_id, round(1 - score, 6) AS distance, rank FROM row_hits",
+)
+def row_cosine_distance_top_five(t):
+    return vectors.cosine_distance_top_k(row_queries(t), t.table("embeddings"))
+
+
 @query(
     "chunks_with_vectors",
     "J-12",
@@ -71,6 +94,18 @@ def retrieval_context(t):
     return vectors.context_block(hits(t).join(texts, "vec_id"))
 
 
+@query(
+    "row_retrieval_context",
+    "X-9",
+    r"""
+SELECT query_id, string_agg('[source=' || CAST(vec_id AS VARCHAR) || ', chunk_id=' || chunk_id || ', score=' || printf('%.3f', score) || ']' || chr(10) || chunk_text,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM row_hits h JOIN (""" + DOCUMENT_WINDOWS + """) w ON w.doc_id = h.vec_id GROUP BY query_id""",
+)
+def row_retrieval_context(t):
+    texts = _stored_chunks(t).select("vec_id", "source", "chunk_id", "chunk_text")
+    return vectors.context_block(row_hits(t).join(texts, "vec_id"))
+
+
 _QUALITY = """
 WITH rel AS (SELECT label AS query_id, count(*) AS n FROM embeddings GROUP BY label),
 h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM vector_hits WHERE label = query_id),
