@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import lines, mixing, packing, parity, quality
-from curbline.llm.common import stored
+from curbline.llm.common import numbered, stored
 from curbline.llm.queries import CAPACITY, domain_labels, quality_model
 from curbline.llm.registry import query
 from curbline.session import cut_lineage
@@ -39,10 +39,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    groups = parity.jaccard_components(docs)
-    gone = groups.where("component_id <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate group: the smallest id, NULL first, then the smallest hash of the text.
+
+    Rows with one id (or none) and one text, or none, are copies; the one with the smallest other columns
+    stays. Each text of an id is a vertex of its own, so an id with several texts links no groups.
+    """
+    d, t = lines.document_key("doc_id", "text")
+    least = F.min(F.struct(*COLUMNS)).alias("row")
+    rows = cut_lineage(docs.groupBy(d.alias("d"), t.alias("t")).agg(least).select("d", "t", "row.*"))
+    order = numbered(rows.select("d", "t"), [F.col("d"), F.col("t")], "vertex")
+    rows = cut_lineage(rows.join(order, ["d", "t"]).drop("d", "t"))
+    groups = parity.jaccard_components(rows.drop("doc_id"), "vertex")
+    gone = groups.where("component_id <> id").select(F.col("id").alias("vertex"))
+    return rows.join(gone, "vertex", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ MARK_EVERY = 8  # a mark follows one of so many words, by hash
 LINE_BITS = 27  # lines of one text: a position is its document's number and then the line
 
 
-def _key(doc_id: str, text: str) -> tuple[Column, Column]:
+def document_key(doc_id: str, text: str) -> tuple[Column, Column]:
     """Documents are rows that differ in id or text; NULL ids come first."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col(text))
 
@@ -34,7 +34,7 @@ def _key(doc_id: str, text: str) -> tuple[Column, Column]:
 def line_positions(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(documents (d, t, g), lines (p, h1, h2, words)): g numbers the documents in the order of (d, t),
     and p = g * 2^LINE_BITS + line number orders all lines. Lines are named by two 64-bit hashes."""
-    d, t = _key(doc_id, text)
+    d, t = document_key(doc_id, text)
     given = docs.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
     order = numbered(given.select("d", "t").distinct(), [F.col("d"), F.col("t")], "g")
     order = stored(order)
@@ -156,7 +156,7 @@ def remove_repeated_runs(
     per_doc = gone.groupBy("g").agg(F.flatten(F.collect_list("i")).alias("gone")).join(order, "g")
     d, t, cut, rest = fresh(given.columns, "d", "t", "gone", "lines")
     found = per_doc.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(cut))
-    key = _key(doc_id, text)
+    key = document_key(doc_id, text)
     split = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(rest) - 1), cut)
     return (
@@ -210,7 +210,7 @@ def passage_marks(hashes: Column, min_words: int, size: int) -> Column:
 def repeated_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """(d, t, starts): per document the sorted first words of windows of ``min_words`` words that occur earlier."""
     size = max(1, min_words // 6)
-    d, t = _key(doc_id, text)
+    d, t = document_key(doc_id, text)
     given = docs.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
     # c only names candidates: documents that share it get each other's marks, and the windows decide
     c = F.xxhash64("d", "t").alias("c")
@@ -266,7 +266,7 @@ def remove_repeated_passages(
     d, t, cut, rest, kept = fresh(given.columns, "d", "t", "starts", "words", "kept")
     found = repeated_windows(given, doc_id, text, min_words)
     found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("starts").alias(cut))
-    key = _key(doc_id, text)
+    key = document_key(doc_id, text)
     white = WHITE.removesuffix("+")
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{white.replace('[', '[^', 1)}+{white}*"), F.lit(0))
     # what lies between the end of a window and the start of the next one
