@@ -15,7 +15,6 @@ from curbline.llm.tokens import U, chunks, word_hashes
 
 FEATURE_BITS = 18  # word slots of the domain classifier
 MAX_TRAINING_ROWS = 20_000  # bound of the labelled sample it is fitted on
-MIN_ROWS = 10  # words in fewer sample texts have no weight
 EPOCHS, STEP, RIDGE = 120, 0.5, 10.0
 MAX_ROUNDS, TOLERANCE = 150, 1e-4  # targets that rates can meet take a few rounds
 
@@ -47,7 +46,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
     """(domains, weights, bias) of a softmax regression on the words present in a text.
 
     ``labels`` has (doc_id, domain); rows with a NULL are left out, and of several labels of one id the
-    smallest counts. The model is fitted on the ``MAX_TRAINING_ROWS`` labelled ids with the smallest hash.
+    smallest counts. The model is fitted on the ``MAX_TRAINING_ROWS`` labelled ids with the smallest hash; all
+    words of these texts count, rare ones held back by the ridge term only.
     Without any label there is one domain, NULL.
     """
     chosen = (
@@ -78,8 +78,6 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
     row = np.repeat(np.arange(n, dtype=np.int32), rows["slots"].str.len() // 4)
     slot = np.frombuffer(b"".join(rows["slots"]), np.int32)
     del rows
-    common = np.bincount(slot, minlength=1 << FEATURE_BITS)[slot] >= MIN_ROWS
-    row, slot = row[common], slot[common]
     truth = np.eye(len(domains))[y]
     bias = np.log(truth.mean(axis=0) + 1e-9)
     seen, seen_bias = np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
