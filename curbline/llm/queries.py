@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curbline.llm import reference
 from curbline.llm.chat import format_conversations, read_loss_texts, read_turns
-from curbline.llm import embeddings, lines, mixing, packing, parity, quality, tokenfiles
+from curbline.llm import covertree, embeddings, lines, lloyd, mixing, packing, parity, permutation, quality, tokenfiles
 from curbline.llm.common import release, stored, table
 from curbline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from curbline.llm.rules import BASE_RULES, apply_rules
@@ -167,3 +167,26 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
     )
     return tokenfiles.read_token_files(spark, path, with_ids=False)
+
+
+CENTROIDS, ROUNDS, COMPONENTS = 40, 5, 64
+
+
+@query("op11_centroids", reference.centroids(CENTROIDS, ROUNDS, COMPONENTS))
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters."""
+    return lloyd.centroid_clusters(table(spark, folder, "embeddings"), CENTROIDS, ROUNDS, COMPONENTS)
+
+
+@query("op12_neighbours")
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return permutation.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+@query("op13_negatives", reference.NEGATIVES)
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", label)
+    return covertree.hard_negatives(rows, "id % 100 = 0")

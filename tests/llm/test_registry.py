@@ -6,7 +6,7 @@ import corpus_pipeline
 
 def test_each_operator_has_one_query_and_the_pipeline_its_stages():
     numbers = sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "mixing", "packing"]
 
