@@ -1,5 +1,5 @@
-"""Vector retrieval. The queries are the mean vectors of the labels, and in the searches named row_ every
-row whose id is divisible by 20."""
+"""Vector retrieval. Searches ask every row whose id is divisible by 20 against all rows; retrieval scores ask the
+mean vectors of the labels, as the label defines relevance."""
 
 from pyspark.sql import functions as F
 
@@ -36,31 +36,17 @@ def unit_vectors(t):
     return scaled.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("cosine_top_five", "X-7 K-5", "SELECT query_id, vec_id, score, rank FROM vector_hits")
+@query("cosine_top_five", "X-7 K-5", "SELECT query_id, vec_id, score, rank FROM row_hits")
 def cosine_top_five(t):
-    return hits(t)
-
-
-@query(
-    "cosine_distance_top_five",
-    "X-8 K-5",
-    "SELECT query_id, vec_id, round(1 - score, 6) AS distance, rank FROM vector_hits",
-)
-def cosine_distance_top_five(t):
-    return vectors.cosine_distance_top_k(label_queries(t), t.table("embeddings"))
-
-
-@query("row_cosine_top_five", "X-7 K-5", "SELECT query_id, vec_id, score, rank FROM row_hits")
-def row_cosine_top_five(t):
     return row_hits(t)
 
 
 @query(
-    "row_cosine_distance_top_five",
+    "cosine_distance_top_five",
     "X-8 K-5",
     "SELECT query_id, vec_id, round(1 - score, 6) AS distance, rank FROM row_hits",
 )
-def row_cosine_distance_top_five(t):
+def cosine_distance_top_five(t):
     return vectors.cosine_distance_top_k(row_queries(t), t.table("embeddings"))
 
 
@@ -86,22 +72,10 @@ def _stored_chunks(t):
     "retrieval_context",
     "X-9",
     r"""
-SELECT query_id, string_agg('[source=' || CAST(vec_id AS VARCHAR) || ', chunk_id=' || chunk_id || ', score=' || printf('%.3f', score) || ']' || chr(10) || chunk_text,
-  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM vector_hits h JOIN (""" + DOCUMENT_WINDOWS + """) w ON w.doc_id = h.vec_id GROUP BY query_id""",
-)
-def retrieval_context(t):
-    texts = _stored_chunks(t).select("vec_id", "source", "chunk_id", "chunk_text")
-    return vectors.context_block(hits(t).join(texts, "vec_id"))
-
-
-@query(
-    "row_retrieval_context",
-    "X-9",
-    r"""
 SELECT query_id, string_agg('[source=' || CAST(vec_id AS VARCHAR) || ', chunk_id=' || chunk_id || ', score=' || printf('%.3f', score) || ']' || chr(10) || chunk_text,
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM row_hits h JOIN (""" + DOCUMENT_WINDOWS + """) w ON w.doc_id = h.vec_id GROUP BY query_id""",
 )
-def row_retrieval_context(t):
+def retrieval_context(t):
     texts = _stored_chunks(t).select("vec_id", "source", "chunk_id", "chunk_text")
     return vectors.context_block(row_hits(t).join(texts, "vec_id"))
 

@@ -37,7 +37,8 @@ def test_families_beat_the_mean(rides):
     assert set(errors) == set(names) and set(models) == set(names[:3])
     for name in (demand_models.LINEAR, demand_models.FOREST, demand_models.BOOSTED):
         assert errors[name] < spread
-    assert scored.count() == demand_models.split_by_time(rides, 7)[1].count()
+    assert scored.where("holdout").count() == demand_models.split_by_time(rides, 7)[1].count()
+    assert scored.count() == rides.count()
     table = demand_models.predicted_table(scored, demand_models.BOOSTED, "predicted")
     assert table.filter(F.col("predicted") < 0).isEmpty()
 

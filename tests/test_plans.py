@@ -57,4 +57,4 @@ def test_latest_row_needs_no_window(inputs):
 
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = plan_of(QUERIES["cosine_top_five"](spark, SMALL))
-    assert re.search(r"WindowGroupLimit .*Partial", plan) and "MapInArrow" in plan
+    assert re.search(r"WindowGroupLimit .*Partial", plan) and "FlatMapCoGroupsInArrow" in plan
