@@ -7,7 +7,7 @@ from curbline.plans.ingest import OBSERVED_AT
 from curbline.plans.registry import query
 from curbline.session import scratch_dir
 from curbline.sources import schemas
-from curbline.streaming import ingest, rollups
+from curbline.streaming import ingest, rollups, upkeep
 
 
 class StreamInputs(Inputs):
@@ -60,19 +60,75 @@ def stream_ingest_vehicles(t):
     )
 
 
+_ARRIVALS = """
+SELECT event_id AS nth, CAST(event_id AS VARCHAR) AS event_id, event_id % 6 AS part,
+  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 10 = 3 THEN updated_at - INTERVAL '400' DAY ELSE updated_at END AS feed_timestamp_utc, stop_id
+FROM prediction_items"""
+
+
+def landed_arrivals(t):
+    """Predictions as six parts that arrive one after the other.
+
+    One in ten is 400 days late, one in seventeen has no time, and every fourth comes again three parts later.
+    """
+    rows = t.prediction_items.selectExpr(
+        "event_id AS nth", "CAST(event_id AS STRING) AS event_id", "event_id % 6 AS part",
+        """CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 10 = 3 THEN updated_at - INTERVAL '400' DAY
+           ELSE updated_at END AS feed_timestamp_utc""",
+        "stop_id",
+    ).withColumn("observed_at_utc", F.lit(OBSERVED_AT).cast("timestamp_ntz"))
+    folder = scratch_dir(t.spark, "arrivals")
+    for part in range(6):
+        again = rows.where((F.col("part") == part - 3) & (F.col("nth") % 4 == 0))
+        rows.where(F.col("part") == part).unionByName(again).drop("nth", "part").write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(t.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+def merged_arrivals(t, repeats="1 hour"):
+    base = scratch_dir(t.spark, "base")
+    merge = ingest.merge_batches(base, "run", "event_id", ["observed_at_utc"], "feed_timestamp_utc", ["stop_id"])
+    rows = ingest.distinct_within(landed_arrivals(t), "event_id", repeats)
+    offsets = scratch_dir(t.spark, "offsets")
+    running = rows.writeStream.foreachBatch(merge).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return base
+
+
+@query(
+    "stream_late_and_repeated_rows",
+    "R-1 R-4 Q-3",
+    f"SELECT event_id, feed_timestamp_utc, stop_id FROM ({_ARRIVALS}) WHERE stop_id IS NOT NULL",
+)
+def stream_late_and_repeated_rows(t):
+    """Each key once, none lost: repeats go by state first, late rows and rows without time stay."""
+    return ingest.read_base(t.spark, merged_arrivals(t)).select("event_id", "feed_timestamp_utc", "stop_id")
+
+
+@query(
+    "compacted_stream_table",
+    "R-1 S-12 Q-3",
+    f"SELECT event_id, feed_timestamp_utc, strftime(coalesce(feed_timestamp_utc, '1970-01-01'), '%Y-%m-%d') AS key_day FROM ({_ARRIVALS}) WHERE stop_id IS NOT NULL",
+)
+def compacted_stream_table(t):
+    """The same table after its closed days have been rewritten and their old folders deleted."""
+    base = merged_arrivals(t)
+    upkeep.compact_days(t.spark, base, "2024-01-20", "event_id")
+    upkeep.vacuum(t.spark, base)
+    return ingest.read_base(t.spark, base).select("event_id", "feed_timestamp_utc", "key_day")
+
+
 @query(
     "stream_hourly_snapshots",
     "R-2",
     """
-SELECT station_id, date_trunc('hour', snapshot_ts) AS ts_hour, count(*) AS snapshots FROM station_status
-WHERE date_trunc('hour', snapshot_ts) + INTERVAL '1' HOUR <= (SELECT max(snapshot_ts) - INTERVAL '1' HOUR FROM station_status) GROUP BY ALL""",
+SELECT station_id, date_trunc('hour', snapshot_ts) AS ts_hour, count(*) AS snapshots FROM station_status GROUP BY ALL""",
 )
 def stream_hourly_snapshots(t):
-    """Hours that the watermark has closed."""
-    out = scratch_dir(t.spark, "hours")
+    """Hours that the watermark has closed, and those still open at the end of the input."""
+    out, offsets = scratch_dir(t.spark, "hours"), scratch_dir(t.spark, "offsets")
     hours = rollups.hourly_stream(streaming(t).station_status, "station_id", "snapshot_ts", "snapshots")
-    rollups.append_to(hours, out, scratch_dir(t.spark, "offsets")).awaitTermination()
-    return t.spark.read.parquet(out)
+    rollups.append_to(hours, out, offsets).awaitTermination()
+    return t.spark.read.parquet(out).unionByName(rollups.open_hours(t.spark, offsets, "snapshots"))
 
 
 @query(
@@ -96,11 +152,12 @@ def stream_latest_status(t):
 WITH days AS (SELECT station_id, date_trunc('day', snapshot_ts) AS d, sum(CASE WHEN coalesce(num_bikes_available, 0) > 0 THEN 1 ELSE 0 END) AS b, count(*) AS n FROM station_status GROUP BY ALL),
 ends AS (SELECT unnest(generate_series((SELECT min(d) FROM days) + INTERVAL '1' DAY, (SELECT max(d) FROM days) + INTERVAL '14' DAY, INTERVAL '1' DAY)) AS window_end)
 SELECT station_id, CAST(window_end - INTERVAL '14' DAY AS TIMESTAMP) AS window_start, CAST(window_end AS TIMESTAMP) AS window_end, round(sum(b) / sum(n), 6) AS active_ratio
-FROM ends JOIN days ON d < window_end AND d >= window_end - INTERVAL '14' DAY
-WHERE window_end <= (SELECT max(snapshot_ts) - INTERVAL '1' DAY FROM station_status) GROUP BY ALL""",
+FROM ends JOIN days ON d < window_end AND d >= window_end - INTERVAL '14' DAY GROUP BY ALL""",
 )
 def stream_active_ratio(t):
-    out = scratch_dir(t.spark, "ratios")
+    """Every window that holds a snapshot, closed by the watermark or still open at the end of the input."""
+    out, offsets = scratch_dir(t.spark, "ratios"), scratch_dir(t.spark, "offsets")
     ratios = rollups.active_ratio_stream(streaming(t).station_status)
-    rollups.append_to(ratios, out, scratch_dir(t.spark, "offsets")).awaitTermination()
-    return t.spark.read.parquet(out).withColumn("active_ratio", F.round("active_ratio", 6))
+    rollups.append_to(ratios, out, offsets).awaitTermination()
+    every = t.spark.read.parquet(out).unionByName(rollups.open_ratios(t.spark, offsets))
+    return every.withColumn("active_ratio", F.round("active_ratio", 6))

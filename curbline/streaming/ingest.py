@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from curbline.operators import keyed
 from curbline.sources import landed, schemas
+from curbline.streaming.upkeep import KEY_DAY, current
 
-KEY_DAY = "key_day"
 NO_DAY = "1970-01-01"
 
 
@@ -40,14 +39,23 @@ def _with_key_day(df: DataFrame, event_time: str) -> DataFrame:
 
 
 def read_base(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame | None:
-    """The base table, or only its folders of some key days; ``None`` if there are none yet."""
-    chosen = "*" if days is None else "{" + ",".join(days) + "}"
-    try:
-        return spark.read.option("basePath", path).parquet(f"{path}/{KEY_DAY}={chosen}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    """The base table, or only its rows of some key days; ``None`` if there are none yet.
+
+    Days that :func:`curbline.streaming.upkeep.compact_days` has rewritten are read from their new files.
+    """
+    return current(spark, path, days)
+
+
+def distinct_within(stream: DataFrame, key: str, delay: str) -> DataFrame:
+    """Drop repeats of a key that arrive within ``delay`` of its first row; the first to arrive stays.
+
+    The watermark is on the arrival, the time of the micro-batch, which never runs backwards. So no row is ever too
+    late, whatever its own times are, NULL included, and state lasts for ``delay`` only. A repeated batch has
+    the time it had at first. Repeats that arrive later pass; the merge catches them.
+    """
+    arrival = "_arrived"
+    timed = stream.withColumn(arrival, F.current_timestamp()).withWatermark(arrival, delay)
+    return timed.dropDuplicatesWithinWatermark([key]).drop(arrival)
 
 
 def merge_batches(
@@ -89,10 +97,13 @@ def merge_batches(
 
 
 def ingest_predictions(
-    pages: DataFrame, observed_at, base_path: str, checkpoint: str, source: str = "predictions"
+    pages: DataFrame, observed_at, base_path: str, checkpoint: str, source: str = "predictions", repeats: str = "1 day"
 ) -> StreamingQuery:
-    """Landed prediction pages to the base table; each key once, stop id required."""
-    rows = landed.flatten_predictions(pages, observed_at)
+    """Landed prediction pages to the base table; each key once, stop id required.
+
+    Repeats that arrive within ``repeats`` are dropped before the merge, all others by it.
+    """
+    rows = distinct_within(landed.flatten_predictions(pages, observed_at), "event_id", repeats)
     merge = merge_batches(
         base_path, source, "event_id", ["observed_at_utc"], "feed_timestamp_utc",
         [*schemas.PREDICTIONS_REQUIRED, "stop_id"],
@@ -106,9 +117,9 @@ def ingest_predictions(
 
 
 def ingest_vehicles(
-    pages: DataFrame, observed_at, base_path: str, checkpoint: str, source: str = "vehicles"
+    pages: DataFrame, observed_at, base_path: str, checkpoint: str, source: str = "vehicles", repeats: str = "1 day"
 ) -> StreamingQuery:
-    rows = landed.flatten_vehicles(pages, observed_at)
+    rows = distinct_within(landed.flatten_vehicles(pages, observed_at), "snapshot_id", repeats)
     merge = merge_batches(
         base_path, source, "snapshot_id", ["observed_at_utc"], "vehicle_timestamp_utc",
         schemas.VEHICLES_REQUIRED,
@@ -119,11 +130,3 @@ def ingest_vehicles(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def distinct_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Drop repeats that arrive within ``delay``, with state bounded by the watermark.
-
-    Choose a delay of at least the table's retention, or let the merge catch later repeats.
-    """
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

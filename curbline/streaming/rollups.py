@@ -43,16 +43,55 @@ def active_ratio_stream(
         .groupBy(F.window("snapshot_ts", slide).alias("day"), "station_id")
         .agg(F.sum(has_bike).alias("with_bike"), F.count("*").alias("n"))
     )
-    return (
-        daily.groupBy(F.window(F.window_time("day"), f"{days} days", slide), "station_id")
-        .agg(F.sum("with_bike").alias("with_bike"), F.sum("n").alias("n"))
-        .select(
-            "station_id",
-            F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("window.end").cast("timestamp_ntz").alias("window_end"),
-            (F.col("with_bike") / F.col("n")).alias("active_ratio"),
-        )
+    windows = daily.groupBy(F.window(F.window_time("day"), f"{days} days", slide), "station_id")
+    return _ratio(windows.agg(F.sum("with_bike").alias("with_bike"), F.sum("n").alias("n")))
+
+
+def _open_state(spark: SparkSession, checkpoint: str, operator: int, key: str, values: str) -> DataFrame:
+    """What a finished stream still holds: the aggregates of windows that its watermark has not closed."""
+    state = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+    window = "window: struct<start: timestamp, end: timestamp>"
+    key_type = f"struct<{window}, {key}: string>"
+    return state.select(F.col("key").cast(key_type).alias("k"), F.col("value").cast(f"struct<{values}>").alias("v")).select(
+        "k.*", "v.*"
+    )
+
+
+def open_hours(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """Hours of :func:`hourly_stream` that are not closed at the end of the input, with their counts so far.
+
+    They come from the state the query has committed, so no row is read again. The stream itself is not changed: when
+    it goes on, these hours grow and close as always, so keep them apart from the closed ones and replace them.
+    """
+    state = _open_state(spark, checkpoint, 0, "station_id", f"{name}: bigint")
+    return state.select("station_id", F.col("window.start").cast("timestamp_ntz").alias("ts_hour"), name)
+
+
+def _ratio(windows: DataFrame) -> DataFrame:
+    return windows.select(
+        "station_id",
+        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        (F.col("with_bike") / F.col("n")).alias("active_ratio"),
+    )
+
+
+def open_ratios(spark: SparkSession, checkpoint: str, days: int = 14, slide: str = "1 day") -> DataFrame:
+    """Windows of :func:`active_ratio_stream` that are not closed at the end of the input.
+
+    One operator of the stream holds days, the other sliding windows that closed days have reached. The days that are
+    still open are added to their windows, which completes them.
+    """
+    sums = "with_bike: bigint, n: bigint"
+    both = [_open_state(spark, checkpoint, i, "station_id", sums) for i in (0, 1)]
+    held = both[0].unionByName(both[1])
+    length = F.col("window.end") - F.col("window.start")
+    long = length > F.expr(f"INTERVAL '{slide}'")
+    late_days = held.where(~long).select(
+        F.window(F.col("window.start"), f"{days} days", slide).alias("window"), "station_id", "with_bike", "n"
     )
+    windows = held.where(long).select("window", "station_id", "with_bike", "n").unionByName(late_days)
+    return _ratio(windows.groupBy("window", "station_id").agg(F.sum("with_bike").alias("with_bike"), F.sum("n").alias("n")))
 
 
 def append_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
