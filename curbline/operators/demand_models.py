@@ -5,17 +5,21 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import times
 from curbline.operators import forecast, keyed
+from curbline.operators.boosting import BoostedRegressor, fit_boosted_regression
+from curbline.operators.linear import LinearFit, fit_linear
 from curbline.session import cut_lineage, side_by_side, spread_out
 
 BOOSTING_ROUNDS = 30  # fixed value
-HASH_SLOTS = 4096
+FOREST_TREES, FOREST_DEPTH, BOOSTED_DEPTH = 20, 6, 4  # defaults of this library
+CALENDAR = ["day_of_week", "hour", "is_weekend"]
+NUMERIC = ["station_mean", "station_hour_mean", *CALENDAR]
 SMOOTHING = 5.0
 SEED = 42
 LINEAR, FOREST, BOOSTED, SERIES = "linreg", "random_forest", "boosted_tree", "seasonal_ar"
@@ -69,42 +73,39 @@ def model_frame(rows: DataFrame, train: DataFrame, label: str) -> DataFrame:
     )
 
 
-def _numeric(estimator) -> Pipeline:
-    inputs = ["station_mean", "station_hour_mean", "day_of_week", "hour", "is_weekend"]
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_numeric"), estimator])
+Model = PipelineModel | LinearFit | BoostedRegressor
 
 
-def estimators() -> dict[str, Pipeline]:
-    """The regression families. Station ids are hashed for the linear model, so no id list is built."""
-    hasher = FeatureHasher(
-        inputCols=["station_id", "day_of_week", "hour", "is_weekend"],
-        categoricalCols=["day_of_week", "hour"],
-        numFeatures=HASH_SLOTS,
-        outputCol="_hashed",
-    )
-    linear = LinearRegression(
-        featuresCol="_hashed", labelCol="y_true", predictionCol=LINEAR,
-        solver="l-bfgs", regParam=1e-4, maxIter=25,
-    )
-    common = {"featuresCol": "_numeric", "labelCol": "y_true", "seed": SEED}
-    return {
-        LINEAR: Pipeline(stages=[hasher, linear]),
-        FOREST: _numeric(RandomForestRegressor(predictionCol=FOREST, numTrees=20, maxDepth=6, **common)),
-        BOOSTED: _numeric(GBTRegressor(predictionCol=BOOSTED, maxIter=BOOSTING_ROUNDS, maxDepth=4, **common)),
-    }
-
+def fit_families(
+    frame: DataFrame, names: list[str] | None = None, trees: int = FOREST_TREES, forest_depth: int = FOREST_DEPTH,
+    rounds: int = BOOSTING_ROUNDS, boosted_depth: int = BOOSTED_DEPTH,
+) -> dict[str, Model]:
+    """Fit the regression families side by side. ``frame`` is read many times: pass a persisted one.
 
-def fit_families(frame: DataFrame, names: list[str] | None = None) -> dict[str, PipelineModel]:
-    """Fit the families side by side. ``frame`` is read many times: pass a persisted one."""
-    chosen = estimators()
-    jobs = {name: partial(chosen[name].fit, frame) for name in (names or list(chosen))}
-    return side_by_side(frame.sparkSession, jobs)
+    The linear model has one exact coefficient per station and input. Trees see a station by its means, so no list of
+    ids is built.
+    """
+    forest = Pipeline(stages=[
+        VectorAssembler(inputCols=NUMERIC, outputCol="_numeric"),
+        RandomForestRegressor(
+            predictionCol=FOREST, numTrees=trees, maxDepth=forest_depth, featuresCol="_numeric", labelCol="y_true", seed=SEED
+        ),
+    ])
+    jobs = {
+        LINEAR: partial(fit_linear, frame, "station_id", CALENDAR, "y_true", LINEAR),
+        FOREST: partial(forest.fit, frame),
+        BOOSTED: partial(fit_boosted_regression, frame, NUMERIC, "y_true", rounds, depth=boosted_depth),
+    }
+    return side_by_side(frame.sparkSession, {name: jobs[name] for name in (names or list(jobs))})
 
 
-def score(models: dict[str, PipelineModel], frame: DataFrame) -> DataFrame:
-    """One prediction column per family, all from a single pass over the rows."""
-    for model in models.values():
-        frame = model.transform(frame).drop("_hashed", "_numeric")
+def score(models: dict[str, Model], frame: DataFrame) -> DataFrame:
+    """One prediction column per family."""
+    for name, model in models.items():
+        if isinstance(model, BoostedRegressor):
+            frame = model.predict(frame, name)
+        else:
+            frame = model.transform(frame).drop("_numeric")
     return frame
 
 
@@ -209,7 +210,7 @@ def top_predicted(
 
 def compare_families(
     features: DataFrame, label: str, holdout_days: int = 28
-) -> tuple[dict[str, PipelineModel], DataFrame]:
+) -> tuple[dict[str, Model], DataFrame]:
     """Fit all families on the earlier rows and score all rows, the series model included.
 
     Returns the fitted models and the scored rows; ``holdout`` marks the later ones, on which errors

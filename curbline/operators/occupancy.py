@@ -6,10 +6,8 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import FeatureHasher, IndexToString, StandardScaler, StringIndexer
@@ -18,14 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions import places, text, times
+from curbline.operators.boosting import BoostedClassifier, fit_boosted
 from curbline.session import side_by_side, spread_out
 
-# Split days, iterations, depth, trees and layer sizes.
+# Split days, iterations, depth, parallel trees and layer sizes.
 EVAL_DAYS, TRAIN_DAYS = 7, 67
 MAX_ITERATIONS = 50
 TREE_DEPTH, PARALLEL_TREES = 6, 4
 HIDDEN_LAYERS = [64, 32]
 
+BOOST_ROUNDS, FOREST_TREES = 20, 20  # defaults of this library
+
 INPUTS = ["route_id", "current_status", "hour_of_day", "day_of_week", "is_weekend", "lat_bin", "lon_bin"]
 HASH_SLOTS = 128
 SEED = 42
@@ -108,13 +109,23 @@ def _prepare() -> list:
     ]
 
 
-def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str, PipelineModel]:
+def fit_classifiers(
+    rows: DataFrame, names: list[str] | None = None, rounds: int = BOOST_ROUNDS, trees: int = PARALLEL_TREES,
+    forest: int = FOREST_TREES,
+) -> dict[str, PipelineModel | BoostedClassifier]:
     """Fit the classifier families on weighted rows; ``rows`` should be a stored table.
 
-    Route and status are hashed into slots, the other inputs are numbers.
-    ``lr`` logistic regression, ``bt`` boosted trees one label against the rest,
-    ``rf`` a forest (as ``bt`` gives no probabilities), ``dnn`` a neural network.
+    ``lr`` logistic regression, ``bt`` boosted trees over all labels (``rounds`` rounds of ``trees`` parallel trees per
+    label), ``rf`` a forest of ``forest`` trees, ``dnn`` a neural network. All give a probability per label. Boosting
+    bins its inputs; for the others route and status are hashed into slots, and the other inputs are numbers.
     """
+    wanted = names or ["lr", "bt", "rf", "dnn"]
+    out: dict[str, PipelineModel | BoostedClassifier] = {}
+    if "bt" in wanted:
+        out["bt"] = fit_boosted(rows, INPUTS, rounds, trees, TREE_DEPTH)
+    others = [n for n in wanted if n != "bt"]
+    if not others:
+        return out
     prepared = Pipeline(stages=_prepare()).fit(rows)
     labels = prepared.stages[0].labels
     common = {"labelCol": "label_index", "featuresCol": "features"}
@@ -122,12 +133,8 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
         "lr": lambda: LogisticRegression(
             family="multinomial", maxIter=MAX_ITERATIONS, weightCol="weight", **common
         ),
-        "bt": lambda: OneVsRest(
-            classifier=GBTClassifier(maxDepth=TREE_DEPTH, maxIter=10, seed=SEED, **common),
-            weightCol="weight", parallelism=len(labels), **common,
-        ),
         "rf": lambda: RandomForestClassifier(
-            numTrees=PARALLEL_TREES * 5, maxDepth=TREE_DEPTH, weightCol="weight", seed=SEED, **common
+            numTrees=forest, maxDepth=TREE_DEPTH, weightCol="weight", seed=SEED, **common
         ),
         "dnn": lambda: MultilayerPerceptronClassifier(
             layers=[HASH_SLOTS, *HIDDEN_LAYERS, len(labels)], maxIter=MAX_ITERATIONS, seed=SEED, **common
@@ -135,27 +142,34 @@ def fit_classifiers(rows: DataFrame, names: list[str] | None = None) -> dict[str
     }
     ready = spread_out(prepared.transform(rows).drop("_hashed")).persist()
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-    jobs = {name: (lambda make=families[name]: make().fit(ready)) for name in (names or list(families))}
+    jobs = {name: (lambda make=families[name]: make().fit(ready)) for name in others}
     try:
         fitted = side_by_side(rows.sparkSession, jobs)
     finally:
         ready.unpersist()
     # Labels are indexed for the fit only: scoring neither needs them nor drops rows with unseen ones.
-    return {name: PipelineModel(stages=[*prepared.stages[1:], fit, back]) for name, fit in fitted.items()}
+    out |= {name: PipelineModel(stages=[*prepared.stages[1:], fit, back]) for name, fit in fitted.items()}
+    return {name: out[name] for name in wanted}
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Predicted label per row, whatever its own label is."""
+def predict(model: PipelineModel | BoostedClassifier, rows: DataFrame) -> DataFrame:
+    """Predicted label and ``probability`` (an array, one number per label) per row, whatever its own label is."""
     kept = [c for c in rows.columns]
-    scored = model.transform(rows)
-    extra = ["probability"] if "probability" in scored.columns else []
-    return scored.select(*kept, "predicted_label", *extra)
+    if isinstance(model, BoostedClassifier):
+        scored = model.predict(rows)
+    else:
+        scored = model.transform(rows).withColumn("probability", vector_to_array("probability"))
+    return scored.select(*kept, "predicted_label", "probability")
+
+
+def labels_of(model: PipelineModel | BoostedClassifier) -> list[str]:
+    return model.labels if isinstance(model, BoostedClassifier) else model.stages[-1].getLabels()
 
 
-def label_probabilities(model: PipelineModel, scored: DataFrame) -> DataFrame:
+def label_probabilities(model: PipelineModel | BoostedClassifier, scored: DataFrame) -> DataFrame:
     """One row per input row and label with its probability."""
-    labels = F.array(*[F.lit(label) for label in model.stages[-1].getLabels()])
-    pairs = F.arrays_zip(labels.alias("label"), vector_to_array("probability").alias("prob"))
+    labels = F.array(*[F.lit(label) for label in labels_of(model)])
+    pairs = F.arrays_zip(labels.alias("label"), F.col("probability").alias("prob"))
     kept = [c for c in scored.columns if c not in ("probability", "label")]
     return scored.select(*kept, F.inline(pairs).alias("class_label", "prob"))
 
@@ -185,7 +199,7 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+def evaluate(models: dict[str, PipelineModel | BoostedClassifier], rows: DataFrame) -> DataFrame:
     """One metrics row per model over the same rows."""
     parts = [
         predict(model, rows).select(F.lit(name).alias("model"), "label", "predicted_label")

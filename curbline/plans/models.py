@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from curbline.functions.times import as_instant
-from curbline.operators import demand, demand_models, forecast, occupancy, schedule
+from curbline.operators import boosting, demand, demand_models, forecast, linear, occupancy, schedule
 from curbline.plans.inputs import AS_OF
 from curbline.plans.registry import query
 from curbline.plans.schedule import scheduled
@@ -175,6 +175,144 @@ def holdout_split(t):
     return flagged.groupBy("holdout").agg(F.count("*").alias("n"))
 
 
+def _least_squares(rows: str, y: str) -> str:
+    """CTEs ``station`` and ``slope``: least squares on the calendar with one intercept per station, by Cramer's rule."""
+    x = ["day_of_week", "hour", "is_weekend"]
+    sums = [f"sum({c}) :: DOUBLE AS s{i}, sum({c} * {y}) :: DOUBLE AS y{i}" for i, c in enumerate(x)]
+    sums += [f"sum({x[i]} * {x[j]}) :: DOUBLE AS x{i}{j}" for i in range(3) for j in range(i, 3)]
+    a = [f"sum(x{i}{j} - s{i} * s{j} / n) AS a{i}{j}" for i in range(3) for j in range(i, 3)]
+    b = [f"sum(y{i} - s{i} * sy / n) AS b{i}" for i in range(3)]
+
+    def det(column: int | None) -> str:
+        m = [[f"b{i}" if j == column else f"a{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+        two = lambda j, k: f"({m[1][j]} * {m[2][k]} - {m[1][k]} * {m[2][j]})"
+        return f"({m[0][0]} * {two(1, 2)} - {m[0][1]} * {two(0, 2)} + {m[0][2]} * {two(0, 1)})"
+
+    slopes = ", ".join(f"{det(i)} / {det(None)} AS w{i}" for i in range(3))
+    return f"""
+station AS (SELECT station_id, count(*) :: DOUBLE AS n, sum({y}) :: DOUBLE AS sy, {", ".join(sums)} FROM {rows} GROUP BY station_id),
+normal AS (SELECT {", ".join(a + b)} FROM station), slope AS (SELECT {slopes} FROM normal),
+intercept AS (SELECT station_id, (sy - w0 * s0 - w1 * s1 - w2 * s2) / n AS c FROM station, slope),
+overall AS (SELECT (sum(sy) - any_value(w0) * sum(s0) - any_value(w1) * sum(s1) - any_value(w2) * sum(s2)) / sum(n) AS c0 FROM station, slope)
+"""
+
+
+@query(
+    "linear_demand_fit",
+    "M-2",
+    f"""
+WITH {_least_squares("demand", "pickups")}
+SELECT station_id, round(c, 6) AS intercept, round(w0, 6) AS day_of_week, round(w1, 6) AS hour, round(w2, 6) AS is_weekend FROM intercept, slope""",
+)
+def linear_demand_fit(t):
+    """The linear pickup model: slopes of the calendar and one intercept per station."""
+    fit = linear.fit_linear(features(t), "station_id", demand_models.CALENDAR, "pickups")
+    slopes = {c: F.round(F.lit(b), 6) for c, b in fit.slopes.items()}
+    return fit.intercepts.withColumn("intercept", F.round("intercept", 6)).withColumns(slopes)
+
+
+@query(
+    "linear_residuals",
+    "M-2 M-6",
+    """
+SELECT l.label, s.station_id, count(*) AS n, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS by_weekday, CAST(0 AS DOUBLE) AS by_hour
+FROM demand s, (SELECT unnest(['pickups', 'dropoffs']) AS label) l GROUP BY l.label, s.station_id""",
+)
+def linear_residuals(t):
+    """What defines least squares, for both labels: residuals add up to 0 per station, and times an input over all."""
+    rows, out = features(t), []
+    for label in ("pickups", "dropoffs"):
+        fit = linear.fit_linear(rows, "station_id", demand_models.CALENDAR, label)
+        e = cut_lineage(fit.transform(rows).withColumn("e", F.col(label) - F.col("prediction")))
+        whole = e.agg(*[F.round(F.abs(F.sum(F.col("e") * F.col(c))), 3).alias(c) for c in ("day_of_week", "hour")])
+        each = e.groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.abs(F.sum("e")), 6).alias("residual"))
+        totals = whole.select(F.struct(F.col("day_of_week").alias("by_weekday"), F.col("hour").alias("by_hour"))).scalar()
+        out.append(each.withColumn("_t", totals).select(F.lit(label).alias("label"), "station_id", "n", "residual", "_t.*"))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "predicted_linear_pickups",
+    "M-2 M-6 M-8 A-11",
+    f"""
+WITH {_least_squares("demand", "pickups")}
+SELECT d.station_id, d.day_of_week, d.hour, d.is_weekend, min(station_name) AS station_name, round(avg(c + w0 * day_of_week + w1 * hour + w2 * is_weekend), 6) AS predicted_pickups
+FROM demand d JOIN intercept i ON i.station_id = d.station_id, slope GROUP BY d.station_id, d.day_of_week, d.hour, d.is_weekend""",
+)
+def predicted_linear_pickups(t):
+    """The predicted table of a fitted model, value by value."""
+    rows = features(t)
+    scored = linear.fit_linear(rows, "station_id", demand_models.CALENDAR, "pickups").transform(rows)
+    table = demand_models.predicted_table(scored, "prediction", "predicted_pickups")
+    return table.withColumn("predicted_pickups", F.round("predicted_pickups", 6))
+
+
+@query(
+    "fitted_model_choice",
+    "M-2 M-6 M-7 W-2 U-1",
+    f"""
+WITH cut AS (SELECT max(ts_hour) - INTERVAL '28' DAY AS cut_at FROM demand), train AS (SELECT * FROM demand, cut WHERE ts_hour < cut_at),
+{_least_squares("train", "pickups")},
+held AS (SELECT d.*, (SELECT avg(t.pickups) FROM train t WHERE t.hour = d.hour) AS h FROM demand d, cut WHERE ts_hour >= cut_at),
+errors AS (SELECT 'linreg' AS model_name, sqrt(avg(pow(pickups - (coalesce(c, c0) + w0 * day_of_week + w1 * hour + w2 * is_weekend), 2))) AS rmse
+  FROM held LEFT JOIN intercept i ON i.station_id = held.station_id, slope, overall
+  UNION ALL SELECT 'hour_mean', sqrt(avg(pow(pickups - coalesce(h, 0), 2))) FROM held)
+SELECT model_name, round(rmse, 6) AS rmse, rmse = min(rmse) OVER () AS is_best FROM errors""",
+)
+def fitted_model_choice(t):
+    """Errors on the last 28 days of models fitted on the days before, and the better one."""
+    train, held = demand_models.split_by_time(features(t), 28)
+    fit = linear.fit_linear(train, "station_id", demand_models.CALENDAR, "pickups", demand_models.LINEAR)
+    scored = demand_models.mean_predictor(fit.transform(held), train, "pickups", ["hour"], "hour_mean")
+    scored = scored.withColumn("y_true", F.col("pickups").cast("double"))
+    errors = cut_lineage(demand_models.model_rmse(demand_models.long_predictions(scored, [demand_models.LINEAR, "hour_mean"], [])))
+    best = demand_models.select_best(errors).select("model_name", F.lit(True).alias("is_best"))
+    return errors.join(best, "model_name", "left").fillna(False, ["is_best"]).withColumn("rmse", F.round("rmse", 6))
+
+
+def _first_splits(model, outputs):
+    """Root and leaves of the first tree of each output."""
+    inputs, rows = model.inputs, []
+    for tree, output in zip(model.rounds[0], outputs, strict=True):
+        name = inputs.names[int(tree.feature[0])]
+        threshold = inputs.edges[name][int(tree.left[0].nonzero()[0].max()) - 1]
+        rows.append((output, name, threshold, float(tree.value[1]), float(tree.value[2])))
+    return rows
+
+
+_CALENDAR_ROWS = """
+cells AS (SELECT d.*, x.fid, x.name, CASE x.fid WHEN 0 THEN day_of_week WHEN 1 THEN hour ELSE is_weekend END AS v
+  FROM demand d, (SELECT unnest([0, 1, 2]) AS fid, unnest(['day_of_week', 'hour', 'is_weekend']) AS name) x),
+total AS (SELECT count(*) AS n, sum(pickups) :: DOUBLE AS s, avg(pickups) AS m, var_pop(pickups) AS spread FROM demand),
+cuts AS (SELECT fid, name, v, sum(count(*)) OVER w AS nl, sum(sum(pickups) :: DOUBLE) OVER w AS sl FROM cells GROUP BY fid, name, v WINDOW w AS (PARTITION BY fid ORDER BY v)),
+best AS (SELECT *, pow(sl - nl * m, 2) / nl + pow(s - sl - (n - nl) * m, 2) / (n - nl) AS gain FROM cuts, total WHERE nl < n
+  QUALIFY row_number() OVER (ORDER BY round(gain, 6) DESC, fid, v) = 1)
+"""
+
+
+@query(
+    "boosted_demand_first_split",
+    "M-4",
+    f"""
+WITH {_CALENDAR_ROWS}
+SELECT name AS input, v :: DOUBLE AS threshold, round(sl / nl, 6) AS left_mean, round((s - sl) / (n - nl), 6) AS right_mean,
+  round(spread, 6) AS loss_before, round(spread - gain / n, 6) AS loss_after FROM best""",
+)
+def boosted_demand_first_split(t):
+    """Boosting's first tree with one split: its leaves are the means of both sides, its loss what they leave."""
+    model = boosting.fit_boosted_regression(
+        features(t), demand_models.CALENDAR, "pickups", rounds=1, depth=1, rate=1.0, penalty=0.0
+    )
+    mean = model.start[0]
+    rows = [
+        (name, at, round(mean + left, 6), round(mean + right, 6), round(float(model.losses[0]), 6), round(float(model.losses[1]), 6))
+        for _, name, at, left, right in _first_splits(model, ["pickups"])
+    ]
+    return t.spark.createDataFrame(
+        rows, "input string, threshold double, left_mean double, right_mean double, loss_before double, loss_after double"
+    )
+
+
 _FAMILIES = [demand_models.LINEAR, demand_models.FOREST, demand_models.BOOSTED, demand_models.SERIES]
 
 
@@ -296,6 +434,57 @@ def occupancy_metrics(t):
     )
 
 
+_STUMP_INPUTS = ["hour_of_day", "day_of_week", "is_weekend"]
+
+# The first boosting round with one split per label, from gradients weight * (1 / labels - [label]) on.
+_STUMPS = _SPLIT + """
+, weighted AS (SELECT *, (SELECT count(*) FROM parts WHERE part = 'train') / ((SELECT count(DISTINCT label) FROM parts WHERE part = 'train') * count(*) OVER (PARTITION BY label)) AS weight
+  FROM parts WHERE part = 'train'),
+levels AS (SELECT DISTINCT label AS class_label, (SELECT count(DISTINCT label) FROM weighted) :: DOUBLE AS k FROM weighted),
+cells AS (SELECT l.class_label, x.fid, x.name, CASE x.fid WHEN 0 THEN hour_of_day WHEN 1 THEN day_of_week ELSE is_weekend END AS v,
+    weight * (1 / k - CASE WHEN label = class_label THEN 1 ELSE 0 END) AS g, weight * (1 / k) * (1 - 1 / k) AS h
+  FROM weighted, levels l, (SELECT unnest([0, 1, 2]) AS fid, unnest(['hour_of_day', 'day_of_week', 'is_weekend']) AS name) x),
+total AS (SELECT class_label, sum(g) / 3 AS gt, sum(h) / 3 AS ht FROM cells GROUP BY class_label),
+cuts AS (SELECT class_label, fid, name, v, sum(sum(g)) OVER w AS gl, sum(sum(h)) OVER w AS hl FROM cells GROUP BY class_label, fid, name, v WINDOW w AS (PARTITION BY class_label, fid ORDER BY v)),
+stumps AS (SELECT c.*, gt, ht, pow(gl, 2) / (hl + 1) + pow(gt - gl, 2) / (ht - hl + 1) - pow(gt, 2) / (ht + 1) AS gain,
+    -0.3 * gl / (hl + 1) AS left_value, -0.3 * (gt - gl) / (ht - hl + 1) AS right_value FROM cuts c JOIN total t ON t.class_label = c.class_label
+  WHERE hl >= 1 AND ht - hl >= 1 QUALIFY row_number() OVER (PARTITION BY c.class_label ORDER BY round(gain, 9) DESC, fid, v) = 1)
+"""
+
+
+def _stump_model(t):
+    train, evaluation = _parts(t)
+    rows = cut_lineage(occupancy.with_class_weights(train))
+    return boosting.fit_boosted(rows, _STUMP_INPUTS, rounds=1, trees=1, depth=1), evaluation
+
+
+@query(
+    "boosted_occupancy_first_split",
+    "M-11 M-12",
+    _STUMPS + "SELECT class_label, name AS input, v :: DOUBLE AS threshold, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value FROM stumps",
+)
+def boosted_occupancy_first_split(t):
+    """The first round of the seat level model with one split per level: inputs, thresholds and leaf values."""
+    model, _ = _stump_model(t)
+    rows = [(*split[:3], round(split[3], 6), round(split[4], 6)) for split in _first_splits(model, model.labels)]
+    return t.spark.createDataFrame(rows, "class_label string, input string, threshold double, left_value double, right_value double")
+
+
+@query(
+    "boosted_occupancy_probabilities",
+    "M-12 M-13 M-15",
+    _STUMPS + """
+, asked AS (SELECT hour_of_day, day_of_week, is_weekend, count(*) AS n FROM parts WHERE part = 'eval' GROUP BY ALL),
+scores AS (SELECT a.*, class_label, exp(CASE WHEN CASE fid WHEN 0 THEN hour_of_day WHEN 1 THEN day_of_week ELSE is_weekend END <= v THEN left_value ELSE right_value END) AS e FROM asked a, stumps)
+SELECT hour_of_day, day_of_week, is_weekend, n, class_label, round(e / sum(e) OVER (PARTITION BY hour_of_day, day_of_week, is_weekend), 6) AS prob FROM scores""",
+)
+def boosted_occupancy_probabilities(t):
+    """Every level's probability for the rows of the evaluation days, after that round."""
+    model, evaluation = _stump_model(t)
+    scored = occupancy.label_probabilities(model, occupancy.predict(model, evaluation))
+    return scored.groupBy(*_STUMP_INPUTS, "class_label").agg(F.count("*").alias("n"), F.round(F.max("prob"), 6).alias("prob"))
+
+
 @query("occupancy_model_metrics", "M-11 M-12 M-13 M-14")
 def occupancy_model_metrics(t):
     train, evaluation = _parts(t)

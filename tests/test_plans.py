@@ -13,7 +13,8 @@ EAGER = {
     "pickup_model_selection", "dropoff_model_selection", "predicted_pickups", "predicted_dropoffs",
     "predicted_demand_keys", "occupancy_model_metrics", "occupancy_probabilities",
     "kmeans_clusters", "kmeans_nearest_centres", "training_run_registry", "occupancy_request_scores",
-    "occupancy_rows_scored",
+    "occupancy_rows_scored", "linear_demand_fit", "linear_residuals", "predicted_linear_pickups", "fitted_model_choice",
+    "boosted_demand_first_split", "boosted_occupancy_first_split", "boosted_occupancy_probabilities", "compacted_stream_table",
 }
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
