@@ -38,12 +38,6 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to send Python 1,000 rows at once: whole texts make the usual 10,000 too large."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
-
-
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of ``columns``."""
     taken = {c.lower() for c in columns}

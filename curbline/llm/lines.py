@@ -8,9 +8,10 @@ prefix occurs once drop out, so each level only holds what repeats.
 
 Any run of lines is covered by two runs of 2^k lines, so two ranks name the interval of a run of any length.
 
-Passages that repeat inside longer lines are runs of words. Those of ``min_words`` words and more are unions
-of windows of exactly that many words, so one rank is enough. Only windows around a repeated mark are hashed:
-marks follow some words chosen by hash, and every window holds one, so no repeated window is missed.
+Passages that repeat inside longer lines are runs of words. There the ranked units are finer than lines: a unit ends at
+each word that a hash chooses, wherever it stands, and the suffix ranks run over them. What they leave, passages with
+fewer words in whole units and the parts of units at the ends, are windows of exactly ``min_words`` words around a
+repeated mark; every window holds one, so no repeated window is missed.
 """
 
 from __future__ import annotations
@@ -64,10 +65,9 @@ def _ranked(rows: DataFrame, *key: str) -> DataFrame:
     return salted.join(parts, [*key, "salt"]).select("p", "f")
 
 
-def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
+def suffix_ranks(level: DataFrame, longest: int) -> DataFrame:
     """(k, p, f): for each level k with 2^k <= ``longest`` the positions whose next 2^k lines occur at
-    another position too, and the first position with these lines."""
-    level = stored(_ranked(lines, "h1", "h2"))
+    another position too, and the first position with these lines; ``level`` is that for one line."""
     ranks, k = [level], 0
     while 2 << k <= longest:
         ahead = level.select((F.col("p") - (1 << k)).alias("p"), F.col("f").alias("f2"))
@@ -116,7 +116,7 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
     level = stored(_ranked(lines, "h1", "h2"))
     runs = stored(shortest_runs(lines.select("p", "words").join(level.select("p"), "p"), min_words))
     longest = runs.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
-    ranks = suffix_ranks(lines, longest)
+    ranks = suffix_ranks(level, longest)
     m = F.col("b") - F.col("a")
     asked = runs.withColumn("k", F.floor(F.log2(m.cast("double")) + 1e-9).cast("int"))
     head = ranks.select("k", F.col("p").alias("a"), F.col("f").alias("f1"))
@@ -177,16 +177,12 @@ def remove_repeated_runs(
     )
 
 
-def _word_hashes(text: str) -> Column:
-    return F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
-
-
-def passage_marks(hashes: Column, min_words: int, size: int) -> Column:
-    """(i, h): places of a text with the hash of their next ``size`` words, so that any two equal windows of
-    ``min_words`` words hold a mark at the same place.
+def text_units(hashes: Column, min_words: int, size: int) -> Column:
+    """(i, h1, h2, m) per unit of a text: its first word, two hashes of its words, and of the ``size`` words from i on.
 
-    The first ``min_words - size`` words of a window hold a chosen word, and a mark follows it, or they hold
-    none; then they are part of a stretch without chosen words of that length, where all places are marks.
+    A unit starts after each word chosen by hash, so equal passages have equal units but for the parts at their
+    ends. Where no word is chosen for ``min_words - size`` words, every word starts one. So any window of
+    ``min_words`` words holds the mark m of some unit, at the same place wherever the window occurs.
     """
     every = MARK_EVERY if min_words >= 2 * MARK_EVERY else 1
 
@@ -199,39 +195,73 @@ def passage_marks(hashes: Column, min_words: int, size: int) -> Column:
                 end = F.coalesce(F.get(b, k + 1), n) - 1
                 return F.when(end - c >= min_words - size, F.sequence(c + 1, F.greatest(c + 1, end))).otherwise(F.array(c + 1))
 
-            places = F.filter(F.flatten(F.transform(b, after)), lambda i: i <= n - size)
-            return F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, i + 1, size)).alias("h")))
+            return F.filter(F.flatten(F.transform(b, after)), lambda i: i < n)
+
+        def unit(starts: Column) -> Column:
+            def of(i: Column, k: Column) -> Column:
+                own = F.slice(w, i + 1, F.coalesce(F.get(starts, k + 1), n) - i)
+                mark = F.when(i <= n - size, F.xxhash64(F.slice(w, i + 1, size)))
+                return F.struct(i.alias("i"), F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), mark.alias("m"))
 
-        return F.when(n >= min_words, let(F.concat(F.array(F.lit(-1)), chosen), spread))
+            return F.transform(starts, of)
+
+        return let(let(F.concat(F.array(F.lit(-1)), chosen), spread), unit)
 
     return let(hashes, placed)
 
 
-def repeated_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """(d, t, starts): per document the sorted first words of windows of ``min_words`` words that occur earlier."""
-    size = max(1, min_words // 6)
-    d, t = document_key(doc_id, text)
-    given = docs.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
-    # c only names candidates: documents that share it get each other's marks, and the windows decide
-    c = F.xxhash64("d", "t").alias("c")
-    marks = given.select(c, passage_marks(_word_hashes("text"), min_words, size).alias("marks"))
-    marks = stored(marks.select("c", F.col("marks.i").alias("i"), F.col("marks.h").alias("h")))
-    each = marks.select("c", F.inline(F.arrays_zip("i", "h")))
-    again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    near = stored(each.join(again, "h").groupBy("c").agg(F.sort_array(F.collect_set("i")).alias("near")))
-    del marks, each, again
-    release(docs.sparkSession)
-    near = given.select("d", "t", c).distinct().join(near, "c").drop("c")
-    near = stored(numbered(near, [F.col("d"), F.col("t")], "g"))
-    release(docs.sparkSession)
+def _word_hashes(text: str) -> Column:
+    return F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+
+
+def _disjoint(ranges: DataFrame) -> DataFrame:
+    """(g, cut): per document the sorted disjoint pieces (a, b) that its ranges [a, b) cover."""
+    before = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    clear = ranges.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(before), F.col("a")))).where("a < b")
+    return clear.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
+
+
+def _covered_by_runs(units: DataFrame, min_words: int) -> DataFrame:
+    """(g, a, b): ranges of words in runs of whole units that occur earlier and hold ``min_words`` words or more."""
+    each = units.select("g", "n", F.posexplode("units").alias("k", "u"), F.col("units").alias("all"))
+    until = F.coalesce(F.get("all.i", F.col("k") + 1), F.col("n"))
+    limit = F.when(F.col("k") >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
+    place = F.coalesce(limit, F.shiftleft("g", LINE_BITS) + F.col("k"))
+    rows = each.select(place.alias("p"), F.col("u.h1").alias("h1"), F.col("u.h2").alias("h2"), (until - F.col("u.i")).alias("words"))
+    runs = later_copies(rows, min_words)
+    g, low = F.shiftright("a", LINE_BITS), F.lit((1 << LINE_BITS) - 1)
+    spans = runs.select(g.alias("g"), F.col("a").bitwiseAND(low).cast("int").alias("a"), (F.col("b") - F.shiftleft(g, LINE_BITS)).cast("int").alias("b"))
+    spans = _disjoint(spans)
+    placed = units.join(spans, "g").select("g", "n", F.col("units.i").alias("i"), F.inline("cut"))
+    return placed.select("g", F.get("i", "a").alias("a"), F.coalesce(F.get("i", "b"), F.col("n")).alias("b"))
+
+
+def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, min_words: int, size: int) -> DataFrame:
+    """(g, a, b): windows of ``min_words`` words that occur earlier and do not lie in the covered ranges.
+
+    A mark whose windows are all covered is closed. Only marks that occur again and are open somewhere have windows;
+    of a covered window the earlier copy is a candidate wherever it is needed.
+    """
+    done = covered.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("done"))
+    held = units.join(done, "g", "left").withColumn("done", F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")))
+    first = lambda u: F.greatest(u["i"] - (min_words - size), F.lit(0))
+    last = lambda u: F.least(u["i"] + min_words, F.col("n"))
+    open_ = F.filter(
+        F.col("units"),
+        lambda u: u["m"].isNotNull() & ~F.exists("done", lambda r: (r["a"] <= first(u)) & (last(u) <= r["b"])),
+    )
+    marks = stored(held.select("g", open_.alias("open")).select("g", F.col("open.i").alias("i"), F.col("open.m").alias("m")))
+    each = marks.select("g", F.inline(F.arrays_zip("i", "m")))
+    again = each.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    near = each.join(again, "m").groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("near"))
 
     def starts(at: Column, n: Column) -> Column:
         """Windows that hold one of the marks, each once."""
 
         def around(i: Column, k: Column) -> Column:
-            first = F.greatest(i - (min_words - size), F.lit(0), F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1)
-            last = F.least(i, n - min_words)
-            return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+            low = F.greatest(i - (min_words - size), F.lit(0), F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1)
+            high = F.least(i, n - min_words)
+            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
         return F.flatten(F.transform(at, around))
 
@@ -242,14 +272,11 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) ->
 
         return F.transform(starts(F.col("near"), F.size(w)), window)
 
-    rows = given.join(near, ["d", "t"]).select("g", F.inline(let(_word_hashes("text"), windows)))
-    limit = F.when(F.col("s") >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
-    rows = stored(rows.select(F.coalesce(limit, F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
-    release(docs.sparkSession)
+    rows = texts.join(near, "g").select("g", F.inline(let(_word_hashes("text"), windows)))
+    rows = stored(rows.select((F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
     later = _ranked(rows, "h1", "h2").where("p > f")
-    place = F.col("p").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
-    found = later.groupBy(F.shiftright("p", LINE_BITS).alias("g")).agg(F.sort_array(F.collect_set(place)).alias("starts"))
-    return found.join(near.select("d", "t", "g"), "g").select("d", "t", "starts")
+    s = F.col("p").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+    return later.select(F.shiftright("p", LINE_BITS).alias("g"), s.alias("a"), (s + min_words).alias("b"))
 
 
 def remove_repeated_passages(
@@ -259,38 +286,71 @@ def remove_repeated_passages(
 
     A run of ``min_words`` words or more that equals an earlier run (by id, then word; it may overlap it) is
     removed wherever it stands in its lines, with the white space after each of its words; all else stays byte
-    for byte. White space between words is not compared. Documents, their order, NULL texts and other columns
-    are as in ``remove_repeated_runs``. ``docs`` is read several times, so give a stored frame.
+    for byte. White space between words is not compared. Suffix ranks over the units of all texts find runs of whole
+    units; windows around what they leave open find shorter ones and the ends. Texts that occur again as a whole
+    are only searched once.
+
+    Rows with one id and one text are one document and end alike; of several texts with one id, and of NULL ids, the
+    order follows the text's hash. NULL texts stay NULL, texts without words stay as they are, an empty table stays
+    empty; other columns stay, and one named like the added one is replaced. ``docs`` is read several times, so
+    give a stored frame.
     """
+    spark, size = docs.sparkSession, max(1, min_words // 6)
     given = docs.drop("n_words_removed")
-    d, t, cut, rest, kept = fresh(given.columns, "d", "t", "starts", "words", "kept")
-    found = repeated_windows(given, doc_id, text, min_words)
-    found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("starts").alias(cut))
-    key = document_key(doc_id, text)
+    d, t = document_key(doc_id, text)
+    keyed = given.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
+    order = stored(numbered(keyed.select("d", "t").distinct(), [F.col("d"), F.col("t")], "g"))
+    # texts that occur as a whole under several ids are searched under the first
+    first = order.groupBy("t").agg(F.min("g").alias("g"))
+    chosen = order.join(first, ["t", "g"]).select("d", "t", "g")
+    own = let(_word_hashes("text"), lambda w: F.when(F.size(w) >= min_words, F.struct(F.size(w).alias("n"), text_units(w, min_words, size).alias("units"))))
+    split = keyed.select("d", "t", own.alias("own")).where("own IS NOT NULL").select("d", "t", "own.*").dropDuplicates(["d", "t"])
+    units = stored(split.join(chosen, ["d", "t"]).select("g", "n", "units"))
+    release(spark)
+    covered = stored(_covered_by_runs(units, min_words))
+    release(spark)
+    texts = keyed.dropDuplicates(["d", "t"]).join(chosen, ["d", "t"]).select("g", "text")
+    windows = stored(_later_windows(texts, units, covered, min_words, size))
+    cuts = _disjoint(covered.unionAll(windows))
+    d_, t_, g_, cut, whole, rest, kept = fresh(given.columns, "d", "t", "g", "cut", "whole", "words", "kept")
+    copies = order.join(first.withColumnRenamed("g", "first"), "t").withColumn("whole", F.col("g") > F.col("first"))
+    found = stored(
+        copies.join(cuts, "g", "left").where("whole OR cut IS NOT NULL").select(
+            F.col("d").alias(d_), F.col("t").alias(t_), F.col("whole").alias(whole), F.col("cut").alias(cut)
+        )
+    )
+    del units, covered, windows, texts
+    release(spark)
     white = WHITE.removesuffix("+")
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{white.replace('[', '[^', 1)}+{white}*"), F.lit(0))
-    # what lies between the end of a window and the start of the next one
-    ends = F.concat(F.col(cut), F.array(F.size(rest)))
-    gaps = F.transform(
-        ends, lambda s, k: F.struct(F.coalesce(F.get(F.col(cut), k - 1) + min_words, F.lit(0)).alias("a"), s.alias("b"))
-    )
+    # a later copy of a whole text loses all its words if it has enough
+    all_of = F.array(F.struct(F.lit(0).alias("a"), F.size(rest).alias("b")))
+    parts = F.when(F.col(whole), F.when(F.size(rest) >= min_words, all_of)).otherwise(F.col(cut))
+    end = F.array(F.struct(F.size(rest).alias("a"), F.size(rest).alias("b")))
+
+    def between(given_parts: Column) -> Column:
+        return F.transform(
+            F.concat(given_parts, end),
+            lambda r, k: F.struct(F.coalesce(F.get(given_parts, k - 1)["b"], F.lit(0)).alias("a"), r["a"].alias("b")),
+        )
+
     joined = F.array_join(
-        F.transform(kept, lambda r: F.array_join(F.slice(F.col(rest), r["a"] + 1, r["b"] - r["a"]), "")), ""
+        F.transform(kept, lambda r: F.array_join(F.slice(F.col(rest), r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))), "")), ""
     )
     left = F.aggregate(kept, F.lit(0), lambda n, r: n + r["b"] - r["a"])
     return (
-        given.withColumn(d, key[0])
-        .withColumn(t, F.when(F.col(text).isNotNull(), key[1]))
-        .join(found, [d, t], "left")
-        .withColumn(rest, F.when(F.col(cut).isNotNull(), pieces))
-        .withColumn(kept, F.filter(gaps, lambda r: r["a"] < r["b"]))
+        given.withColumn(d_, d)
+        .withColumn(t_, F.when(F.col(text).isNotNull(), t))
+        .join(found, [d_, t_], "left")
+        .withColumn(rest, F.when(F.col(whole).isNotNull(), pieces))
+        .withColumn(kept, let(parts, between))
         .withColumn("n_words_removed", F.coalesce(F.size(rest) - left, F.lit(0)).cast("long"))
         .withColumn(
             text,
-            F.when(F.col(cut).isNull(), F.col(text)).otherwise(
+            F.when(F.col(kept).isNull(), F.col(text)).otherwise(
                 F.concat(F.regexp_extract(F.col(text), f"^{white}*", 0), joined)
             ),
         )
-        .drop(d, t, cut, rest, kept)
+        .drop(d_, t_, g_, cut, whole, rest, kept)
         .select(*given.columns, "n_words_removed")
     )

@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import components, in_small_batches, stored
+from curbline.llm.common import components, release, stored
 from curbline.llm.tokens import U, chunks, mix, shingles, word_hashes
-from curbline.session import cut_lineage
 
 SHINGLE = 5
 BAND = 2  # sizes of a band are within this factor
@@ -358,7 +357,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty texts have an empty set, linked with nothing. Rows with equal ids are one vertex, rows with a
     NULL id stand alone without component. An empty table gives an empty result.
     """
-    given = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     known = stored(facts(given))
     usable = known.where("n > 0 AND id IS NOT NULL")
     # equal sets are one class, named by its smallest id
@@ -378,13 +377,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = stored(possible(pairs, classes))
     members = as_class(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")), "class")
-    members = members.distinct()
+    members = stored(members.distinct())
+    del met
+    release(docs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("class"))
-    texts = cut_lineage(given.join(ids.distinct(), "id", "left_semi"))
+    # one row per id and text; the sets are compared from here
+    texts = stored(given.join(ids.distinct(), "id", "left_semi"))
+    release(docs.sparkSession)
     # one pair per class settles most components
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = stored(compared(first, texts).where("link").select("a", "b"))
     groups = stored(components(links))
+    release(docs.sparkSession)
 
     def across(df: DataFrame) -> DataFrame:
         ends = df
@@ -401,6 +405,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         ends = tried.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         ends = ends if every else ends.unionAll(rest)
         links = stored(links.unionAll(compared(stored(ends.distinct()), texts).where("link").select("a", "b")))
+        release(docs.sparkSession)
         if not every:
             # then all that crowds still hold across components
             groups = stored(components(links))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from curbline.llm import reference
 from curbline.llm.chat import format_conversations, read_loss_texts, read_turns
 from curbline.llm import covertree, embeddings, lines, lloyd, mixing, packing, parity, permutation, quality, tokenfiles
-from curbline.llm.common import release, stored, table
+from curbline.llm.common import stored, table
 from curbline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from curbline.llm.rules import BASE_RULES, apply_rules
 from curbline.llm.sharding import shard
-from curbline.session import cut_lineage, scratch_dir
+from curbline.session import scratch_dir
 
 SHARDS = 40
 
@@ -152,11 +152,9 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_lines")
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents without later copies of line runs of 50 words and more, and then of such passages
-    inside lines. ``n_removed`` counts the whole lines of the first step."""
-    done = cut_lineage(lines.remove_repeated_runs(table(spark, folder, "documents").select("doc_id", "text")))
-    release(spark)
-    return lines.remove_repeated_passages(done).select("doc_id", "text", "n_lines", "n_removed")
+    """All documents without later copies of passages of 50 words and more, in whole lines or inside them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.remove_repeated_passages(docs).select("doc_id", "text", "n_words_removed")
 
 
 @query("op10_tokens")

@@ -135,7 +135,7 @@ def encoder(path: str, blanks: bool) -> Encoder:
 
 
 def forget() -> None:
-    """Free the words of all encoders; called at the end of a task, as other work may follow in its process."""
+    """Free the words of all encoders; tasks of other operators call it, as they may run in the same process."""
     for known in _encoders.values():
         known._forget()
 

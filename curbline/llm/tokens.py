@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from curbline.llm import subwords
+
 U = np.uint64
 CHUNK = 1 << 20  # bytes of text handled at once; a longer text is a chunk of its own
 
@@ -49,6 +51,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of up to ``limit`` bytes; NULL is empty."""
+    subwords.forget()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

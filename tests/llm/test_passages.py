@@ -72,7 +72,7 @@ def test_planted_in_the_middle_of_lines(spark, frame, tmp_path):
     assert {r.doc_id: r.text for r in op9_lines(spark, str(tmp_path)).collect()} == want
     done = table
     for name, stage in pipeline.STAGES:
-        if name in ("lines", "passages"):
+        if name == "lines":
             done = stage(spark, done, str(tmp_path))
     assert {r.doc_id: (r.text, r.n_chars) for r in done.collect()} == {d: (t, len(t)) for d, t in want.items()}
 
@@ -84,7 +84,7 @@ def test_edge_rows(spark, frame):
     assert out == {(None, text, 0), (1, None, 0), (2, "a ", 60), (3, "", 60), (5, "", 0)}
     assert remove_repeated_passages(frame([], "doc_id long, text string")).count() == 0
     rows = [(1, text, "en", "s", 9), (2, f" {text}", "en", "s", 9)]
-    left = pipeline.drop_repeated_passages(spark, frame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    left = pipeline.drop_repeated_lines(spark, frame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert [r.doc_id for r in left.collect()] == [1]
 
 
@@ -93,3 +93,18 @@ def test_smallest_table_equals_brute_force(spark):
     given = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((r.doc_id, r.text) for r in remove_repeated_passages(docs).select("doc_id", "text").collect())
     assert got == brute(given, 50) and got != sorted(given)
+
+
+def test_units_cover_windows_at_any_cut(frame):
+    """Near copies, shifted copies, whole copies and passages at the borders of units, with every hash that chooses."""
+    rng = random.Random(11)
+    source = [f"s{i}" for i in range(300)]
+    docs = [(0, " ".join(source))]
+    for i in range(1, 40):
+        a = rng.randint(0, 240)
+        part = source[a : a + rng.choice([49, 50, 51, 55, 120])]
+        if i % 3 == 0 and len(part) > 60:
+            part[len(part) // 2] = f"new{i}"
+        docs.append((i, f"head{i} tail " + " ".join(part) + f" after{i}\nline {i}"))
+    docs += [(40, docs[0][1]), (41, docs[0][1] + " more"), (42, docs[1][1])]
+    assert _run(frame, docs, 50) == brute(docs, 50)

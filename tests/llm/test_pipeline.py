@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 from curbline.llm import mixing
 from curbline.llm.common import stored
 from curbline.llm.queries import CAPACITY, op3_quality
-from tests.llm.test_lines import brute as brute_lines
+from tests.llm.test_passages import brute as brute_passages
 from tests.llm.test_packing import check
 from tests.llm.test_parity import brute as brute_groups
 
@@ -44,7 +44,7 @@ def test_quality_keeps_what_the_classifier_accepts(spark, stages):
 def test_lines_equal_brute_force(stages):
     given, done = (x.collect() for x in stages["lines"])
     texts = {r.doc_id: r.text for r in given}
-    want = {i: t for i, t in brute_lines([(r.doc_id, r.text) for r in given], 50) if t or not texts[i].strip()}
+    want = {i: t for i, t in brute_passages([(r.doc_id, r.text) for r in given], 50) if t.strip() or t == texts[i]}
     assert {r.doc_id: r.text for r in done} == want and len(want) < len(given)
     assert all(r.n_chars == len(r.text) for r in done if r.text != texts[r.doc_id])
 
