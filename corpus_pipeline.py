@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality, repeated lines, near duplicates, repeated passages, mixture, packing.
+"""Corpus pipeline: quality, repeated lines and passages, near duplicates, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored before the next one reads
 it; all but the last return the columns of ``documents``.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import lines, mixing, packing, parity, quality
-from curbline.llm.common import numbered, stored
+from curbline.llm.common import numbered, release, stored
 from curbline.llm.queries import CAPACITY, domain_labels, quality_model
 from curbline.llm.registry import query
 from curbline.session import cut_lineage
@@ -31,10 +31,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more are cut; a text that loses all its lines goes."""
-    done = lines.remove_repeated_runs(docs)
-    left = done.where("n_removed = 0 OR n_removed < n_lines")
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    """Later copies of passages of 50 words or more are cut, in whole lines or inside them.
+
+    A text that loses all its words goes; NULL texts, texts without words and all others stay. Rows with one id
+    and one text end alike; ``n_chars`` follows a changed text.
+    """
+    done = lines.remove_repeated_passages(docs)
+    left = done.where((F.col("n_words_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    changed = F.when(F.col("n_words_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 
 
@@ -46,22 +50,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     d, t = lines.document_key("doc_id", "text")
     least = F.min(F.struct(*COLUMNS)).alias("row")
-    rows = cut_lineage(docs.groupBy(d.alias("d"), t.alias("t")).agg(least).select("d", "t", "row.*"))
-    order = numbered(rows.select("d", "t"), [F.col("d"), F.col("t")], "vertex")
-    rows = cut_lineage(rows.join(order, ["d", "t"]).drop("d", "t"))
-    groups = parity.jaccard_components(rows.drop("doc_id"), "vertex")
+    rows = docs.groupBy(d.alias("d"), t.alias("t")).agg(least).select("d", "t", "row.*")
+    order = numbered(docs.select(d.alias("d"), t.alias("t")).distinct(), [F.col("d"), F.col("t")], "vertex")
+    rows = stored(rows.join(order, ["d", "t"]).drop("d", "t"))
+    release(spark)
+    groups = stored(parity.jaccard_components(rows.drop("doc_id"), "vertex"))
+    release(spark)
     gone = groups.where("component_id <> id").select(F.col("id").alias("vertex"))
     return rows.join(gone, "vertex", "left_anti").select(*COLUMNS)
 
 
-def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of 50 words or more are cut inside lines too; a text that loses all its words goes."""
-    done = lines.remove_repeated_passages(docs)
-    left = done.where((F.col("n_words_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
-    changed = F.when(F.col("n_words_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(*COLUMNS)
-
-
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, the fraction decided by the hash of the id.
 
@@ -69,8 +67,9 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keeps its id.
     """
     domains, weights, bias = mixing.fit_domains(docs, domain_labels(spark, sf_dir))
-    scored = mixing.add_posteriors(docs, weights, bias)
-    narrow = stored(scored.select("n_tokens", "posterior"))
+    # each text is classified once; its posterior is stored with the row
+    scored = stored(mixing.add_posteriors(docs, weights, bias))
+    narrow = scored.select("n_tokens", "posterior")
     k = len(domains)
     likeliest = F.array_position("posterior", F.array_max("posterior")) - 1
     wanted = [i for i, d in enumerate(domains) if d in WANTED] or list(range(k))
@@ -95,7 +94,6 @@ STAGES = [
     ("quality", keep_good),
     ("lines", drop_repeated_lines),
     ("near_duplicates", drop_near_duplicates),
-    ("passages", drop_repeated_passages),
     ("mixing", mix_domains),
     ("packing", pack_sequences),
 ]
@@ -111,4 +109,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = cut_lineage(docs)
+            release(spark)
     return docs
