@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.session import shared_folder
+from curbline.session import scratch_dir, shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,29 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+class Tables:
+    """Parquet tables in the shared folder that end with the operator that keeps them: compressed, unlike
+    checkpoints, and deleted by name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark, "step")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all tables; frames that read them must not be used any more."""
+        context = self.spark.sparkContext
+        for name in self.paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+        release(self.spark)
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of ``columns``."""
     taken = {c.lower() for c in columns}

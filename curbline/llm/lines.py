@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbline.llm.common import fresh, let, numbered, release, stored
+from curbline.llm.common import Tables, fresh, let, numbered, release, stored
 from curbline.llm.rules import WHITE, words
 
-SALTS = 8  # parts that the rows of one line or run are dealt into
 MARK_EVERY = 8  # a mark follows one of so many words, by hash
 LINE_BITS = 27  # lines of one text: a position is its document's number and then the line
 
@@ -57,21 +56,20 @@ def line_positions(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
 def _ranked(rows: DataFrame, *key: str) -> DataFrame:
     """(p, f): positions whose key occurs again, with the first position of that key.
 
-    A very common line is reduced in the map tasks, and its rows meet their result in ``SALTS`` parts.
+    A very common line is reduced in the map tasks. Its rows then meet one row, so Spark may split them over as
+    many tasks as they need.
     """
     first = rows.groupBy(*key).agg(F.min("p").alias("f"), F.max("p").alias("last")).where("f < last").drop("last")
-    parts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int"))
-    return salted.join(parts, [*key, "salt"]).select("p", "f")
+    return rows.join(first, [*key]).select("p", "f")
 
 
-def suffix_ranks(level: DataFrame, longest: int) -> DataFrame:
+def suffix_ranks(level: DataFrame, longest: int, keep=stored) -> DataFrame:
     """(k, p, f): for each level k with 2^k <= ``longest`` the positions whose next 2^k lines occur at
     another position too, and the first position with these lines; ``level`` is that for one line."""
     ranks, k = [level], 0
     while 2 << k <= longest:
         ahead = level.select((F.col("p") - (1 << k)).alias("p"), F.col("f").alias("f2"))
-        level = stored(_ranked(level.withColumnRenamed("f", "f1").join(ahead, "p"), "f1", "f2"))
+        level = keep(_ranked(level.withColumnRenamed("f", "f1").join(ahead, "p"), "f1", "f2"))
         if level.isEmpty():
             break
         k += 1
@@ -82,7 +80,7 @@ def suffix_ranks(level: DataFrame, longest: int) -> DataFrame:
     return out.select("k", "p", "f")
 
 
-def shortest_runs(repeated: DataFrame, min_words: int) -> DataFrame:
+def shortest_runs(repeated: DataFrame, min_words: int, keep=stored) -> DataFrame:
     """(a, b): runs [a, b) of lines of ``repeated`` (p, words) with ``min_words`` words or more that are
     shortest from their first line on, or up to their last.
 
@@ -95,7 +93,7 @@ def shortest_runs(repeated: DataFrame, min_words: int) -> DataFrame:
     sums = stretch.withColumn("after", F.sum("words").over(one)).withColumn("n", F.lead("p").over(one))
     sums = sums.select(F.shiftright("p", LINE_BITS).alias("g"), "s", "p", (F.col("after") - F.col("words")).alias("e"), "after", "n")
     ends = sums.where("n IS NULL").select("g", "s", (F.col("p") + 1).alias("p"), F.col("after").alias("e"))
-    edges = stored(sums.select("g", "s", "p", "e").unionAll(ends))
+    edges = keep(sums.select("g", "s", "p", "e").unionAll(ends))
 
     def nearest(shift: int, order: list[Column], pick) -> DataFrame:
         asked = edges.select("g", "s", (F.col("e") + shift).alias("e"), F.lit(None).cast("long").alias("p"), F.col("p").alias("q"))
@@ -111,12 +109,15 @@ def shortest_runs(repeated: DataFrame, min_words: int) -> DataFrame:
     return runs.unionAll(left.select(F.col("x").alias("a"), F.col("q").alias("b"))).distinct()
 
 
-def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
-    """(a, b): runs of lines [a, b) with ``min_words`` words or more that occur earlier as well."""
-    level = stored(_ranked(lines, "h1", "h2"))
-    runs = stored(shortest_runs(lines.select("p", "words").join(level.select("p"), "p"), min_words))
+def later_copies(lines: DataFrame, min_words: int, key: tuple[str, ...] = ("h1", "h2"), keep=stored) -> DataFrame:
+    """(a, b): runs of lines [a, b) with ``min_words`` words or more that occur earlier as well.
+
+    ``lines`` (p, words and the hashes of ``key``); ``keep`` stores a step.
+    """
+    level = keep(_ranked(lines, *key))
+    runs = keep(shortest_runs(lines.select("p", "words").join(level.select("p"), "p"), min_words, keep))
     longest = runs.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
-    ranks = suffix_ranks(level, longest)
+    ranks = suffix_ranks(level, longest, keep)
     m = F.col("b") - F.col("a")
     asked = runs.withColumn("k", F.floor(F.log2(m.cast("double")) + 1e-9).cast("int"))
     head = ranks.select("k", F.col("p").alias("a"), F.col("f").alias("f1"))
@@ -127,7 +128,7 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
         .join(tail, ["k", "z"])
         .select("a", "b", m.alias("m"), "f1", "f2")
     )
-    named = stored(named)
+    named = keep(named)
     first = named.groupBy("m", "f1", "f2").agg(F.min("a").alias("first"))
     return named.join(first, ["m", "f1", "f2"]).where("a > first").select("a", "b")
 
@@ -178,7 +179,7 @@ def remove_repeated_runs(
 
 
 def text_units(hashes: Column, min_words: int, size: int) -> Column:
-    """(i, h1, h2, m) per unit of a text: its first word, two hashes of its words, and of the ``size`` words from i on.
+    """(i, h, m) per unit of a text: its first word, the hash of its words and that of the ``size`` words from i on.
 
     A unit starts after each word chosen by hash, so equal passages have equal units but for the parts at their
     ends. Where no word is chosen for ``min_words - size`` words, every word starts one. So any window of
@@ -201,7 +202,7 @@ def text_units(hashes: Column, min_words: int, size: int) -> Column:
             def of(i: Column, k: Column) -> Column:
                 own = F.slice(w, i + 1, F.coalesce(F.get(starts, k + 1), n) - i)
                 mark = F.when(i <= n - size, F.xxhash64(F.slice(w, i + 1, size)))
-                return F.struct(i.alias("i"), F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), mark.alias("m"))
+                return F.struct(i.alias("i"), F.xxhash64(own).alias("h"), mark.alias("m"))
 
             return F.transform(starts, of)
 
@@ -221,36 +222,38 @@ def _disjoint(ranges: DataFrame) -> DataFrame:
     return clear.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
-def _covered_by_runs(units: DataFrame, min_words: int) -> DataFrame:
-    """(g, a, b): ranges of words in runs of whole units that occur earlier and hold ``min_words`` words or more."""
-    each = units.select("g", "n", F.posexplode("units").alias("k", "u"), F.col("units").alias("all"))
-    until = F.coalesce(F.get("all.i", F.col("k") + 1), F.col("n"))
-    limit = F.when(F.col("k") >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
-    place = F.coalesce(limit, F.shiftleft("g", LINE_BITS) + F.col("k"))
-    rows = each.select(place.alias("p"), F.col("u.h1").alias("h1"), F.col("u.h2").alias("h2"), (until - F.col("u.i")).alias("words"))
-    runs = later_copies(rows, min_words)
+def _covered_by_runs(units: DataFrame, min_words: int, keep) -> DataFrame:
+    """(g, a, b): ranges of words in runs of whole units that occur earlier and hold ``min_words`` words or more.
+
+    Units are named by one 64-bit hash: a false run would need several of them to agree side by side by chance.
+    """
+    each = units.select("g", "n", "i", F.posexplode("h").alias("k", "h"))
+    k = F.col("k")
+    limit = F.when(k >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
+    place = F.coalesce(limit, F.shiftleft("g", LINE_BITS) + k)
+    rows = each.select(place.alias("p"), "h", (F.coalesce(F.get("i", k + 1), F.col("n")) - F.get("i", k)).alias("words"))
+    runs = later_copies(rows, min_words, ("h",), keep)
     g, low = F.shiftright("a", LINE_BITS), F.lit((1 << LINE_BITS) - 1)
     spans = runs.select(g.alias("g"), F.col("a").bitwiseAND(low).cast("int").alias("a"), (F.col("b") - F.shiftleft(g, LINE_BITS)).cast("int").alias("b"))
-    spans = _disjoint(spans)
-    placed = units.join(spans, "g").select("g", "n", F.col("units.i").alias("i"), F.inline("cut"))
+    placed = units.select("g", "n", "i").join(_disjoint(spans), "g").select("g", "n", "i", F.inline("cut"))
     return placed.select("g", F.get("i", "a").alias("a"), F.coalesce(F.get("i", "b"), F.col("n")).alias("b"))
 
 
-def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, min_words: int, size: int) -> DataFrame:
+def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, min_words: int, size: int, keep) -> DataFrame:
     """(g, a, b): windows of ``min_words`` words that occur earlier and do not lie in the covered ranges.
 
     A mark whose windows are all covered is closed. Only marks that occur again and are open somewhere have windows;
     of a covered window the earlier copy is a candidate wherever it is needed.
     """
     done = covered.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("done"))
-    held = units.join(done, "g", "left").withColumn("done", F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")))
+    held = units.select("g", "n", "i", "m").join(done, "g", "left").withColumn("done", F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")))
     first = lambda u: F.greatest(u["i"] - (min_words - size), F.lit(0))
     last = lambda u: F.least(u["i"] + min_words, F.col("n"))
     open_ = F.filter(
-        F.col("units"),
+        F.arrays_zip("i", "m"),
         lambda u: u["m"].isNotNull() & ~F.exists("done", lambda r: (r["a"] <= first(u)) & (last(u) <= r["b"])),
     )
-    marks = stored(held.select("g", open_.alias("open")).select("g", F.col("open.i").alias("i"), F.col("open.m").alias("m")))
+    marks = keep(held.select("g", open_.alias("open")).select("g", F.col("open.i").alias("i"), F.col("open.m").alias("m")))
     each = marks.select("g", F.inline(F.arrays_zip("i", "m")))
     again = each.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
     near = each.join(again, "m").groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("near"))
@@ -273,7 +276,7 @@ def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, min_w
         return F.transform(starts(F.col("near"), F.size(w)), window)
 
     rows = texts.join(near, "g").select("g", F.inline(let(_word_hashes("text"), windows)))
-    rows = stored(rows.select((F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
+    rows = keep(rows.select((F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
     later = _ranked(rows, "h1", "h2").where("p > f")
     s = F.col("p").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
     return later.select(F.shiftright("p", LINE_BITS).alias("g"), s.alias("a"), (s + min_words).alias("b"))
@@ -303,14 +306,19 @@ def remove_repeated_passages(
     # texts that occur as a whole under several ids are searched under the first
     first = order.groupBy("t").agg(F.min("g").alias("g"))
     chosen = order.join(first, ["t", "g"]).select("d", "t", "g")
-    own = let(_word_hashes("text"), lambda w: F.when(F.size(w) >= min_words, F.struct(F.size(w).alias("n"), text_units(w, min_words, size).alias("units"))))
-    split = keyed.select("d", "t", own.alias("own")).where("own IS NOT NULL").select("d", "t", "own.*").dropDuplicates(["d", "t"])
-    units = stored(split.join(chosen, ["d", "t"]).select("g", "n", "units"))
+    steps = Tables(spark)
+    own = let(
+        _word_hashes("text"),
+        lambda w: F.when(F.size(w) >= min_words, F.struct(F.size(w).alias("n"), text_units(w, min_words, size).alias("u"))),
+    )
+    split = keyed.select("d", "t", own.alias("own")).where("own IS NOT NULL").dropDuplicates(["d", "t"])
+    lists = [F.col(f"own.u.{c}").alias(c) for c in ("i", "h", "m")]
+    units = steps.keep(split.select("d", "t", F.col("own.n").alias("n"), *lists).join(chosen, ["d", "t"]).select("g", "n", "i", "h", "m"))
     release(spark)
-    covered = stored(_covered_by_runs(units, min_words))
+    covered = steps.keep(_covered_by_runs(units, min_words, steps.keep))
     release(spark)
     texts = keyed.dropDuplicates(["d", "t"]).join(chosen, ["d", "t"]).select("g", "text")
-    windows = stored(_later_windows(texts, units, covered, min_words, size))
+    windows = steps.keep(_later_windows(texts, units, covered, min_words, size, steps.keep))
     cuts = _disjoint(covered.unionAll(windows))
     d_, t_, g_, cut, whole, rest, kept = fresh(given.columns, "d", "t", "g", "cut", "whole", "words", "kept")
     copies = order.join(first.withColumnRenamed("g", "first"), "t").withColumn("whole", F.col("g") > F.col("first"))
@@ -319,8 +327,7 @@ def remove_repeated_passages(
             F.col("d").alias(d_), F.col("t").alias(t_), F.col("whole").alias(whole), F.col("cut").alias(cut)
         )
     )
-    del units, covered, windows, texts
-    release(spark)
+    steps.clear()
     white = WHITE.removesuffix("+")
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{white.replace('[', '[^', 1)}+{white}*"), F.lit(0))
     # a later copy of a whole text loses all its words if it has enough
