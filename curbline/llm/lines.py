@@ -216,10 +216,13 @@ def _word_hashes(text: str) -> Column:
 
 
 def _disjoint(ranges: DataFrame) -> DataFrame:
-    """(g, cut): per document the sorted disjoint pieces (a, b) that its ranges [a, b) cover."""
-    before = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    clear = ranges.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(before), F.col("a")))).where("a < b")
-    return clear.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
+    """(g, cut): per document the sorted pieces (a, b) that its ranges [a, b) cover; pieces that touch are one."""
+    so_far = Window.partitionBy("g").orderBy("a", "b")
+    reach = F.max("b").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranges.withColumn("apart", F.when(F.col("a") > reach, 1).otherwise(0))
+    pieces = apart.withColumn("piece", F.sum("apart").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = pieces.groupBy("g", "piece").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
 def _covered_by_runs(units: DataFrame, min_words: int, keep) -> DataFrame:
