@@ -33,9 +33,8 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner only learns of them when the driver collects garbage, which may be long after the disk is full.
     """
-    for _ in range(2):  # what the first round lets go of may hold more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Tables:
@@ -49,6 +48,7 @@ class Tables:
         path = scratch_dir(self.spark, "step")
         df.write.parquet(path)
         self.paths.append(path)
+        release(self.spark)  # the shuffles of this step
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
