@@ -8,7 +8,8 @@ from curbline.operators.coverage import latest_info, unique_stations
 from curbline.plans.inputs import AS_OF
 from curbline.plans.registry import query
 from curbline.plans.schedule import scheduled
-from curbline.session import cut_lineage
+from curbline.session import cut_lineage, scratch_dir
+from curbline.sources import tables
 
 RUN_ID = "run_2024a"
 MODEL = {
@@ -232,11 +233,42 @@ def percentile_labels(t):
     "SELECT station_id, cluster, round(distance_to_nearest_m, 3) AS distance_to_nearest_m FROM clustered",
 )
 def latest_cluster_run(t):
-    """Two appended runs, of which the later one is read."""
-    labelled = clusters.label_clusters(clustered(t))
-    older = clusters.run_table(labelled.withColumn("cluster", F.col("cluster") + 1), "run_2023z")
-    runs = older.unionByName(clusters.run_table(labelled, RUN_ID))
-    return rounded(keyed.latest_run(runs)).select("station_id", "cluster", "distance_to_nearest_m")
+    """Two runs appended, the second one twice, and one that crashed: the later complete one is read."""
+    return rounded(keyed.latest_run(tables.read_runs(t.spark, _run_tables(t)[0]))).select(
+        "station_id", "cluster", "distance_to_nearest_m"
+    )
+
+
+def _run_tables(t):
+    """Paths of the run table and of its registry."""
+    runs, registry = scratch_dir(t.spark, "runs"), scratch_dir(t.spark, "registry")
+    labelled = cut_lineage(clusters.label_clusters(clustered(t)))
+    profile = station_features.dataset_profile(labelled)
+    for run_id, shift in (("run_2023z", 1), (RUN_ID, 0), (RUN_ID, 5)):
+        rows = labelled.withColumn("cluster", F.col("cluster") + shift)
+        if tables.append_run(rows, runs, run_id):
+            tables.append_run(profile.withColumn("clusters", F.lit(shift)), registry, run_id)
+    # a run without its end mark
+    crashed = labelled.withColumn("cluster", F.lit(-1)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    crashed.parquet(f"{runs}/run_id=run_9999z")
+    return runs, registry
+
+
+@query(
+    "runs_with_registry",
+    "M-21 M-22 S-9",
+    """
+SELECT r.run_id, count(*) AS stations, CAST(min(f.cluster) + r.shift AS BIGINT) AS least, (SELECT count(*) FROM clustered) AS row_count, (SELECT count(DISTINCT station_id) FROM clustered) AS unique_stations
+FROM clustered f, (SELECT unnest(['run_2023z', 'RUN']) AS run_id, unnest([1, 0]) AS shift) r GROUP BY r.run_id, r.shift""".replace("'RUN'", f"'{RUN_ID}'"),
+)
+def runs_with_registry(t):
+    """Every complete run with its registry row; repeated and crashed appends leave no trace."""
+    runs, registry = _run_tables(t)
+    rows = tables.read_runs(t.spark, runs).groupBy("run_id").agg(
+        F.count("*").alias("stations"), F.min("cluster").cast("long").alias("least")
+    )
+    known = tables.read_runs(t.spark, registry).select("run_id", "row_count", "unique_stations")
+    return rows.join(known, "run_id")
 
 
 @query(

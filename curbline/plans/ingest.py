@@ -183,10 +183,14 @@ SELECT trip_id, route_id, service_id, start_station_name, start_station_id, end_
  (SELECT CAST(s.trip_id AS VARCHAR) AS trip_id, s.* EXCLUDE (trip_id) FROM scheduled s) q""",
 )
 def schedule_archive_scan(t):
-    """Schedules through CSV archives; an archive without stop times is skipped."""
+    """Schedules through CSV archives whose columns differ in order; an archive without stop times is skipped."""
     root = scratch_dir(t.spark, "schedules")
-    for frame, file in ((t.stops, "stops"), (t.trips, "trips"), (t.stop_times, "stop_times")):
-        frame.withColumn("note", F.lit("unused")).write.option("header", True).csv(f"{root}/2024a/{file}.txt")
+    for frame, file, key in ((t.stops, "stops", None), (t.trips, "trips", "trip_id"), (t.stop_times, "stop_times", "trip_id")):
+        noted = frame.withColumn("note", F.lit("not, used"))
+        for archive, rest in (("2024a", 0), ("2024c", 1)):
+            own = noted if key is None else noted.where(F.col(key) % 2 == rest)
+            columns = own.columns if rest == 0 else own.columns[::-1]
+            own.select(*columns).write.option("header", True).csv(f"{root}/{archive}/{file}.txt")
     t.stops.write.option("header", True).csv(f"{root}/2024b/stops.txt")
     files = landed.read_schedules(t.spark, root)
     trips = files["trips"].withColumn("service_date", F.lit("2024-01-01").cast("date"))
@@ -197,6 +201,24 @@ def schedule_archive_scan(t):
     )
 
 
+@query(
+    "newest_landed_run",
+    "S-4 S-5",
+    """
+SELECT station_id, num_bikes_available, date_trunc('second', snapshot_ts) AS snapshot_ts, '2024-01-30' AS dt FROM station_status WHERE event_id % 3 = 2""",
+)
+def newest_landed_run(t):
+    """Three runs landed as files; the one with the latest time in its name is read, written first or not."""
+    root = scratch_dir(t.spark, "runs")
+    second = F.date_trunc("SECOND", "snapshot_ts").cast("timestamp_ntz").alias("snapshot_ts")
+    rows = t.station_status.select("station_id", "num_bikes_available", second, "event_id")
+    for part, run in ((2, "20240130T120000Z"), (0, "20240129T120000Z"), (1, "20240130T090000Z")):
+        own = rows.where(F.col("event_id") % 3 == part).drop("event_id")
+        own.write.json(f"{root}/dt={run[:4]}-{run[4:6]}-{run[6:8]}/run_{run}.json")
+    newest = landed.read_newest_run(t.spark, root, "station_id string, num_bikes_available bigint, snapshot_ts timestamp_ntz")
+    return landed.path_lineage(newest).select("station_id", "num_bikes_available", "snapshot_ts", "dt")
+
+
 @query(
     "archive_index",
     "S-7",

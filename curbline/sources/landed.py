@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from curbline.functions import text, times
 from curbline.sources import schemas
 
 RUN_PATTERN = r"run_(\d{8}T\d{6}Z)\.json$"
+RUN_PARTS = r"run_(\d{8}T\d{6}Z)\.json(/part-[^/]*)?$"  # a run may be one object or a folder of parts
 DAY_PATTERN = r"dt=(\d{4}-\d{2}-\d{2})/"
 
 
@@ -176,50 +178,77 @@ def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_pages(spark, newest["path"], schema)
 
 
-def complete_archives(spark: SparkSession, root: str) -> DataFrame:
-    """Archives (folders below ``root``) that hold every schedule file.
+def read_newest_run(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of the newest run below ``path``, with ``source_object``; only its objects are opened.
 
-    A file may also be a folder of parts under the file's name.
+    Names and times come from listing; one run id comes to the driver and becomes the pattern of the scan.
     """
-    pattern = r"([^/]+)/([^/]+)\.txt(/part-[^/]*)?$"
-    return (
-        list_objects(spark, root)
-        .select(
-            F.regexp_extract("path", pattern, 1).alias("archive"),
-            F.regexp_extract("path", pattern, 2).alias("file"),
-        )
-        .filter(F.col("file").isin(*schemas.SCHEDULE_FILES))
-        .groupBy("archive")
-        .agg(F.countDistinct("file").alias("files"))
-        .filter(F.col("files") == len(schemas.SCHEDULE_FILES))
-        .select("archive")
+    run = F.nullif(F.regexp_extract("path", RUN_PARTS, 1), F.lit(""))
+    newest = list_objects(spark, path).agg(F.max(run)).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no run landed below {path}")
+    lines = (
+        spark.read.schema(f"{schema}, {schemas.CORRUPT} string")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+        .json(f"{path}/dt=*/run_{newest}.json")
     )
+    return lines.withColumn("source_object", F.col("_metadata.file_path"))
+
+
+def _schedule_lines(spark: SparkSession, root: str, file: str) -> DataFrame | None:
+    """(archive, path, line) of one kind of file in all archives; a file may also be a folder of parts."""
+    try:
+        lines = spark.read.text(f"{root}/*/{file}.txt")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    path = F.col("_metadata.file_path")
+    archive = F.regexp_extract(path, r"([^/]+)/[^/]+\.txt(/part-[^/]*)?$", 1)
+    return lines.select(archive.alias("archive"), path.alias("path"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
 
 
 def read_schedules(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Stops, trips and stop times of all complete archives, only the needed columns.
 
-    Column order may differ between archives, so each is read by its own header.
-    Only the archive names, one per published schedule, come to the driver.
+    One scan per kind of file reads all archives, however many there are. Column order may differ between them: each
+    file's header, the line that names all needed columns, is joined to its lines by path and says where a column
+    stands. Archives that lack a file or a needed column are left out.
     """
-    archives = sorted(row["archive"] for row in complete_archives(spark, root).toLocalIterator())
-    if not archives:
+    lines = {file: _schedule_lines(spark, root, file) for file in schemas.SCHEDULE_FILES}
+    if any(v is None for v in lines.values()):
         raise FileNotFoundError(f"no complete schedule archive below {root}")
 
+    def fields(line: Column) -> Column:
+        return F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
+
+    def headers(file: str) -> DataFrame:
+        named = lines[file].withColumn("header", fields(F.col("line")))
+        every = [F.array_contains("header", name) for name in schemas.SCHEDULE_FILES[file]]
+        return named.where(reduce(lambda a, b: a & b, every)).select("archive", "path", "line", "header")
+
+    found = {file: headers(file) for file in lines}
+    kinds = [h.select("archive", F.lit(file).alias("file"), F.size("header").alias("width")) for file, h in found.items()]
+    seen = reduce(DataFrame.unionByName, kinds).groupBy("archive").agg(F.countDistinct("file").alias("n"), F.max("width").alias("width"))
+    complete = seen.where(F.col("n") == len(lines))
+    width = complete.agg(F.max("width")).first()[0]
+    if width is None:
+        raise FileNotFoundError(f"no complete schedule archive below {root}")
+    slots = [f"c{i}" for i in range(width)]
+
     def read(file: str) -> DataFrame:
         columns = schemas.SCHEDULE_FILES[file]
-        parts = [
-            spark.read.option("header", True)
-            .csv(f"{root}/{archive}/{file}.txt")
-            .select(
-                F.lit(archive).alias("archive"),
-                *[F.col(name).try_cast(kind).alias(name) for name, kind in columns.items()],
-            )
-            for archive in archives
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        header = found[file].select("path", "header", F.col("line").alias("first"))
+        rows = lines[file].join(header, "path").where((F.col("line") != F.col("first")) & (F.length("line") > 0))
+        parsed = rows.withColumn("row", F.from_csv("line", ", ".join(f"{c} string" for c in slots)))
+        cells = F.array(*[F.col(f"row.{c}") for c in slots])
+        place = lambda name: F.array_position("header", name).cast("int") - 1
+        return parsed.join(complete.select("archive"), "archive", "left_semi").select(
+            "archive", *[F.get(cells, place(name)).try_cast(kind).alias(name) for name, kind in columns.items()]
+        )
 
-    return {file: read(file) for file in schemas.SCHEDULE_FILES}
+    return {file: read(file) for file in lines}
 
 
 def select_archives(index: DataFrame, first_day: str, last_day: str) -> DataFrame:

@@ -30,6 +30,38 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _run_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the runs that were written to their end, which Spark marks."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    folders = [s.getPath() for s in system.listStatus(root) if s.isDirectory()]
+    return sorted(f.toString() for f in folders if system.exists(f.suffix("/_SUCCESS")))
+
+
+def append_run(df: DataFrame, path: str, run_id: str) -> bool:
+    """Add the rows of one run as a folder of its own; its end mark is the commit record.
+
+    A run that is complete is never written again, so a repeated append changes nothing and returns ``False``; what a
+    crashed append has left is overwritten.
+    """
+    folder = f"{path}/run_id={run_id}"
+    if any(known.endswith(f"/run_id={run_id}") for known in _run_folders(df.sparkSession, path)):
+        return False
+    df.drop("run_id").write.mode("overwrite").parquet(folder)
+    return True
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all complete runs with their ``run_id``; runs that are being written or have crashed do not show."""
+    folders = _run_folders(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"no complete run below {path}")
+    runs = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
+    return runs.withColumn("run_id", F.col("run_id").cast("string"))
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Write a table anew; also the form of truncate-then-insert."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

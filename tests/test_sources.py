@@ -145,3 +145,38 @@ def test_shared_folder_follows_the_session(spark, tmp_path):
 
 def _settable(spark):
     return spark.conf.isModifiable("spark.checkpoint.dir")
+
+
+def test_archives_are_read_in_one_scan_whatever_their_column_order(spark, tmp_path):
+    def land(n):
+        root = tmp_path / f"root{n}"
+        for i in range(n):
+            folder = root / f"a{i:02}"
+            folder.mkdir(parents=True)
+            (folder / "stops.txt").write_text(f"\ufeffstop_lat,stop_id,stop_name,stop_lon\n4{i % 10}.5,s{i},\"A, B\",-71\n\n")
+            (folder / "trips.txt").write_text(f"trip_id,note,route_id,service_id,direction_id\nt{i},x,r,v,{i % 2}\n")
+            (folder / "stop_times.txt").write_text(f"stop_sequence,stop_id,trip_id,arrival_time\n1,s{i},t{i},08:00:00\nbad,s{i},t{i},09:00:00\n")
+        (root / "zz").mkdir()
+        (root / "zz" / "stops.txt").write_text("stop_id,stop_name,stop_lat,stop_lon\nlost,x,1,1\n")
+        return landed.read_schedules(spark, str(root))
+
+    few, many = land(2), land(14)
+    assert values(few["stops"], "archive", "stop_id", "stop_name", "stop_lat") == [("a00", "s0", "A, B", 40.5), ("a01", "s1", "A, B", 41.5)]
+    assert many["stops"].count() == 14 and many["stop_times"].count() == 28
+    assert many["stop_times"].where("stop_sequence IS NULL").count() == 14
+    plans = [f["trips"]._jdf.queryExecution().executedPlan().toString().count("FileScan text") for f in (few, many)]
+    assert plans[0] == plans[1]
+
+
+def test_runs_count_once_complete(spark, tmp_path):
+    from curbline.sources import tables
+
+    path = f"{tmp_path}/runs"
+    with pytest.raises(FileNotFoundError):
+        tables.read_runs(spark, path)
+    assert tables.append_run(spark.range(3), path, "r1") and tables.append_run(spark.range(2), path, "7")
+    assert not tables.append_run(spark.range(9), path, "r1")
+    spark.range(5).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/run_id=r9")
+    assert values(tables.read_runs(spark, path).groupBy("run_id").count(), "run_id", "count") == [("7", 2), ("r1", 3)]
+    assert tables.append_run(spark.range(4), path, "r9")
+    assert values(tables.read_runs(spark, path).where("run_id = 'r9'"), "id") == [(0,), (1,), (2,), (3,)]

@@ -70,3 +70,17 @@ def test_zero_and_unit_vectors(frame):
     v = frame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
     got = dict(values(vectors.normalise(v).select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("e")), "vec_id", "e"))
     assert got == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
+def test_places_of_any_characters_equal_contains(frame):
+    import random
+
+    rng = random.Random(3)
+    names = ["A & B", "&", "St. Mary's", "x" * 80, "Ärger", "a"] + ["".join(rng.choice("ab &-.") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    asked = ["&", "& b", "mary's", "ÄR", "zzz", "", None] + ["".join(rng.choice("ab &-") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    stations = frame([(str(i), n, 1.0, 2.0) for i, n in enumerate(names)], "station_id string, station_name string, lat double, lng double")
+    out = place_match.match_places(frame([(a,) for a in asked], "place string"), stations).collect()
+    assert len(out) == len(asked)
+    for row in out:
+        hits = [(len(n), str(i)) for i, n in enumerate(names) if row.cleaned and row.cleaned.lower() in n.lower()]
+        assert row.station_id == (min(hits)[1] if hits else None), row
