@@ -20,6 +20,7 @@ CELL_MARGIN = 1.001  # cells a little wider than the radius, so rounding loses n
 LEVEL_STEP = 4
 TIE_PLACES = 3
 HALF_DIAGONAL = 0.8661  # of a unit cube, rounded up
+CELL_ROWS = 50_000  # sites of a cell that one task of a nearest search compares with
 
 
 @dataclass(frozen=True)
@@ -133,44 +134,74 @@ def radius_summary(
     return radius_pairs(lean, right, radius_m, spread).groupBy("lat", "lng").agg(*aggregates)
 
 
+def _cell_counts(layered: DataFrame, metric: Metric) -> DataFrame:
+    """Occupied cells of every level: the number of sites ``_n`` and the southernmost one, ``_at_lat, _at_lng``."""
+    return layered.groupBy("_level", *_names(metric)).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("lat").alias("_at_lat"), F.min_by("lng", "lat").alias("_at_lng")
+    )
+
+
+def _parts(cell_rows: int) -> Column:
+    """Parts of a cell with ``_n`` sites, so that a part holds about ``cell_rows`` of them at most."""
+    return F.ceil(F.col("_n") / cell_rows).cast("long")
+
+
+def _dealt(layered: DataFrame, counts: DataFrame, metric: Metric, cell_rows: int) -> DataFrame:
+    """Sites with the part of their cell that holds them.
+
+    Only crowded cells have several parts. Of each level there are at most sites / ``cell_rows`` of these, so
+    they are broadcast: 200,000 short rows for a thousand million sites.
+    """
+    crowded = counts.filter(F.col("_n") > cell_rows).select("_level", *_names(metric), _parts(cell_rows).alias("_split"))
+    split = F.coalesce("_split", F.lit(1))
+    return (
+        layered.join(F.broadcast(crowded), ["_level", *_names(metric)], "left")
+        .withColumn("_part", F.pmod(F.xxhash64("lat", "lng"), split))
+        .drop("_split")
+    )
+
+
 def nearest_site(
-    left: DataFrame, right: DataFrame, metric: Metric = SPHERE, identity: str = "near_id", spread: int = 8
+    left: DataFrame, right: DataFrame, metric: Metric = SPHERE, identity: str = "near_id", cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """The nearest right site for every left site: ``near_*`` columns and ``distance``.
 
-    Exact for any distance, in one lazy plan. First the finest grid level is
-    found at which a left site has any right site in an adjacent cell; that
-    bounds the distance by 2 * sqrt(dimensions) cells, which is less than one
-    cell of the next level. So the adjacent cells of the next level hold the
-    nearest site. Only right sites in cells that some search visits are loaded,
-    and the sites of a cell are split into ``spread`` parts. Distances that
-    round to the same value tie and the smaller ``identity`` wins.
+    Exact for any distance, in one lazy plan. Right sites are counted per cell of every grid level, with one
+    site of each cell for a sample. The samples in the cells around a left site, of all levels, bound the
+    distance of its nearest site; the cells around it at the finest level that is as wide as this bound hold
+    that site. A cell is split by its count, so no task compares with more than about ``cell_rows`` sites of a
+    cell, however crowded a city is. Distances that round to the same value tie and the smaller ``identity``
+    wins.
     """
     names = _names(metric)
+    cell = ["_level", *names]
     scales = F.explode(F.sequence(F.lit(0), F.lit(metric.levels - 1)))
     size = f"{metric.finest}D * pow({LEVEL_STEP}D, _level)"
 
     lean = left.select("lat", "lng").distinct()
     layered = _with_cell(right.withColumn("_level", scales), metric, size)
-    occupied = layered.select("_level", *names).distinct()
+    counts = _cell_counts(layered, metric)
     probe = _neighbourhood(_with_cell(lean.withColumn("_level", scales), metric, size), metric, size)
+    sample = metric.distance(F.col("lat"), F.col("lng"), F.col("_at_lat"), F.col("_at_lng"))
+    # no distance on the axes is longer than the metric's own
+    wide = F.ceil(F.log(float(LEVEL_STEP), F.greatest(F.min(sample) * CELL_MARGIN / metric.finest, F.lit(1.0))))
     reach = (
-        probe.join(occupied, ["_level", *names], "left_semi")
+        probe.join(counts, cell)
         .groupBy("lat", "lng")
-        .agg(F.least(F.min("_level") + 1, F.lit(metric.levels - 1)).alias("_level"))
+        .agg(F.least(wide.cast("int"), F.lit(metric.levels - 1)).alias("_level"))
     )
-    search = _neighbourhood(_with_cell(reach, metric, size), metric, size)
-    visited = search.select("_level", *names).distinct()
-    near = _spread(layered.join(visited, ["_level", *names], "left_semi"), spread)
+    around = _neighbourhood(_with_cell(reach, metric, size), metric, size).join(counts, cell)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), _parts(cell_rows) - 1))
+    search = around.select("lat", "lng", *cell, part.alias("_part")).hint("merge")
+    near = _dealt(layered, counts, metric, cell_rows)
     near = near.withColumnRenamed("lat", "near_lat").withColumnRenamed("lng", "near_lng")
-    payload = [c for c in near.columns if c not in ("_level", "_part", *names)]
+    payload = [c for c in near.columns if c not in ("_part", *cell)]
     distance = metric.distance(
         F.col("lat"), F.col("lng"), F.col("near_lat"), F.col("near_lng")
     )
     tie = F.struct(F.round("distance", metric.tie_places), F.col(identity))
     return (
-        _replicate(search, spread).hint("merge")
-        .join(near, ["_level", *names, "_part"])
+        search.join(near, [*cell, "_part"])
         .withColumn("distance", distance)
         .groupBy("lat", "lng")
         .agg(F.min_by(F.struct(*payload, "distance"), tie).alias("_near"))

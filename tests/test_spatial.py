@@ -106,3 +106,29 @@ def test_summary_without_any_distance(frame):
     row = coverage.distance_summary(coverage.coverage(transit, stations, 100.0)).first()
     assert (row.total_stations, row.stations_failing, row.percent_meeting) == (1, 1, 0.0)
     assert row.median_distance_m is None and row.mean_distance_m is None
+
+
+@pytest.mark.parametrize("metric", [spatial.SPHERE, spatial.PLANAR])
+def test_crowded_cells_are_split_by_their_count(frame, metric):
+    """A crowded city and far searchers: few rows of the right side per key, results as by brute force."""
+    rng = random.Random(11)
+    city = [(42 + rng.random() / 50, -71 + rng.random() / 50) for _ in range(600)]
+    left = [(42 + rng.random() * 3, -71 + rng.random() * 3) for _ in range(40)]
+    right = points(frame, city).withColumn("near_id", F.concat_ws(",", "lat", "lng"))
+    apart = distance if metric is spatial.SPHERE else math.dist
+    for cell_rows in (1, 20, 50_000):
+        for row in spatial.nearest_site(points(frame, left), right, metric, cell_rows=cell_rows).collect():
+            assert row.distance == pytest.approx(min(apart((row.lat, row.lng), b) for b in city), abs=1e-3)
+    size = f"{metric.finest}D * pow({spatial.LEVEL_STEP}D, _level)"
+    levels = F.explode(F.sequence(F.lit(0), F.lit(metric.levels - 1)))
+    layered = spatial._with_cell(right.withColumn("_level", levels), metric, size)
+    dealt = spatial._dealt(layered, spatial._cell_counts(layered, metric), metric, 20)
+    assert dealt.count() == 600 * metric.levels
+    largest = dealt.groupBy("_level", *spatial._names(metric), "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 45  # 20 on average
+
+
+def test_only_crowded_cells_are_broadcast(frame):
+    near = points(frame, [(42.0, -71.0)]).withColumn("near_id", F.lit("a"))
+    plan = spatial.nearest_site(points(frame, [(42.5, -71.0)]), near)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("BroadcastHashJoin") == 1
