@@ -12,6 +12,7 @@ ISO_INSTANT = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
 CLOCK = r"^\s*\d{1,3}:\d{2}:\d{2}\s*$"
+MAX_CLOCK_DAYS = 42  # no clock time of that form is later: 999:99:99 is in the 42nd day
 
 
 def iso_utc(text: Column) -> Column:

@@ -43,17 +43,12 @@ def hourly_dropoffs(trips: DataFrame, info: DataFrame) -> DataFrame:
     return golden_hours(hourly_counts(trips, "end_station_id", "ended_at", "dropoffs"), info)
 
 
-def combine_golden(pickups: DataFrame, dropoffs: DataFrame) -> DataFrame:
-    """Full join of two stored golden tables; a missing side counts 0."""
-    shared = ["station_name", "day_of_week", "hour", "is_weekend"]
-    p, d = pickups.alias("p"), dropoffs.alias("d")
-    return p.join(d, ["station_id", "ts_hour"], "full").select(
-        "station_id",
-        "ts_hour",
-        *[F.coalesce(f"p.{c}", f"d.{c}").alias(c) for c in shared],
-        F.coalesce("pickups", F.lit(0)).alias("pickups"),
-        F.coalesce("dropoffs", F.lit(0)).alias("dropoffs"),
+def combine_hours(pickups: DataFrame, dropoffs: DataFrame, info: DataFrame) -> DataFrame:
+    """Full join of hourly pickups and dropoffs; names and calendar go on its rows, once."""
+    both = pickups.join(dropoffs, ["station_id", "ts_hour"], "full").select(
+        "station_id", "ts_hour", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pickups", "dropoffs")]
     )
+    return golden_hours(both, info)
 
 
 def trip_ends(trips: DataFrame) -> DataFrame:
@@ -109,22 +104,32 @@ def station_totals(trips: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-def top_by_total(golden: DataFrame, value: str, k: int) -> DataFrame:
-    totals = golden.groupBy("station_id", "station_name").agg(F.sum(value).alias(f"total_{value}"))
-    totals = totals.groupBy("station_id").agg(
-        F.min("station_name").alias("station_name"), F.sum(f"total_{value}").alias(f"total_{value}")
-    )
-    return keyed.top_k(totals, k, F.desc(f"total_{value}"), F.asc("station_id"))
+def _largest(hours: DataFrame, value: str, k: int) -> DataFrame:
+    total = f"total_{value}"
+    totals = hours.groupBy("station_id").agg(F.sum(value).alias(total))
+    return keyed.top_k(totals, k, F.desc(total), F.asc("station_id"))
+
+
+def _named(top: DataFrame, info: DataFrame, total: str, k: int) -> DataFrame:
+    """``top`` (at most ``k`` rows, so broadcast) with the station's name after its id, in order."""
+    names = station_names(info).join(F.broadcast(top.select("station_id")), "station_id", "left_semi")
+    rest = [c for c in top.columns if c != "station_id"]
+    named = top.join(names, "station_id", "left").select("station_id", "station_name", *rest)
+    return keyed.top_k(named, k, F.desc(total), F.asc("station_id"))
+
 
+def top_by_total(hours: DataFrame, info: DataFrame, value: str, k: int) -> DataFrame:
+    """The ``k`` stations with the greatest sum of ``value``; names are joined to these rows alone."""
+    return _named(_largest(hours, value, k), info, f"total_{value}", k)
 
-def busy_both_ways(pickups: DataFrame, dropoffs: DataFrame, pool: int = 30, k: int = 20) -> DataFrame:
+
+def busy_both_ways(
+    pickups: DataFrame, dropoffs: DataFrame, info: DataFrame, pool: int = 30, k: int = 20
+) -> DataFrame:
     """Stations in the top ``pool`` of both lists, ranked by their combined total."""
-    out = top_by_total(pickups, "pickups", pool)
-    back = top_by_total(dropoffs, "dropoffs", pool).drop("station_name")
-    both = out.join(back, "station_id").withColumn(
-        "combined_score", F.col("total_pickups") + F.col("total_dropoffs")
-    )
-    return keyed.top_k(both, k, F.desc("combined_score"), F.asc("station_id"))
+    both = _largest(pickups, "pickups", pool).join(_largest(dropoffs, "dropoffs", pool), "station_id")
+    both = both.withColumn("combined_score", F.col("total_pickups") + F.col("total_dropoffs"))
+    return _named(keyed.top_k(both, k, F.desc("combined_score"), F.asc("station_id")), info, "combined_score", k)
 
 
 def dow_hour_stats(trips: DataFrame) -> DataFrame:
@@ -141,12 +146,9 @@ def dow_hour_stats(trips: DataFrame) -> DataFrame:
         )
         .agg(F.count("*").alias("n"))
     )
-    # Seven rows at most.
-    weekdays = (
-        daily.select("day").distinct().groupBy(F.dayofweek("day").alias("dow")).agg(
-            F.count("*").alias("days")
-        )
-    )
+    # Seven rows at most. The sum keeps the counts in use, so both branches share one shuffle of the trips.
+    days = daily.groupBy("day").agg(F.sum("n").alias("n")).filter("n > 0")
+    weekdays = days.groupBy(F.dayofweek("day").alias("dow")).agg(F.count("*").alias("days"))
     return (
         daily.groupBy("start_station_id", F.dayofweek("day").alias("dow"), "hour")
         .agg(F.sum("n").alias("trips_count"))

@@ -45,16 +45,25 @@ def scheduled_trips(
     first_day: str | None = None,
     end_day: str | None = None,
     strict_row: bool = False,
+    with_stations: bool = True,
 ) -> DataFrame:
     """One row per trip with its end stations and times.
 
     ``trips`` needs ``service_date``: clock times are placed on that day, so
     times of 24 hours and more are kept. With ``first_day`` / ``end_day`` only
-    trips that start in that half-open range stay.
+    trips that start in that half-open range stay: of a trips table stored by
+    service day only these days are read and the ``MAX_CLOCK_DAYS`` before, as a
+    clock time may be that late. Without ``with_stations`` names and places
+    are left out and the stops are not read.
     """
     trip = ["archive", "trip_id"] if "archive" in stop_times.columns else ["trip_id"]
     scope = trip[:-1]
     kept = trips.filter(F.col("trip_id").isNotNull() & F.col("route_id").isNotNull())
+    # the start decides below; the day bounds it, so that it prunes at the scan
+    if first_day is not None:
+        kept = kept.filter(F.col("service_date") >= F.date_sub(F.lit(first_day).cast("date"), times.MAX_CLOCK_DAYS))
+    if end_day is not None:
+        kept = kept.filter(F.col("service_date") < F.lit(end_day).cast("date"))
     ends = first_and_last_stops(stop_times, trip, strict_row)
 
     def place(end: str) -> DataFrame:
@@ -70,13 +79,18 @@ def scheduled_trips(
         kept.join(ends, trip, "left")
         .withColumnRenamed("first_stop_id", "start_station_id")
         .withColumnRenamed("last_stop_id", "end_station_id")
-        .join(place("start"), [*scope, "start_station_id"], "left")
-        .join(place("end"), [*scope, "end_station_id"], "left")
     )
+    stations = ["start_station_id", "end_station_id"]
+    if with_stations:
+        joined = joined.join(place("start"), [*scope, "start_station_id"], "left").join(
+            place("end"), [*scope, "end_station_id"], "left"
+        )
+        stations = [
+            "start_station_name", "start_station_id", "end_station_name", "end_station_id",
+            "start_lat", "start_lng", "end_lat", "end_lng",
+        ]
     rows = joined.select(
-        "trip_id", "route_id", "service_id",
-        "start_station_name", "start_station_id", "end_station_name", "end_station_id",
-        "start_lat", "start_lng", "end_lat", "end_lng",
+        "trip_id", "route_id", "service_id", *stations,
         times.clock_on(F.col("service_date"), F.col("first_arrival_time")).alias("scheduled_start_time"),
         times.clock_on(F.col("service_date"), F.col("last_arrival_time")).alias("scheduled_end_time"),
         "direction_id",

@@ -8,6 +8,14 @@ from curbline.operators.coverage import latest_info
 from curbline.plans.registry import query
 
 
+def pickup_hours(t):
+    return demand.hourly_counts(t.bike_trips, "start_station_id", "started_at", "pickups")
+
+
+def dropoff_hours(t):
+    return demand.hourly_counts(t.bike_trips, "end_station_id", "ended_at", "dropoffs")
+
+
 @query(
     "station_net_demand",
     "P-4 P-17 J-0 J-1 A-27 K-2 W-1",
@@ -39,10 +47,7 @@ def station_hour_demand(t):
 
 @query("combined_golden_tables", "J-2 P-18", "SELECT * FROM demand")
 def combined_golden_tables(t):
-    return demand.combine_golden(
-        demand.hourly_pickups(t.bike_trips, t.station_info),
-        demand.hourly_dropoffs(t.bike_trips, t.station_info),
-    )
+    return demand.combine_hours(pickup_hours(t), dropoff_hours(t), t.station_info)
 
 
 _TOP = """
@@ -52,12 +57,12 @@ FROM golden_{0} GROUP BY station_id ORDER BY total_{0} DESC, station_id LIMIT {1
 
 @query("top_pickup_stations", "A-17 A-9 K-2", _TOP.format("pickups", 30))
 def top_pickup_stations(t):
-    return demand.top_by_total(demand.hourly_pickups(t.bike_trips, t.station_info), "pickups", 30)
+    return demand.top_by_total(pickup_hours(t), t.station_info, "pickups", 30)
 
 
 @query("top_dropoff_stations", "A-17 K-2", _TOP.format("dropoffs", 15))
 def top_dropoff_stations(t):
-    return demand.top_by_total(demand.hourly_dropoffs(t.bike_trips, t.station_info), "dropoffs", 15)
+    return demand.top_by_total(dropoff_hours(t), t.station_info, "dropoffs", 15)
 
 
 @query(
@@ -69,10 +74,7 @@ FROM ({_TOP.format("pickups", 30)}) p JOIN ({_TOP.format("dropoffs", 30)}) d ON
 ORDER BY combined_score DESC, p.station_id LIMIT 20""",
 )
 def stations_busy_both_ways(t):
-    return demand.busy_both_ways(
-        demand.hourly_pickups(t.bike_trips, t.station_info),
-        demand.hourly_dropoffs(t.bike_trips, t.station_info),
-    )
+    return demand.busy_both_ways(pickup_hours(t), dropoff_hours(t), t.station_info)
 
 
 @query(

@@ -14,6 +14,11 @@ def scheduled(t, **options):
     return schedule.scheduled_trips(t.trips, t.stop_times, t.stops, AS_OF, **options)
 
 
+def scheduled_in_year(t, year=TRIP_YEAR, with_stations=False):
+    """Trips that start in ``year``: only its service days are read."""
+    return scheduled(t, first_day=f"{year}-01-01", end_day=f"{year + 1}-01-01", with_stations=with_stations)
+
+
 @query(
     "first_last_stops",
     "W-3",
@@ -43,7 +48,7 @@ SELECT trip_id, route_id, scheduled_start_time, scheduled_end_time FROM schedule
 WHERE scheduled_start_time >= TIMESTAMP '1997-01-01 00:00:00' AND scheduled_start_time < TIMESTAMP '1997-10-01 00:00:00'""",
 )
 def scheduled_trips_in_range(t):
-    rows = scheduled(t, first_day="1997-01-01", end_day="1997-10-01")
+    rows = scheduled(t, first_day="1997-01-01", end_day="1997-10-01", with_stations=False)
     return rows.select("trip_id", "route_id", "scheduled_start_time", "scheduled_end_time")
 
 
@@ -65,7 +70,7 @@ def route_centres(t):
     f"SELECT count(*) AS total_trips FROM scheduled WHERE year(scheduled_start_time) = {TRIP_YEAR}",
 )
 def scheduled_total_in_year(t):
-    return reviews.total(scheduled(t), "scheduled_start_time", TRIP_YEAR, "total_trips")
+    return reviews.total(scheduled_in_year(t), "scheduled_start_time", TRIP_YEAR, "total_trips")
 
 
 _TOP = """
@@ -74,7 +79,7 @@ SELECT {0}, count(*) AS trips FROM {1} WHERE year({2}) = {3} GROUP BY {0} ORDER
 
 @query("top_routes", "A-12 K-2", _TOP.format("route_id", "scheduled", "scheduled_start_time", TRIP_YEAR))
 def top_routes(t):
-    return reviews.top_values(scheduled(t), "route_id", "scheduled_start_time", TRIP_YEAR)
+    return reviews.top_values(scheduled_in_year(t), "route_id", "scheduled_start_time", TRIP_YEAR)
 
 
 @query(
@@ -82,7 +87,7 @@ def top_routes(t):
     _TOP.format("start_station_name", "scheduled", "scheduled_start_time", TRIP_YEAR),
 )
 def top_transit_start_stations(t):
-    return reviews.top_values(scheduled(t), "start_station_name", "scheduled_start_time", TRIP_YEAR)
+    return reviews.top_values(scheduled_in_year(t, with_stations=True), "start_station_name", "scheduled_start_time", TRIP_YEAR)
 
 
 _LOCAL = "({0} AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
@@ -96,7 +101,7 @@ SELECT month({_LOCAL.format("scheduled_start_time")}) AS month_number, monthname
 FROM scheduled WHERE year(scheduled_start_time) = {TRIP_YEAR} GROUP BY 1, 2""",
 )
 def scheduled_trips_by_month(t):
-    return reviews.by_month(scheduled(t), "scheduled_start_time", TRIP_YEAR)
+    return reviews.by_month(scheduled_in_year(t), "scheduled_start_time", TRIP_YEAR)
 
 
 _SEASON = """CASE WHEN month({0}) IN (12, 1, 2) THEN 'Winter' WHEN month({0}) IN (3, 4, 5) THEN 'Spring'
@@ -111,7 +116,7 @@ SELECT {_SEASON.format("scheduled_start_time")} AS season, CASE WHEN route_id <
 FROM scheduled WHERE year(scheduled_start_time) = {TRIP_YEAR} GROUP BY 1, 2""",
 )
 def scheduled_trips_by_season(t):
-    typed = scheduled(t).join(t.routes, "route_id", "left")
+    typed = scheduled_in_year(t).join(t.routes, "route_id", "left")
     return reviews.by_season(typed, "scheduled_start_time", TRIP_YEAR, ["route_type"])
 
 
