@@ -318,6 +318,39 @@ def vehicle_dimension(t):
     )
 
 
+def _newest_sql(key, ts, columns, view):
+    """Newest value that is not NULL of each column; equal times go to the greater value."""
+    picks = ", ".join(f"(max({{'t': {ts}, 'v': {c}}}) FILTER (WHERE {c} IS NOT NULL)).v AS {c}" for c in columns)
+    return f"SELECT {key}, {picks} FROM {view} WHERE {key} IS NOT NULL GROUP BY {key}"
+
+
+TRIP_FIELDS, STOP_FIELDS = ["route_id", "direction_id", "status"], ["route_id", "status"]
+ROUTE_FIELDS = ["direction_id", "current_status", "occupancy_status"]
+
+
+@query("trip_dimension", "S-16", _newest_sql("trip_id", "ts", TRIP_FIELDS, "prediction_items"))
+def trip_dimension(t):
+    return landed.latest_attributes(t.prediction_items, "trip_id", "ts", TRIP_FIELDS)
+
+
+@query("route_dimension", "S-16", _newest_sql("route_id", "observed_at_utc", ROUTE_FIELDS, "vehicle_positions"))
+def route_dimension(t):
+    return landed.latest_attributes(t.vehicle_positions, "route_id", "observed_at_utc", ROUTE_FIELDS)
+
+
+@query(
+    "stop_dimension",
+    "S-16",
+    f"""
+SELECT d.*, s.station_name AS stop_name, s.lat AS stop_lat, s.lng AS stop_lon
+FROM ({_newest_sql("stop_id", "ts", STOP_FIELDS, "prediction_items")}) d LEFT JOIN transit_stations s ON s.station_id = d.stop_id""",
+)
+def stop_dimension(t):
+    """Stops of the feed with their newest attributes; names and places are joined to one row per stop."""
+    newest = landed.latest_attributes(t.prediction_items, "stop_id", "ts", STOP_FIELDS)
+    return newest.join(t.stops, "stop_id", "left")
+
+
 @query(
     "rejected_predictions",
     "Q-1 P-4",
