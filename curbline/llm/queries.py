@@ -66,10 +66,10 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_rules", reference.RULES)
 def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Measures and verdict of every text."""
+    """The measures asked for and the verdict of every text; the cascade takes the others where it gets to them."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    done = apply_rules(docs, "text", keep_measures=True)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    done = apply_rules(docs, "text", keep_measures=names)
     base = BASE_RULES[0].fails({n: F.col(n) for n in names}) | BASE_RULES[1].fails({n: F.col(n) for n in names})
     return done.select("doc_id", *names, base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
 

@@ -91,15 +91,26 @@ RULES = (
 )
 
 
-def order_rules(df: DataFrame, text: str, rules=RULES, sample_rows: int = 400) -> list[Rule]:
+def sample_texts(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """(text): the ``rows`` distinct texts with the smallest hash, NULL being one of them.
+
+    Only hashes are sorted; the texts of the chosen ones are then fetched where they are, once each.
+    """
+    hashed = df.select(F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    least = hashed.select("h").distinct().orderBy("h").limit(rows)
+    return hashed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).select("text")
+
+
+def order_rules(df: DataFrame, text: str, rules=RULES, sample_rows: int = 400, known: tuple[str, ...] = ()) -> list[Rule]:
     """``rules`` by rejected texts per second of work, best first, estimated on a sample.
 
-    The sample is the ``sample_rows`` texts with the smallest hash. Each rule runs alone over it;
-    the time beyond an empty run is its cost. Verdicts never depend on the order, only the work does.
+    The sample is the ``sample_rows`` distinct texts with the smallest hash. Each rule runs alone over it;
+    the time beyond an empty run is its cost. Measures in ``known`` are there before the cascade and cost
+    nothing. Verdicts never depend on the order, only the work does.
     """
-    col = F.col(f"`{text}`")
-    sample = stored(df.select(col.alias("text")).orderBy(F.xxhash64(col), col).limit(sample_rows))
     measured = measures(F.col("text"))
+    sample = stored(sample_texts(df, text, sample_rows).withColumns({name: measured[name] for name in known}))
+    measured |= {name: F.col(name) for name in known}
 
     def run(condition: Column) -> tuple[float, int]:
         start = time.perf_counter()
@@ -121,21 +132,22 @@ def cascade(rules: list[Rule], measured: dict[str, Column]) -> Column:
     return verdict
 
 
-def apply_rules(df: DataFrame, text: str = "text", rules=RULES, keep_measures: bool = False) -> DataFrame:
+def apply_rules(df: DataFrame, text: str = "text", rules=RULES, keep_measures: bool | tuple[str, ...] = False) -> DataFrame:
     """``df`` with ``failed_rule`` (one failing rule's name or NULL) and ``kept``.
 
-    Without measures, each text runs through the ordered cascade and stops at its first failing rule.
-    With ``keep_measures`` all measures are computed and kept as columns (replacing same-named ones),
-    and the cascade reads these. NULL and empty texts fail ``few_words``; an empty frame stays empty;
-    ``failed_rule`` depends on the order, ``kept`` does not.
+    Each text runs through the ordered cascade and stops at its first failing rule, so a measure is only
+    taken of the texts that reach a rule which needs it. Measures named in ``keep_measures`` (True: all) are
+    taken of every text and kept as columns, replacing same-named ones; the cascade reads these. NULL and
+    empty texts fail ``few_words``; an empty frame stays empty; repeated rows are judged alike; ``failed_rule``
+    depends on the order, ``kept`` does not.
     """
-    ordered = order_rules(df, text, rules)
     source = fresh(df.columns, "text")[0]
     given = df.withColumn(source, F.col(f"`{text}`"))
     measured = measures(F.col(source))
-    if keep_measures:
-        given = given.withColumns(measured)
-        measured = {name: F.col(name) for name in measured}
+    known = tuple(measured) if keep_measures is True else tuple(keep_measures or ())
+    ordered = order_rules(df, text, rules, known=known)
+    given = given.withColumns({name: measured[name] for name in known})
+    measured |= {name: F.col(name) for name in known}
     return (
         given.withColumn("failed_rule", cascade(ordered, measured))
         .withColumn("kept", F.col("failed_rule").isNull())

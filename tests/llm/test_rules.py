@@ -1,6 +1,6 @@
 import re
 
-from curbline.llm.rules import BASE_RULES, RULES, apply_rules
+from curbline.llm.rules import BASE_RULES, RULES, apply_rules, sample_texts
 from tests.llm.duck import same
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -40,6 +40,24 @@ def test_order_changes_no_verdict(frame):
     assert raw == measured and any(raw.values()) and not all(raw.values())
 
 
+def test_measures_outside_the_query_are_taken_inside_the_cascade(frame):
+    df = frame([(i, t, "z", 5) for i, t in enumerate(TEXTS + TEXTS)], "doc_id long, text string, n_lines string, n_words int")
+    done = apply_rules(df, keep_measures=("n_words", "word_chars"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert done.columns == [*df.columns, "word_chars", "failed_rule", "kept"] and " AS n_capitals" not in plan
+    rows = done.collect()
+    assert {r.n_lines for r in rows} == {"z"} and all(r.n_words == _plain(r.text)[0] for r in rows)
+    plain = {r.text: r.kept for r in apply_rules(df).collect()}
+    assert len(rows) == 2 * len(TEXTS) and all(r.kept == plain[r.text] for r in rows)
+
+
+def test_sample_holds_each_text_once(frame):
+    df = frame([(t,) for t in TEXTS * 5], "text string")
+    assert sorted(map(str, (r[0] for r in sample_texts(df, "text", 400).collect()))) == sorted(map(str, TEXTS))
+    some = [r[0] for r in sample_texts(df, "text", 4).collect()]
+    assert len(set(some)) == 4 and some.count(some[0]) == 1
+
+
 def test_empty_table(frame):
     assert apply_rules(frame([], "doc_id long, text string"), rules=BASE_RULES).count() == 0
 
