@@ -88,10 +88,11 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP, spare: int = 16)
     Pieces are dealt by hash to tasks of about ``group`` pieces, which pack them independently. The
     bins that stay open with more than ``spare`` room are dissolved and their pieces packed once more
     in far fewer tasks, so that open bins of many tasks fill each other. A task's work is bounded by
-    ``group`` at any input size; equal rows are placed separately; an empty frame stays empty; columns
-    named like an added one are replaced. Lengths outside the range raise an error.
+    ``group`` at any input size, also where very many rows are equal, as their places in the stored pieces deal
+    them out; equal rows are placed separately; an empty frame stays empty; columns named like an added one are
+    replaced. Lengths outside the range raise an error.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = stored(pieces.drop("sequence_id", "offset"))
     deal, room, order = fresh(pieces.columns, "deal", "room", "order")
     long = [StructField(n, LongType()) for n in ("sequence_id", "offset", room)]
 
@@ -100,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP, spare: int = 16)
         groups = max(1, -(-n // group))
         keyed = df.withColumn(
             order, F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.lit(stage))
-        ).withColumn(deal, F.pmod(F.col(order), F.lit(groups)).cast("int"))
+        ).withColumn(deal, F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
         at, seq = keyed.columns.index("length"), keyed.columns.index(order)
         keep = [f for f in keyed.schema.fields if f.name not in (order, deal)]
 

@@ -66,6 +66,15 @@ def test_few_sequences_over_many_tasks(spark):
     assert used <= 1.02 * sum(lengths) / 2048 + 1
 
 
+def test_equal_rows_are_dealt_to_all_tasks(spark):
+    rows = pack(spark.range(3000).selectExpr("7 AS doc_id", "1024L AS length"), 2048, group=500).collect()
+    assert check(rows, [1024] * 3000, 2048) <= 1503
+    tasks = {}
+    for r in rows:
+        tasks[r.sequence_id >> 32] = tasks.get(r.sequence_id >> 32, 0) + 1
+    assert len(tasks) >= 6 and max(tasks.values()) < 700
+
+
 def test_edge_rows(frame):
     rows = [(1, None, 0), (2, "", 0), (None, "a b", 0), (3, "word " * 5000, 0), (3, "word " * 5000, 0)]
     pieces = tokenized_pieces(frame(rows, "doc_id long, text string, piece int"), PATH, 2048)
