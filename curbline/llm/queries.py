@@ -111,16 +111,20 @@ def target_totals(domains: list, tokens: int, shares: dict = TARGET_SHARES):
 
 @query("op2_mixing")
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Rate of every document so that expected tokens per label class have the target shares."""
+    """Rate of every document so that expected tokens per label class have the target shares; each row
+    also tells the totals wanted and reached, by domain."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     domains, weights, bias = mixing.fit_domains(docs, domain_labels(spark, folder))
     scored = stored(mixing.add_posteriors(docs, weights, bias).drop("text"))
     tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
-    steps, _ = mixing.fit_rates(scored, target_totals(domains, tokens))
+    targets = target_totals(domains, tokens)
+    steps, reached = mixing.fit_rates(scored, targets)
     rated = mixing.add_rates(scored, steps, len(domains))
     return rated.select(
         "doc_id", "n_tokens", "posterior", "rate",
         mixing.whole_copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        F.array(*[F.lit(float(v)) for v in targets]).alias("target_tokens"),
+        F.array(*[F.lit(float(v)) for v in reached]).alias("reached_tokens"),
     )
 
 
@@ -132,7 +136,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of up to 2048 tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pieces = packing.tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, with_ids=False)
-    return packing.pack(stored(pieces), CAPACITY).select(
+    return packing.pack(pieces, CAPACITY).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 

@@ -1,6 +1,7 @@
 """Quality classifier and domain mixture."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from curbline.llm import mixing, quality
@@ -91,6 +92,7 @@ def test_mixture_meets_its_targets(spark):
     domains = sorted(r.domain for r in domain_labels(spark, FOLDER).select("domain").distinct().collect())
     totals, targets = (rate * n) @ p, target_totals(domains, int(n.sum()))
     assert np.abs(totals - targets).max() < 0.02 * n.sum()
+    assert all(np.allclose(r.target_tokens, targets) and np.allclose(r.reached_tokens, totals) for r in rows)
     assert np.allclose(p.sum(axis=1), 1) and all(abs(r.copies - r.rate) <= 1 for r in rows)
     words = {r.doc_id: len(r.text.split()) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in rows} == words
@@ -108,6 +110,13 @@ def test_mixing_edge_rows(frame):
     assert mixing.add_rates(none, mixing.fit_rates(none, np.array([0.0]))[0], 1).count() == 0
 
 
+def test_targets_out_of_reach_are_told(frame):
+    df = frame([(10, [0.5, 0.5])] * 4, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="miss the targets"):
+        _, totals = mixing.fit_rates(df, np.array([40.0, 0.0]))
+    assert np.isclose(totals[0], totals[1])
+
+
 def test_copies_are_right_on_average(spark):
     df = spark.range(20_000).select("id", mixing.whole_copies(F.lit(1.3), F.col("id")).alias("n"))
     assert abs(df.agg(F.avg("n")).first()[0] - 1.3) < 0.02
