@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curbline.functions import text, times
 from curbline.operators import coverage, keyed, spatial
+from curbline.session import cut_lineage
 
 NEAR_M = 500.0  # fixed value: stations counted as close
 WALK_M = 800.0  # fixed value: walking distance
@@ -136,15 +137,17 @@ def station_features(
     scheduled: DataFrame,
     zone: str | None = times.LOCAL_ZONE,
 ) -> DataFrame:
-    """One row per located transit station: identity, 15 features and a split tag."""
-    stops = coverage.unique_stations(
-        transit.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    )
-    stations = coverage.latest_info(info)
+    """One row per located transit station: identity, 15 features and a split tag.
+
+    Stations of both kinds are reduced once and stored, as all blocks of features read them.
+    """
+    located = transit.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    stops = cut_lineage(coverage.unique_stations(located))
+    stations = cut_lineage(coverage.latest_info(info))
     blocks = [
-        nearest_and_close(transit, stations),
-        rush_availability(transit, stations, status, WALK_M, zone),
-        nearby_trips(transit, trips, WALK_M),
+        nearest_and_close(stops, stations),
+        rush_availability(stops, stations, status, WALK_M, zone),
+        nearby_trips(stops, trips, WALK_M),
     ]
     per_site = reduce(lambda left, block: left.join(block, ["lat", "lng"], "left"), blocks, stops)
     joined = per_site.join(ridership(scheduled), "station_id", "left")

@@ -107,6 +107,7 @@ def new_rows(
     fresh = keyed.earliest_per_key(batch, [key], order)
     if day is None:
         return fresh.join(base.select(key), key, "left_anti").select(*batch.columns)
-    days = fresh.select(F.col(day).alias("_day")).distinct()
+    # of the batch itself, so the first copies are picked once
+    days = batch.select(F.col(day).alias("_day")).distinct()
     seen = base.select(day, key).join(days, F.col(day).eqNullSafe(F.col("_day")), "left_semi").select(key)
     return fresh.join(seen, key, "left_anti").select(*batch.columns)
