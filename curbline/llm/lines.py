@@ -10,8 +10,8 @@ Any run of lines is covered by two runs of 2^k lines, so two ranks name the inte
 
 Passages that repeat inside longer lines are runs of words. There the ranked units are finer than lines: a unit ends at
 each word that a hash chooses, wherever it stands, and the suffix ranks run over them. What they leave, passages with
-fewer words in whole units and the parts of units at the ends, are windows of exactly ``min_words`` words around a
-repeated mark; every window holds one, so no repeated window is missed.
+fewer words in whole units and the parts of units at the ends, are windows of exactly ``min_words`` words. A window is
+only looked at if the ranks let it be repeated: one with a unit, or with two or four in a row, that occur once cannot be.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from curbline.llm.common import Tables, fresh, let, numbered, release, stored
 from curbline.llm.rules import WHITE, words
 
-MARK_EVERY = 8  # a mark follows one of so many words, by hash
+UNIT_WORDS = 8  # a unit ends at one of so many words, by hash
 LINE_BITS = 27  # lines of one text: a position is its document's number and then the line
 
 
@@ -80,23 +80,24 @@ def suffix_ranks(level: DataFrame, longest: int, keep=stored) -> DataFrame:
     return out.select("k", "p", "f")
 
 
-def shortest_runs(repeated: DataFrame, min_words: int, keep=stored) -> DataFrame:
+def shortest_runs(repeated: DataFrame, min_words: int, keep=stored, around_windows: bool = False) -> DataFrame:
     """(a, b): runs [a, b) of lines of ``repeated`` (p, words) with ``min_words`` words or more that are
     shortest from their first line on, or up to their last.
 
     Every repeated run with that many words is a union of such runs. Both ends come from one sorted pass
-    over the cumulated words of each unbroken stretch of lines.
+    over the cumulated words of each unbroken stretch of lines. ``around_windows`` gives the shortest runs around
+    each window of ``min_words`` words instead, wherever in a line it starts.
     """
     doc = Window.partitionBy(F.shiftright("p", LINE_BITS)).orderBy("p")
     stretch = repeated.withColumn("s", F.col("p") - F.row_number().over(doc))
     one = Window.partitionBy(F.shiftright("p", LINE_BITS), "s").orderBy("p")
     sums = stretch.withColumn("after", F.sum("words").over(one)).withColumn("n", F.lead("p").over(one))
     sums = sums.select(F.shiftright("p", LINE_BITS).alias("g"), "s", "p", (F.col("after") - F.col("words")).alias("e"), "after", "n")
-    ends = sums.where("n IS NULL").select("g", "s", (F.col("p") + 1).alias("p"), F.col("after").alias("e"))
-    edges = keep(sums.select("g", "s", "p", "e").unionAll(ends))
+    ends = sums.where("n IS NULL").select("g", "s", (F.col("p") + 1).alias("p"), F.col("after").alias("e"), F.lit(True).alias("end"))
+    edges = keep(sums.select("g", "s", "p", "e", F.lit(False).alias("end")).unionAll(ends))
 
-    def nearest(shift: int, order: list[Column], pick) -> DataFrame:
-        asked = edges.select("g", "s", (F.col("e") + shift).alias("e"), F.lit(None).cast("long").alias("p"), F.col("p").alias("q"))
+    def nearest(shift: int, order: list[Column], pick, at: DataFrame = edges) -> DataFrame:
+        asked = at.select("g", "s", (F.col("e") + shift).alias("e"), F.lit(None).cast("long").alias("p"), F.col("p").alias("q"))
         given = edges.select("g", "s", "e", "p", F.lit(None).cast("long").alias("q"))
         seen = Window.partitionBy("g", "s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = given.unionAll(asked).withColumn("x", pick("p").over(seen))
@@ -104,20 +105,26 @@ def shortest_runs(repeated: DataFrame, min_words: int, keep=stored) -> DataFrame
 
     # NULL q, the edges themselves, sort before the questions at the same sum
     right = nearest(min_words, [F.col("e").desc(), F.col("q").asc_nulls_first()], F.min)
-    left = nearest(-min_words, [F.col("e").asc(), F.col("q").asc_nulls_first()], F.max)
     runs = right.select(F.col("q").alias("a"), F.col("x").alias("b"))
+    if around_windows:  # a window that ends with the first word of a line takes that line in
+        last = nearest(1 - min_words, [F.col("e").asc(), F.col("q").asc_nulls_first()], F.max, edges.where("NOT end"))
+        return runs.unionAll(last.select(F.col("x").alias("a"), (F.col("q") + 1).alias("b"))).distinct()
+    left = nearest(-min_words, [F.col("e").asc(), F.col("q").asc_nulls_first()], F.max)
     return runs.unionAll(left.select(F.col("x").alias("a"), F.col("q").alias("b"))).distinct()
 
 
-def later_copies(lines: DataFrame, min_words: int, key: tuple[str, ...] = ("h1", "h2"), keep=stored) -> DataFrame:
-    """(a, b): runs of lines [a, b) with ``min_words`` words or more that occur earlier as well.
+def later_copies(
+    lines: DataFrame, min_words: int, key: tuple[str, ...] = ("h1", "h2"), keep=stored, around_windows: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(runs, ranks): runs [a, b) of lines with ``min_words`` words or more that occur earlier as well, and
+    the suffix ranks (k, p, f), of up to four lines at least.
 
-    ``lines`` (p, words and the hashes of ``key``); ``keep`` stores a step.
+    ``lines`` (p, words and the hashes of ``key``); ``keep`` stores a step; ``around_windows`` as in ``shortest_runs``.
     """
     level = keep(_ranked(lines, *key))
-    runs = keep(shortest_runs(lines.select("p", "words").join(level.select("p"), "p"), min_words, keep))
+    runs = keep(shortest_runs(lines.select("p", "words").join(level.select("p"), "p"), min_words, keep, around_windows))
     longest = runs.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
-    ranks = suffix_ranks(level, longest, keep)
+    ranks = suffix_ranks(level, max(longest, 4), keep)
     m = F.col("b") - F.col("a")
     asked = runs.withColumn("k", F.floor(F.log2(m.cast("double")) + 1e-9).cast("int"))
     head = ranks.select("k", F.col("p").alias("a"), F.col("f").alias("f1"))
@@ -130,7 +137,7 @@ def later_copies(lines: DataFrame, min_words: int, key: tuple[str, ...] = ("h1",
     )
     named = keep(named)
     first = named.groupBy("m", "f1", "f2").agg(F.min("a").alias("first"))
-    return named.join(first, ["m", "f1", "f2"]).where("a > first").select("a", "b")
+    return named.join(first, ["m", "f1", "f2"]).where("a > first").select("a", "b"), ranks
 
 
 def remove_repeated_runs(
@@ -147,7 +154,7 @@ def remove_repeated_runs(
     """
     given = docs.drop("n_lines", "n_removed")
     order, lines = line_positions(given, doc_id, text)
-    runs = later_copies(lines, min_words)
+    runs, _ = later_copies(lines, min_words)
     # overlapping runs of a document become one, so each removed line is listed once
     doc = F.shiftright("a", LINE_BITS)
     before = Window.partitionBy(doc).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,14 +185,13 @@ def remove_repeated_runs(
     )
 
 
-def text_units(hashes: Column, min_words: int, size: int) -> Column:
-    """(i, h, m) per unit of a text: its first word, the hash of its words and that of the ``size`` words from i on.
+def text_units(hashes: Column, min_words: int) -> Column:
+    """(i, h) per unit of a text: its first word and the hash of its words.
 
     A unit starts after each word chosen by hash, so equal passages have equal units but for the parts at their
-    ends. Where no word is chosen for ``min_words - size`` words, every word starts one. So any window of
-    ``min_words`` words holds the mark m of some unit, at the same place wherever the window occurs.
+    ends. Where no word is chosen for five sixths of ``min_words`` words, every word is a unit.
     """
-    every = MARK_EVERY if min_words >= 2 * MARK_EVERY else 1
+    every, widest = (UNIT_WORDS if min_words >= 2 * UNIT_WORDS else 1), min_words - max(1, min_words // 6)
 
     def placed(w: Column) -> Column:
         n = F.size(w)
@@ -193,16 +199,15 @@ def text_units(hashes: Column, min_words: int, size: int) -> Column:
 
         def spread(b: Column) -> Column:
             def after(c: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(b, k + 1), n) - 1
-                return F.when(end - c >= min_words - size, F.sequence(c + 1, F.greatest(c + 1, end))).otherwise(F.array(c + 1))
+                end = F.coalesce(F.get(b, k + 1), n - 1)
+                return F.when(end - c > widest, F.sequence(c + 1, F.greatest(c + 1, end))).otherwise(F.array(c + 1))
 
             return F.filter(F.flatten(F.transform(b, after)), lambda i: i < n)
 
         def unit(starts: Column) -> Column:
             def of(i: Column, k: Column) -> Column:
                 own = F.slice(w, i + 1, F.coalesce(F.get(starts, k + 1), n) - i)
-                mark = F.when(i <= n - size, F.xxhash64(F.slice(w, i + 1, size)))
-                return F.struct(i.alias("i"), F.xxhash64(own).alias("h"), mark.alias("m"))
+                return F.struct(i.alias("i"), F.xxhash64(own).alias("h"))
 
             return F.transform(starts, of)
 
@@ -225,60 +230,86 @@ def _disjoint(ranges: DataFrame) -> DataFrame:
     return whole.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
-def _covered_by_runs(units: DataFrame, min_words: int, keep) -> DataFrame:
-    """(g, a, b): ranges of words in runs of whole units that occur earlier and hold ``min_words`` words or more.
+def _unit_place(k: Column) -> Column:
+    limit = F.when(k >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
+    return F.coalesce(limit, F.shiftleft("g", LINE_BITS) + k)
+
+
+def _covered_by_runs(units: DataFrame, min_words: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Starts [a, b) of windows of ``min_words`` words (g, a, b) that lie in runs of whole units which occur earlier;
+    and the suffix ranks of the units.
 
     Units are named by one 64-bit hash: a false run would need several of them to agree side by side by chance.
     """
     each = units.select("g", "n", "i", F.posexplode("h").alias("k", "h"))
     k = F.col("k")
-    limit = F.when(k >= 1 << (LINE_BITS - 1), F.raise_error(F.lit("a text has too many words")).cast("long"))
-    place = F.coalesce(limit, F.shiftleft("g", LINE_BITS) + k)
-    rows = each.select(place.alias("p"), "h", (F.coalesce(F.get("i", k + 1), F.col("n")) - F.get("i", k)).alias("words"))
-    runs = later_copies(rows, min_words, ("h",), keep)
+    rows = each.select(_unit_place(k).alias("p"), "h", (F.coalesce(F.get("i", k + 1), F.col("n")) - F.get("i", k)).alias("words"))
+    runs, ranks = later_copies(rows, min_words, ("h",), keep, around_windows=True)
     g, low = F.shiftright("a", LINE_BITS), F.lit((1 << LINE_BITS) - 1)
-    spans = runs.select(g.alias("g"), F.col("a").bitwiseAND(low).cast("int").alias("a"), (F.col("b") - F.shiftleft(g, LINE_BITS)).cast("int").alias("b"))
-    placed = units.select("g", "n", "i").join(_disjoint(spans), "g").select("g", "n", "i", F.inline("cut"))
-    return placed.select("g", F.get("i", "a").alias("a"), F.coalesce(F.get("i", "b"), F.col("n")).alias("b"))
+    span = F.struct(F.col("a").bitwiseAND(low).cast("int").alias("a"), (F.col("b") - F.shiftleft(g, LINE_BITS)).cast("int").alias("b"))
+    spans = runs.groupBy(g.alias("g")).agg(F.collect_list(span).alias("spans"))
+    placed = units.select("g", "n", "i").join(spans, "g").select("g", "n", "i", F.inline("spans"))
+    first, end = F.get("i", "a"), F.coalesce(F.get("i", "b"), F.col("n"))
+    starts = _disjoint(placed.select("g", first.alias("a"), (end - (min_words - 1)).alias("b")))
+    return starts.select("g", F.inline("cut")), ranks
 
 
-def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, min_words: int, size: int, keep) -> DataFrame:
-    """(g, a, b): windows of ``min_words`` words that occur earlier and do not lie in the covered ranges.
+def _single_starts(units: DataFrame, ranks: DataFrame, min_words: int) -> DataFrame:
+    """(g, a, b): starts [a, b) of windows that hold a run of one, two or four units which occurs nowhere else.
 
-    A mark whose windows are all covered is closed. Only marks that occur again and are open somewhere have windows;
-    of a covered window the earlier copy is a candidate wherever it is needed.
+    Such a run counts with the chosen word in front of it, as the words alone then tell where its units start and
+    end. So do units of two words and more that are neither the first nor the last of their text, and these alone
+    are asked for.
     """
-    done = covered.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("done"))
-    held = units.select("g", "n", "i", "m").join(done, "g", "left").withColumn("done", F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")))
-    first = lambda u: F.greatest(u["i"] - (min_words - size), F.lit(0))
-    last = lambda u: F.least(u["i"] + min_words, F.col("n"))
-    open_ = F.filter(
-        F.arrays_zip("i", "m"),
-        lambda u: u["m"].isNotNull() & ~F.exists("done", lambda r: (r["a"] <= first(u)) & (last(u) <= r["b"])),
-    )
-    marks = keep(held.select("g", open_.alias("open")).select("g", F.col("open.i").alias("i"), F.col("open.m").alias("m")))
-    each = marks.select("g", F.inline(F.arrays_zip("i", "m")))
-    again = each.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
-    near = each.join(again, "m").groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("near"))
 
-    def starts(at: Column, n: Column) -> Column:
-        """Windows that hold one of the marks, each once."""
+    def ends(i: Column) -> Column:
+        def of(v: Column, k: Column) -> Column:
+            def end(m: int) -> Column:
+                whole = k >= 1
+                for j in range(m):
+                    whole = whole & (F.get(i, k + j + 1) - F.get(i, k + j) >= 2)
+                return F.when(whole, F.get(i, k + m))
+
+            return F.struct(v.alias("i"), *[end(m).alias(f"e{m}") for m in (1, 2, 4)])
+
+        return F.transform(i, of)
+
+    runs = ["i", "e1", "e2", "e4"]
+    rows = units.select("g", F.posexplode(ends(F.col("i"))).alias("k", "u")).where("u.e1 IS NOT NULL")
+    rows = rows.select(_unit_place(F.col("k")).alias("p"), *[F.col(f"u.{c}").alias(c) for c in runs], F.lit(None).cast("int").alias("k"))
+    levels = ranks.where("k <= 2").select("p", *[F.lit(None).cast("int").alias(c) for c in runs], "k")
+    each = rows.unionAll(levels).groupBy("p").agg(*[F.max(c).alias(c) for c in [*runs, "k"]])
+    end = F.when(F.col("k").isNull(), F.col("e1")).when(F.col("k") < 1, F.col("e2")).when(F.col("k") < 2, F.col("e4"))
+    once = each.select(F.shiftright("p", LINE_BITS).alias("g"), end.alias("end"), F.col("i").alias("b")).where("end IS NOT NULL")
+    return once.select("g", F.greatest(F.col("end") - min_words, F.lit(0)).alias("a"), "b").where("a < b")
+
+
+def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, ranks: DataFrame, min_words: int, keep) -> DataFrame:
+    """(g, a, b): windows of ``min_words`` words that occur earlier and do not start in the covered ranges.
+
+    Covered windows need no look, not even as the earlier copy, as each occurs earlier itself: the first copy of
+    a window is never covered. Nor do those need one that the ranks show to occur once.
+    """
+    cuts = _disjoint(covered.unionAll(_single_starts(units, ranks, min_words)))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    held = units.select("g", "n").join(cuts, "g", "left").select("g", "n", F.coalesce("cut", none).alias("cut"))
 
-        def around(i: Column, k: Column) -> Column:
-            low = F.greatest(i - (min_words - size), F.lit(0), F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1)
-            high = F.least(i, n - min_words)
-            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    def between(r: Column, k: Column) -> Column:
+        return F.struct(r["b"].alias("a"), F.coalesce(F.get("cut", k)["a"], F.col("n") - (min_words - 1)).alias("b"))
 
-        return F.flatten(F.transform(at, around))
+    zero = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    free = F.filter(F.transform(F.concat(zero, "cut"), between), lambda r: r["a"] < r["b"])
+    free = held.select("g", free.alias("free")).where("size(free) > 0")
 
     def windows(w: Column) -> Column:
         def window(s: Column) -> Column:
             part = F.slice(w, s + 1, min_words)
             return F.struct(s.alias("s"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
 
-        return F.transform(starts(F.col("near"), F.size(w)), window)
+        starts = F.flatten(F.transform("free", lambda r: F.sequence(r["a"], r["b"] - 1)))
+        return F.transform(starts, window)
 
-    rows = texts.join(near, "g").select("g", F.inline(let(_word_hashes("text"), windows)))
+    rows = texts.join(free, "g").select("g", F.inline(let(_word_hashes("text"), windows)))
     rows = keep(rows.select((F.shiftleft("g", LINE_BITS) + F.col("s")).alias("p"), "h1", "h2"))
     later = _ranked(rows, "h1", "h2").where("p > f")
     s = F.col("p").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
@@ -293,7 +324,7 @@ def remove_repeated_passages(
     A run of ``min_words`` words or more that equals an earlier run (by id, then word; it may overlap it) is
     removed wherever it stands in its lines, with the white space after each of its words; all else stays byte
     for byte. White space between words is not compared. Suffix ranks over the units of all texts find runs of whole
-    units; windows around what they leave open find shorter ones and the ends. Texts that occur again as a whole
+    units; windows that these ranks leave open find shorter ones and the ends. Texts that occur again as a whole
     are only searched once.
 
     Rows with one id and one text are one document and end alike; of several texts with one id, and of NULL ids, the
@@ -301,7 +332,7 @@ def remove_repeated_passages(
     empty; other columns stay, and one named like the added one is replaced. ``docs`` is read several times, so
     give a stored frame.
     """
-    spark, size = docs.sparkSession, max(1, min_words // 6)
+    spark = docs.sparkSession
     given = docs.drop("n_words_removed")
     d, t = document_key(doc_id, text)
     keyed = given.where(F.col(text).isNotNull()).select(d.alias("d"), t.alias("t"), F.col(text).alias("text"))
@@ -312,17 +343,19 @@ def remove_repeated_passages(
     steps = Tables(spark)
     own = let(
         _word_hashes("text"),
-        lambda w: F.when(F.size(w) >= min_words, F.struct(F.size(w).alias("n"), text_units(w, min_words, size).alias("u"))),
+        lambda w: F.when(F.size(w) >= min_words, F.struct(F.size(w).alias("n"), text_units(w, min_words).alias("u"))),
     )
     split = keyed.select("d", "t", own.alias("own")).where("own IS NOT NULL").dropDuplicates(["d", "t"])
-    lists = [F.col(f"own.u.{c}").alias(c) for c in ("i", "h", "m")]
-    units = steps.keep(split.select("d", "t", F.col("own.n").alias("n"), *lists).join(chosen, ["d", "t"]).select("g", "n", "i", "h", "m"))
+    lists = [F.col(f"own.u.{c}").alias(c) for c in ("i", "h")]
+    units = steps.keep(split.select("d", "t", F.col("own.n").alias("n"), *lists).join(chosen, ["d", "t"]).select("g", "n", "i", "h"))
     release(spark)
-    covered = steps.keep(_covered_by_runs(units, min_words, steps.keep))
+    covered, ranks = _covered_by_runs(units, min_words, steps.keep)
+    covered = steps.keep(covered)
     release(spark)
     texts = keyed.dropDuplicates(["d", "t"]).join(chosen, ["d", "t"]).select("g", "text")
-    windows = steps.keep(_later_windows(texts, units, covered, min_words, size, steps.keep))
-    cuts = _disjoint(covered.unionAll(windows))
+    windows = steps.keep(_later_windows(texts, units, covered, ranks, min_words, steps.keep))
+    runs = covered.select("g", "a", (F.col("b") + (min_words - 1)).alias("b"))
+    cuts = _disjoint(runs.unionAll(windows))
     d_, t_, g_, cut, whole, rest, kept = fresh(given.columns, "d", "t", "g", "cut", "whole", "words", "kept")
     copies = order.join(first.withColumnRenamed("g", "first"), "t").withColumn("whole", F.col("g") > F.col("first"))
     found = stored(

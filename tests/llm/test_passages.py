@@ -50,6 +50,24 @@ def test_random_texts_equal_brute_force(frame):
         assert _run(frame, docs, least) == want, least
 
 
+def test_passages_about_as_long_as_the_least(frame):
+    """Passages inside passages, a word shorter or longer than the least, with stretches without chosen words."""
+    rng = random.Random(77)
+    pool = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(pool) for _ in range(rng.randint(20, 400))] for _ in range(6)]
+    docs = []
+    for i in range(150):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 4)):
+            source, at, n = rng.choice(base), rng.randint(0, 90), rng.choice([18, 19, 20, 21, 24, 30, 49, 50, 51, 70])
+            k = rng.randint(0, len(words))
+            words[k:k] = source[at : at + n]
+        docs.append((i, " ".join(words)))
+    for least in (50, 20):
+        want = brute(docs, least)
+        assert want != docs and _run(frame, docs, least) == want, least
+
+
 def test_long_stretches_without_chosen_words(frame):
     same = "one " * 60
     docs = [(1, same), (2, f"x {same}y"), (3, "z"), (4, "")]
