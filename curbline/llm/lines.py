@@ -284,13 +284,13 @@ def _single_starts(units: DataFrame, ranks: DataFrame, min_words: int) -> DataFr
     return once.select("g", F.greatest(F.col("end") - min_words, F.lit(0)).alias("a"), "b").where("a < b")
 
 
-def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, ranks: DataFrame, min_words: int, keep) -> DataFrame:
+def _later_windows(texts: DataFrame, units: DataFrame, covered: DataFrame, single: DataFrame, min_words: int, keep) -> DataFrame:
     """(g, a, b): windows of ``min_words`` words that occur earlier and do not start in the covered ranges.
 
     Covered windows need no look, not even as the earlier copy, as each occurs earlier itself: the first copy of
-    a window is never covered. Nor do those need one that the ranks show to occur once.
+    a window is never covered. Nor do those of ``single``, which the ranks show to occur once.
     """
-    cuts = _disjoint(covered.unionAll(_single_starts(units, ranks, min_words)))
+    cuts = _disjoint(covered.unionAll(single))
     none = F.array().cast("array<struct<a:int,b:int>>")
     held = units.select("g", "n").join(cuts, "g", "left").select("g", "n", F.coalesce("cut", none).alias("cut"))
 
@@ -349,11 +349,14 @@ def remove_repeated_passages(
     lists = [F.col(f"own.u.{c}").alias(c) for c in ("i", "h")]
     units = steps.keep(split.select("d", "t", F.col("own.n").alias("n"), *lists).join(chosen, ["d", "t"]).select("g", "n", "i", "h"))
     release(spark)
-    covered, ranks = _covered_by_runs(units, min_words, steps.keep)
+    ranking = Tables(spark)  # let go before the windows come
+    covered, ranks = _covered_by_runs(units, min_words, ranking.keep)
     covered = steps.keep(covered)
+    single = steps.keep(_single_starts(units, ranks, min_words))
+    ranking.clear()
     release(spark)
     texts = keyed.dropDuplicates(["d", "t"]).join(chosen, ["d", "t"]).select("g", "text")
-    windows = steps.keep(_later_windows(texts, units, covered, ranks, min_words, steps.keep))
+    windows = steps.keep(_later_windows(texts, units, covered, single, min_words, steps.keep))
     runs = covered.select("g", "a", (F.col("b") + (min_words - 1)).alias("b"))
     cuts = _disjoint(runs.unionAll(windows))
     d_, t_, g_, cut, whole, rest, kept = fresh(given.columns, "d", "t", "g", "cut", "whole", "words", "kept")
