@@ -153,8 +153,12 @@ def union_metrics(tables: dict[str, DataFrame], tag: str = "model_name") -> Data
 
 
 def select_best(metrics: DataFrame) -> DataFrame:
-    """The model or models with the least error."""
-    return keyed.keep_minimum(metrics, "rmse")
+    """The model or models with the least error.
+
+    The errors are stored first: the least of them and the rows it is compared with are two readings, and sums that
+    are added up anew may differ in their last places, which would leave no model.
+    """
+    return keyed.keep_minimum(cut_lineage(metrics), "rmse")
 
 
 def mean_predictor(rows: DataFrame, train: DataFrame, label: str, keys: list[str], output: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fitted models: shapes, ranges, and better than a constant; the sparse series fit equals the dense one."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,10 @@ def test_kmeans_separates_and_reports_inertia(frame):
     assert sizes == [8, 8, 8] and 0 < inertia < 24 * 10
     importance = dict(values(clusters.feature_importance(assigned), "feature", "importance"))
     assert importance["is_isolated"] == pytest.approx(1.0) and importance["bike_trip_volume"] == 0.0
+
+
+def test_best_model_survives_errors_that_vary(spark):
+    """Errors are read once: sums in another order would leave no model with the least one."""
+    vary = F.udf(lambda: int.from_bytes(os.urandom(6)) / 2.0**48, "double").asNondeterministic()
+    metrics = spark.range(4).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model_name")).withColumn("rmse", vary())
+    assert demand_models.select_best(metrics).count() == 1
