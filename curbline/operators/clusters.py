@@ -19,6 +19,7 @@ LABELS = [DESERT, SERVED, MODERATE]  # order in which a tied count is settled
 # Fixed values of the label rules.
 FAR_M, CLOSE_M = 800, 400
 FEW_BIKES, MANY_BIKES = 2, 5
+MEAN_PLACES = 6  # means that agree to this many places tie
 
 CLUSTER_FEATURES = [
     "distance_to_nearest_m", "bikes_within_near", "nearby_morning", "avg_bikes_morning",
@@ -98,9 +99,10 @@ def label_clusters(df: DataFrame, label: str = "cluster_label") -> DataFrame:
 def label_by_rank(df: DataFrame, label: str = "rank_label") -> DataFrame:
     """Label clusters by mean distance, farthest first; from the fourth on there is no label.
 
-    The ranking sees one row per cluster.
+    The ranking sees one row per cluster. Means that agree to ``MEAN_PLACES`` places tie and the smaller number comes
+    first, so the order in which distances are added up does not matter.
     """
-    order = Window.orderBy(F.desc("mean_distance_m"), F.asc("cluster"))
+    order = Window.orderBy(F.desc(F.round("mean_distance_m", MEAN_PLACES)), F.asc("cluster"))
     rank = F.row_number().over(order)
     labels = cluster_means(df).select(
         "cluster", F.when(rank == 1, DESERT).when(rank == 2, MODERATE).when(rank == 3, SERVED).alias(label)

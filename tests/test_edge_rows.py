@@ -251,3 +251,13 @@ def test_typical_use_defaults(frame):
 def test_clean_place(frame):
     row = frame([("  park st., boston  station",)], "p string")
     assert one(row, text.clean_place(F.col("p"))) == "Park Street Boston"
+
+
+def test_equal_means_rank_by_cluster_number(frame):
+    """Sums in another order differ in their last places; such means tie."""
+    rows = frame(
+        [(0, 0.19999999999999998, 1.0, 1.0), (1, 0.20000000000000004, 1.0, 1.0), (2, 0.1, 1.0, 1.0)],
+        "cluster int, distance_to_nearest_m double, avg_bikes_morning double, avg_bikes_evening double",
+    )
+    got = dict(values(clusters.label_by_rank(rows), "cluster", "rank_label"))
+    assert got == {0: clusters.DESERT, 1: clusters.MODERATE, 2: clusters.SERVED}
