@@ -119,6 +119,21 @@ def with_chunk_text(embeddings: DataFrame, chunks: DataFrame, keys: list[str] |
     return embeddings.join(chunks, keys or ["source", "chunk_id"])
 
 
+def _fixed(score: Column, places: int = 3) -> Column:
+    """A score as text, rounded by its exact value as ``f"{score:.3f}"`` does, halves to even.
+
+    ``format_string`` rounds the shortest decimal text instead: 0.0135, a little less in binary, would become 0.014.
+    """
+    scale = 10.0**places
+    size = F.abs(score)
+    high = size.cast("float").cast("double")  # 24 bits, so this part and the rest times the scale are exact
+    steps = F.floor(size * scale)
+    over = (high * scale - (steps + 0.5)) + (size - high) * scale
+    up = F.when((over > 0) | ((over == 0) & (steps % 2 == 1)), 1).otherwise(0)
+    rounded = F.when(size < 2.0**31, (steps + up) / scale * F.signum(score)).otherwise(score)
+    return F.format_string(f"%.{places}f", rounded)
+
+
 def context_block(hits: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     """The retrieved chunks of each query as one text, best first.
 
@@ -127,7 +142,7 @@ def context_block(hits: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     """
     entry = F.concat(
         F.lit("[source="), F.col("source"), F.lit(", chunk_id="), F.col("chunk_id").cast("string"),
-        F.lit(", score="), F.format_string("%.3f", F.col("score")), F.lit("]\n"), F.col("chunk_text"),
+        F.lit(", score="), _fixed(F.col("score")), F.lit("]\n"), F.col("chunk_text"),
     )
     return hits.groupBy("query_id").agg(
         F.concat_ws(

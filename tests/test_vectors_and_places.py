@@ -84,3 +84,13 @@ def test_places_of_any_characters_equal_contains(frame):
     for row in out:
         hits = [(len(n), str(i)) for i, n in enumerate(names) if row.cleaned and row.cleaned.lower() in n.lower()]
         assert row.station_id == (min(hits)[1] if hits else None), row
+
+
+def test_context_scores_are_rounded_by_their_exact_value(frame):
+    scores = [0.0135, 0.4175, 0.0005, 0.2665, 0.0625, 0.1875, 0.999999, -0.0004, -0.4175, 0.0, 1.0, 0.123456]
+    hits = frame(
+        [(i, 1, "s", 0, score, "t") for i, score in enumerate(scores)],
+        "query_id int, rank int, source string, chunk_id int, score double, chunk_text string",
+    )
+    got = [text for _, text in values(vectors.context_block(hits), "query_id", "context")]
+    assert got == [f"[source=s, chunk_id=0, score={score:.3f}]\nt" for score in scores]
