@@ -80,7 +80,9 @@ def landed_arrivals(t):
     folder = scratch_dir(t.spark, "arrivals")
     for part in range(6):
         again = rows.where((F.col("part") == part - 3) & (F.col("nth") % 4 == 0))
-        rows.where(F.col("part") == part).unionByName(again).drop("nth", "part").write.mode("append").parquet(folder)
+        whole = rows.where(F.col("part") == part).unionByName(again).drop("nth", "part")
+        # few files by size, as a batch is a number of files: the table's own files would give each a few rows
+        whole.hint("rebalance").write.mode("append").parquet(folder)
     return t.spark.readStream.schema(t.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 

@@ -13,6 +13,7 @@ from curbline.sources import landed, schemas
 from curbline.streaming.upkeep import KEY_DAY, current
 
 NO_DAY = "1970-01-01"
+FILE_ROWS = 1_000_000  # rows of a day and batch that share a file
 
 
 def stream_lines(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -58,6 +59,16 @@ def distinct_within(stream: DataFrame, key: str, delay: str) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark([key]).drop(arrival)
 
 
+def _by_day(rows: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
+    """Rows dealt so that a day comes to one task, or to one per ``FILE_ROWS`` of its rows, which go by their key.
+
+    Only days with more rows than that are named in the plan. A streaming batch runs without adaptive execution, so a
+    rebalance hint does nothing in it, and every task would write a file for each day.
+    """
+    parts = [F.when(F.col(KEY_DAY) == day, -(-n // FILE_ROWS)) for day, n in sorted(counts.items()) if n > FILE_ROWS]
+    return rows.repartition(KEY_DAY, F.pmod(F.xxhash64(key), F.coalesce(*parts, F.lit(1))))
+
+
 def merge_batches(
     path: str, source: str, key: str, order: list[str], event_time: str, require: list[str]
 ) -> Callable[[DataFrame, int], None]:
@@ -75,16 +86,17 @@ def merge_batches(
         complete = batch.dropna(subset=require) if require else batch
         fresh = keyed.earliest_per_key(_with_key_day(complete, event_time), [key], order).persist()
         try:
-            days = [row[KEY_DAY] for row in fresh.select(KEY_DAY).distinct().toLocalIterator()]
-            base = read_base(batch.sparkSession, path, days) if days else None
+            # days, not rows; an iterator would start a job for each shuffle partition
+            counts = {row[KEY_DAY]: row["count"] for row in fresh.groupBy(KEY_DAY).count().collect()}
+            base = read_base(batch.sparkSession, path, list(counts)) if counts else None
             if base is not None:
                 own = (F.col("source").cast("string") == source) & (F.col("batch") == batch_id)
                 unseen = fresh.join(base.filter(~own).select(key), key, "left_anti")
             else:
                 unseen = fresh
             (
-                unseen.withColumns({"source": F.lit(source), "batch": F.lit(batch_id)})
-                .hint("rebalance", KEY_DAY)
+                _by_day(unseen, key, counts)
+                .withColumns({"source": F.lit(source), "batch": F.lit(batch_id)})
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(KEY_DAY, "source", "batch")

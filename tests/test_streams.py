@@ -167,3 +167,21 @@ def test_no_table_yet(spark):
     path = scratch_dir(spark, "none")
     assert ingest.read_base(spark, path) is None and upkeep.compact_days(spark, path, "2024-01-01", "x") == []
     assert upkeep.vacuum(spark, path) == 0
+
+
+def test_a_batch_writes_few_files_per_day(spark, frame, monkeypatch):
+    """Each day of a batch is one file, or one per ``FILE_ROWS`` rows, however many tasks a streaming batch has."""
+    folder, out = scratch_dir(spark, "arrivals"), scratch_dir(spark, "base")
+    rows = [(f"k{i}", T(2024, 1, 1 + i % 3), "s") for i in range(600)]
+    batch(frame, *rows).repartition(4).write.parquet(folder)
+    for name, limit in (("wide", 1_000_000), ("narrow", 150)):
+        monkeypatch.setattr(ingest, "FILE_ROWS", limit, raising=False)
+        stream = ingest.distinct_within(spark.readStream.schema(SCHEMA).parquet(folder), "event_id", "1 hour")
+        step = ingest.merge_batches(f"{out}/{name}", "run", "event_id", ["observed_at_utc"], "feed", ["stop_id"])
+        running = stream.writeStream.foreachBatch(step).option("checkpointLocation", scratch_dir(spark, "offsets"))
+        running.trigger(availableNow=True).start().awaitTermination()
+        table = ingest.read_base(spark, f"{out}/{name}")
+        files = table.withColumn("file", F.input_file_name()).groupBy("key_day").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"))
+        assert [n for _, n in values(files, "key_day", "n")] == [200, 200, 200]
+        most = 1 if name == "wide" else 2
+        assert all(f <= most for _, f in values(files, "key_day", "files"))
