@@ -161,11 +161,12 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_object(objects: DataFrame) -> DataFrame:
-    """The newest object: greatest run time in the name, or modification time without one."""
+    """The newest object: greatest run time in the name, or modification time without one; of equal names the one
+    that was modified last."""
     run = F.nullif(F.regexp_extract("path", RUN_PATTERN, 1), F.lit(""))
     order = F.coalesce(run, F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     newest = objects.withColumn("_order", order)
-    return newest.agg(F.max_by(F.struct(*objects.columns), F.struct("_order", "path")).alias("o")).select(
+    return newest.agg(F.max_by(F.struct(*objects.columns), F.struct("_order", "path", "modified_at")).alias("o")).select(
         "o.*"
     )
 

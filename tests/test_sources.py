@@ -180,3 +180,11 @@ def test_runs_count_once_complete(spark, tmp_path):
     assert values(tables.read_runs(spark, path).groupBy("run_id").count(), "run_id", "count") == [("7", 2), ("r1", 3)]
     assert tables.append_run(spark.range(4), path, "r9")
     assert values(tables.read_runs(spark, path).where("run_id = 'r9'"), "id") == [(0,), (1,), (2,), (3,)]
+
+
+def test_latest_of_equal_names_is_the_one_modified_last(spark):
+    times = [f"2024-01-30 23:59:25.{n}" for n in (100, 900, 500)]
+    for order in (times, times[::-1]):
+        rows = spark.createDataFrame([("/dt=2024-01-30/run_20240130T235925Z.json", ts) for ts in order], "path string, ts string")
+        newest = landed.latest_object(rows.select("path", rows.ts.cast("timestamp_ntz").alias("modified_at")).coalesce(1)).first()
+        assert newest.modified_at.microsecond == 900_000
