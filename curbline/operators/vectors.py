@@ -13,6 +13,7 @@ from curbline.operators import keyed
 EPSILON = 1e-9  # fixed value: added to a norm before dividing
 SCORE_PLACES = 6  # scores that agree to this many places tie, and the smaller id wins
 BLOCK_ROWS = 4096  # rows of one side of a block product
+PRODUCT_CELLS = 1 << 19  # scores a task holds at once
 
 
 def norm(vector: Column) -> Column:
@@ -48,8 +49,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best scores, ties by id."""
-    return np.lexsort((ids, -scores))[:k]
+    """Positions of the ``k`` best scores, ties by id; a copy, as a slice would keep the whole order in memory."""
+    return np.lexsort((ids, -scores))[:k].copy()
 
 
 def _score_group(id_name: str, k: int):
@@ -57,13 +58,16 @@ def _score_group(id_name: str, k: int):
         names, ids = queries.column("query_id"), vectors.column(id_name)
         picked, query, scores = [], [], []
         if len(names) and len(ids):
-            products = _unit(_matrix(queries.column("embedding"))) @ _unit(_matrix(vectors.column("embedding"))).T
-            products, order = np.round(products, SCORE_PLACES), ids.to_numpy()
-            for i, row in enumerate(products):
-                pick = _best(row, order, k)
-                picked.append(pick)
-                query.append(np.full(len(pick), i))
-                scores.append(row[pick])
+            asked, stored = _unit(_matrix(queries.column("embedding"))), _unit(_matrix(vectors.column("embedding")))
+            order, step = ids.to_numpy(), max(1, PRODUCT_CELLS // len(ids))
+            for first in range(0, len(asked), step):
+                products = asked[first : first + step] @ stored.T
+                np.round(products, SCORE_PLACES, out=products)
+                for i, row in enumerate(products, first):
+                    pick = _best(row, order, k)
+                    picked.append(pick)
+                    query.append(np.full(len(pick), i))
+                    scores.append(row[pick])
         whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table(
             {
@@ -82,7 +86,8 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_name: st
     Exact, as a block matrix product: every group holds one block of queries and
     one of vectors and passes on ``k`` rows per query. Block numbers come from a
     hash of the ids, so blocks stay near ``BLOCK_ROWS`` rows. The work is the
-    product of both sides; a vector is sent once per block of queries.
+    product of both sides; a vector is sent once per block of queries. A task
+    multiplies a few queries at a time, so it holds ``PRODUCT_CELLS`` scores.
     ``queries`` has ``query_id, embedding``; NULL vectors match nothing.
     """
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())

@@ -1,6 +1,9 @@
 """Retrieval against numpy, and place matching against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,22 @@ def test_top_k_with_any_block_size(spark, frame, monkeypatch, block):
         assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == brute(queries, stored, k)
 
 
+def test_a_block_is_scored_in_bounded_pieces(monkeypatch):
+    """A task never holds the scores of a whole block of queries; the result does not depend on the pieces."""
+    rng = np.random.default_rng(5)
+    tables = [
+        pa.table({n: pa.array(range(rows)), "embedding": pa.array(list(rng.normal(size=(rows, 8))), pa.list_(pa.float64()))})
+        for n, rows in (("query_id", 1000), ("vec_id", 4096))
+    ]
+    tracemalloc.start()
+    got = vectors._score_group("vec_id", 5)(*tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all scores of this block are 33 MB
+    monkeypatch.setattr(vectors, "PRODUCT_CELLS", 1 << 30)
+    assert vectors._score_group("vec_id", 5)(*tables).equals(got)
+
+
 def test_no_queries(frame):
     q = frame([], "query_id string, embedding array<double>")
     v = frame([(1, [1.0])], "vec_id long, embedding array<double>")
