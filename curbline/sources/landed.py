@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.functions import text, times
+from curbline.session import cut_lineage, side_by_side
 from curbline.sources import schemas
 
 RUN_PATTERN = r"run_(\d{8}T\d{6}Z)\.json$"
@@ -198,7 +199,7 @@ def read_newest_run(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _schedule_lines(spark: SparkSession, root: str, file: str) -> DataFrame | None:
-    """(archive, path, line) of one kind of file in all archives; a file may also be a folder of parts."""
+    """(path, line) of one kind of file in all archives; a file may also be a folder of parts."""
     try:
         lines = spark.read.text(f"{root}/*/{file}.txt")
     except AnalysisException as error:
@@ -206,8 +207,7 @@ def _schedule_lines(spark: SparkSession, root: str, file: str) -> DataFrame | No
             raise
         return None
     path = F.col("_metadata.file_path")
-    archive = F.regexp_extract(path, r"([^/]+)/[^/]+\.txt(/part-[^/]*)?$", 1)
-    return lines.select(archive.alias("archive"), path.alias("path"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+    return lines.select(path.alias("path"), F.ltrim(F.rtrim("value", F.lit("\r")), F.lit("\ufeff")).alias("line"))
 
 
 def read_schedules(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -225,11 +225,16 @@ def read_schedules(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         return F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
 
     def headers(file: str) -> DataFrame:
-        named = lines[file].withColumn("header", fields(F.col("line")))
-        every = [F.array_contains("header", name) for name in schemas.SCHEDULE_FILES[file]]
-        return named.where(reduce(lambda a, b: a & b, every)).select("archive", "path", "line", "header")
-
-    found = {file: headers(file) for file in lines}
+        names = schemas.SCHEDULE_FILES[file]
+        # hardly a line holds all names as text, so only headers are split
+        likely = lines[file].where(reduce(lambda a, b: a & b, [F.contains("line", F.lit(name)) for name in names]))
+        every = [F.array_contains(fields(F.col("line")), name) for name in names]
+        named = likely.where(reduce(lambda a, b: a & b, every))
+        archive = F.regexp_extract("path", r"([^/]+)/[^/]+\.txt(/part-[^/]*)?$", 1)
+        return named.select(archive.alias("archive"), "path", "line", fields(F.col("line")).alias("header"))
+
+    # a row per file, stored: they are read three times, and their true size lets the planner broadcast them
+    found = side_by_side(spark, {file: partial(cut_lineage, headers(file)) for file in lines})
     kinds = [h.select("archive", F.lit(file).alias("file"), F.size("header").alias("width")) for file, h in found.items()]
     seen = reduce(DataFrame.unionByName, kinds).groupBy("archive").agg(F.countDistinct("file").alias("n"), F.max("width").alias("width"))
     complete = seen.where(F.col("n") == len(lines))
@@ -240,12 +245,16 @@ def read_schedules(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     def read(file: str) -> DataFrame:
         columns = schemas.SCHEDULE_FILES[file]
-        header = found[file].select("path", "header", F.col("line").alias("first"))
+        # the archive is found per header: taken from every line's path it costs more than the parsing
+        header = found[file].join(complete.select("archive"), "archive", "left_semi")
+        header = header.select("archive", "path", "header", F.col("line").alias("first"))
         rows = lines[file].join(header, "path").where((F.col("line") != F.col("first")) & (F.length("line") > 0))
-        parsed = rows.withColumn("row", F.from_csv("line", ", ".join(f"{c} string" for c in slots)))
-        cells = F.array(*[F.col(f"row.{c}") for c in slots])
+        # a lambda reads the parsed line: filters pushed down to here would parse it once per slot
+        parse = F.from_csv("line", ", ".join(f"{c} string" for c in slots))
+        parsed = rows.withColumn("cells", F.transform(F.array(parse), lambda r: F.array(*[r[c] for c in slots]))[0])
+        cells = F.col("cells")
         place = lambda name: F.array_position("header", name).cast("int") - 1
-        return parsed.join(complete.select("archive"), "archive", "left_semi").select(
+        return parsed.select(
             "archive", *[F.get(cells, place(name)).try_cast(kind).alias(name) for name, kind in columns.items()]
         )
 

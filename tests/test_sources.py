@@ -168,6 +168,17 @@ def test_archives_are_read_in_one_scan_whatever_their_column_order(spark, tmp_pa
     assert plans[0] == plans[1]
 
 
+def test_archive_lines_are_parsed_once(spark, tmp_path):
+    """Headers are stored and broadcast; no line is searched for its archive or parsed once per column."""
+    write(f"{tmp_path}/a/stops.txt", "stop_id,stop_name,stop_lat,stop_lon\r\nS1,First,42.0,-71.0\r\n")
+    write(f"{tmp_path}/a/trips.txt", "route_id,service_id,trip_id,direction_id\nR,s,T1,0\n")
+    write(f"{tmp_path}/a/stop_times.txt", "trip_id,arrival_time,stop_id,stop_sequence\nT1,08:00:00,S1,1\n")
+    files = landed.read_schedules(spark, str(tmp_path))
+    plan = files["trips"].where("trip_id IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text") == 1 and plan.count("from_csv") <= 2 and "regexp" not in plan
+    assert values(files["stops"], "archive", "stop_id", "stop_lon") == [("a", "S1", -71.0)]
+
+
 def test_runs_count_once_complete(spark, tmp_path):
     from curbline.sources import tables
 
