@@ -16,6 +16,7 @@ from curbline.llm.tokens import U, chunks, word_hashes
 
 FEATURE_BITS = 18  # word slots of the domain classifier
 MAX_TRAINING_ROWS = 20_000  # bound of the labelled sample it is fitted on
+BLOCK_WORDS = 1 << 18  # words of the sample that a step of the fit looks at together
 EPOCHS, STEP, RIDGE = 120, 0.5, 10.0
 MAX_ROUNDS, TOLERANCE = 150, 1e-4  # targets that rates can meet take a few rounds
 
@@ -70,22 +71,30 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, n
             )
 
     rows = sample.select("key", "text", "domain").mapInArrow(features, "key long, domain string, slots binary").toArrow()
-    rows = rows.to_pandas().sort_values(["key", "domain", "slots"])
-    domains = sorted(rows["domain"].unique()) or [None]
+    rows = rows.sort_by([("key", "ascending"), ("domain", "ascending"), ("slots", "ascending")])
+    domains = sorted(rows.column("domain").unique().to_pylist()) or [None]
     weights, bias = np.zeros((len(domains), 1 << FEATURE_BITS)), np.zeros(len(domains))
     if len(domains) == 1:
         return domains, weights.astype(np.float32), bias
-    y, n = np.searchsorted(domains, rows["domain"].to_numpy()), len(rows)
-    row = np.repeat(np.arange(n, dtype=np.int32), rows["slots"].str.len() // 4)
-    slot = np.frombuffer(b"".join(rows["slots"]), np.int32)
+    n, y = len(rows), np.searchsorted(domains, rows.column("domain").to_pylist())
+    lists = rows.column("slots").cast(pa.large_binary()).combine_chunks()
+    ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + n + 1] // 4
+    slot = np.frombuffer(lists.buffers()[2] or b"", np.int32)
     del rows
+    # a few texts at a time: the temporary arrays of a step are bounded, whatever the sample holds
+    cuts = np.unique(np.searchsorted(ends, np.arange(ends[0], ends[-1], BLOCK_WORDS)).tolist() + [0, n])
     truth = np.eye(len(domains))[y]
     bias = np.log(truth.mean(axis=0) + 1e-9)
     seen, seen_bias = np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
     for _ in range(EPOCHS):
-        error = (_posterior(weights, bias, n, row, slot) - truth) / n
+        error, sums = np.empty_like(truth), np.zeros_like(weights)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            row, own = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), slot[ends[a] : ends[b]]
+            error[a:b] = (_posterior(weights, bias, b - a, row, own) - truth[a:b]) / n
+            for k in range(len(domains)):
+                np.add.at(sums[k], own, error[a:b, k][row])  # in the order of the rows, so blocks change no place
         for k in range(len(domains)):
-            g = np.bincount(slot, weights=error[row, k], minlength=1 << FEATURE_BITS) + RIDGE / n * weights[k]
+            g = sums[k] + RIDGE / n * weights[k]
             seen[k] += g * g
             weights[k] -= STEP * g / np.sqrt(seen[k])
         g = error.sum(axis=0)
