@@ -221,7 +221,8 @@ def _boost(cells: DataFrame, model: Boosted, shape: Shape, parts, loss) -> None:
     n_w, context = held[0], cells.sparkSession.sparkContext
     start = F.array(*[F.lit(float(x)) for x in model.start])
     cells = cells.withColumns({"u": F.pmod(F.xxhash64("bins"), F.lit(1 << 20)) / (1 << 20), "score": start})
-    cells = cut_lineage(cells)
+    # a few MB of cells would be one task; by "u", as rows that lie by "bins" already would stay as they are
+    cells = cut_lineage(cells.repartition(context.defaultParallelism, "u"))
     texts = [n in model.inputs.texts for n in model.inputs.names]
     pending: list[Tree] = []
 

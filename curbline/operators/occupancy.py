@@ -5,11 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,6 +13,7 @@ from pyspark.sql import functions as F
 
 from curbline.functions import places, text, times
 from curbline.operators.boosting import BoostedClassifier, fit_boosted
+from curbline.operators.network import fit_network
 from curbline.session import side_by_side, spread_out
 
 # Split days, iterations, depth, parallel trees and layer sizes.
@@ -26,6 +23,7 @@ TREE_DEPTH, PARALLEL_TREES = 6, 4
 HIDDEN_LAYERS = [64, 32]
 
 BOOST_ROUNDS, FOREST_TREES = 20, 20  # defaults of this library
+FOREST_SHARES = 8  # equal rows are drawn one by one up to this number, and in so many equal shares above it
 
 INPUTS = ["route_id", "current_status", "hour_of_day", "day_of_week", "is_weekend", "lat_bin", "lon_bin"]
 HASH_SLOTS = 128
@@ -109,6 +107,11 @@ def _prepare() -> list:
     ]
 
 
+def counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct values of ``columns`` with their number of rows ``n``: all that a model can tell apart."""
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit_classifiers(
     rows: DataFrame, names: list[str] | None = None, rounds: int = BOOST_ROUNDS, trees: int = PARALLEL_TREES,
     forest: int = FOREST_TREES,
@@ -117,7 +120,8 @@ def fit_classifiers(
 
     ``lr`` logistic regression, ``bt`` boosted trees over all labels (``rounds`` rounds of ``trees`` parallel trees per
     label), ``rf`` a forest of ``forest`` trees, ``dnn`` a neural network. All give a probability per label. Boosting
-    bins its inputs; for the others route and status are hashed into slots, and the other inputs are numbers.
+    bins its inputs; for the others route and status are hashed into slots, and the other inputs are numbers. Every
+    family is fitted on distinct rows and their numbers, so its many passes do not grow with equal rows.
     """
     wanted = names or ["lr", "bt", "rf", "dnn"]
     out: dict[str, PipelineModel | BoostedClassifier] = {}
@@ -132,19 +136,20 @@ def fit_classifiers(
     families = {
         "lr": lambda: LogisticRegression(
             family="multinomial", maxIter=MAX_ITERATIONS, weightCol="weight", **common
-        ),
+        ).fit(ready.withColumn("weight", F.col("weight") * F.col("n"))),
         "rf": lambda: RandomForestClassifier(
             numTrees=forest, maxDepth=TREE_DEPTH, weightCol="weight", seed=SEED, **common
+        ).fit(
+            ready.withColumn("weight", F.col("weight") * F.col("n") / shares).withColumn("_share", F.explode(F.sequence(F.lit(1), shares)))
         ),
-        "dnn": lambda: MultilayerPerceptronClassifier(
-            layers=[HASH_SLOTS, *HIDDEN_LAYERS, len(labels)], maxIter=MAX_ITERATIONS, seed=SEED, **common
-        ),
+        "dnn": lambda: fit_network(ready, HIDDEN_LAYERS, len(labels), MAX_ITERATIONS, SEED),
     }
-    ready = spread_out(prepared.transform(rows).drop("_hashed")).persist()
+    shares = F.least(F.col("n"), F.lit(FOREST_SHARES)).cast("int")
+    cells = counted(rows, [*INPUTS, "label", "weight"])
+    ready = spread_out(prepared.transform(cells).drop("_hashed")).persist()
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-    jobs = {name: (lambda make=families[name]: make().fit(ready)) for name in others}
     try:
-        fitted = side_by_side(rows.sparkSession, jobs)
+        fitted = side_by_side(rows.sparkSession, {name: families[name] for name in others})
     finally:
         ready.unpersist()
     # Labels are indexed for the fit only: scoring neither needs them nor drops rows with unseen ones.
@@ -175,8 +180,9 @@ def label_probabilities(model: PipelineModel | BoostedClassifier, scored: DataFr
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    """Rows per model, true and predicted label."""
-    return predictions.groupBy("model", "label", "predicted_label").agg(F.count("*").alias("n"))
+    """Rows per model, true and predicted label; a row with a number ``n`` counts so often."""
+    number = F.sum("n") if "n" in predictions.columns else F.count("*")
+    return predictions.groupBy("model", "label", "predicted_label").agg(number.alias("n"))
 
 
 def classification_metrics(counts: DataFrame) -> DataFrame:
@@ -200,9 +206,10 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
 
 
 def evaluate(models: dict[str, PipelineModel | BoostedClassifier], rows: DataFrame) -> DataFrame:
-    """One metrics row per model over the same rows."""
+    """One metrics row per model over the same rows; equal rows are scored once."""
+    cells = counted(rows, [*INPUTS, "label"])
     parts = [
-        predict(model, rows).select(F.lit(name).alias("model"), "label", "predicted_label")
+        predict(model, cells).select(F.lit(name).alias("model"), "label", "predicted_label", "n")
         for name, model in models.items()
     ]
     return classification_metrics(confusion(reduce(DataFrame.unionByName, parts)))
