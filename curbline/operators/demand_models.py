@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -18,8 +18,10 @@ from curbline.session import cut_lineage, side_by_side, spread_out
 
 BOOSTING_ROUNDS = 30  # fixed value
 FOREST_TREES, FOREST_DEPTH, BOOSTED_DEPTH = 20, 6, 4  # defaults of this library
+FOREST_SHARES = 8
 CALENDAR = ["day_of_week", "hour", "is_weekend"]
 NUMERIC = ["station_mean", "station_hour_mean", *CALENDAR]
+SCORED_KEY = ["station_id", *CALENDAR]
 SMOOTHING = 5.0
 SEED = 42
 LINEAR, FOREST, BOOSTED, SERIES = "linreg", "random_forest", "boosted_tree", "seasonal_ar"
@@ -83,17 +85,24 @@ def fit_families(
     """Fit the regression families side by side. ``frame`` is read many times: pass a persisted one.
 
     The linear model has one exact coefficient per station and input. Trees see a station by its means, so no list of
-    ids is built.
+    ids is built. The forest is fitted on distinct rows of its inputs and the number, which it draws one by one up to
+    ``FOREST_SHARES`` equal ones, and in so many equal shares above.
     """
+    shares = F.least(F.col("n"), F.lit(FOREST_SHARES)).cast("int")
+    cells = frame.groupBy(*NUMERIC, "y_true").agg(F.count(F.lit(1)).alias("n"))
+    drawn = cells.select(
+        *NUMERIC, "y_true", (F.col("n") / shares).alias("_weight"), F.explode(F.sequence(F.lit(1), shares)).alias("_share")
+    )
     forest = Pipeline(stages=[
         VectorAssembler(inputCols=NUMERIC, outputCol="_numeric"),
         RandomForestRegressor(
-            predictionCol=FOREST, numTrees=trees, maxDepth=forest_depth, featuresCol="_numeric", labelCol="y_true", seed=SEED
+            predictionCol=FOREST, numTrees=trees, maxDepth=forest_depth, featuresCol="_numeric", labelCol="y_true", seed=SEED,
+            weightCol="_weight",
         ),
     ])
     jobs = {
         LINEAR: partial(fit_linear, frame, "station_id", CALENDAR, "y_true", LINEAR),
-        FOREST: partial(forest.fit, frame),
+        FOREST: lambda: forest.fit(spread_out(drawn)),
         BOOSTED: partial(fit_boosted_regression, frame, NUMERIC, "y_true", rounds, depth=boosted_depth),
     }
     return side_by_side(frame.sparkSession, {name: jobs[name] for name in (names or list(jobs))})
@@ -109,6 +118,17 @@ def score(models: dict[str, Model], frame: DataFrame) -> DataFrame:
     return frame
 
 
+def score_keys(models: dict[str, Model], rows: DataFrame, train: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``y_true`` and one prediction column per family, which know a row by its station and calendar only:
+    each such key is scored once, and rows take their key's predictions."""
+    keys = rows.select(*SCORED_KEY).distinct().withColumn(label, F.lit(None).cast("double"))
+    asked = spread_out(model_frame(keys, train, label))
+    scored = cut_lineage(score(models, asked).select(*SCORED_KEY, *models))
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(scored[c]) for c in SCORED_KEY])
+    found = rows.join(scored, same, "left").select(rows["*"], *[scored[n] for n in models])
+    return found.withColumn("y_true", F.col(label).cast("double"))
+
+
 def long_predictions(scored: DataFrame, names: list[str], extra: list[str]) -> DataFrame:
     """One row per model and scored row: ``model_name, y_true, y_pred``."""
     pairs = F.array(
@@ -228,5 +248,5 @@ def compare_families(
         frame.unpersist()
     params = forecast.fit_seasonal_ar(train, label)
     flagged = train.withColumn("holdout", F.lit(False)).unionByName(holdout.withColumn("holdout", F.lit(True)))
-    rows = forecast.one_step_forecast(flagged, features, params, label, SERIES)
-    return models, score(models, model_frame(rows, train, label))
+    scored = score_keys(models, flagged, train, label)
+    return models, forecast.one_step_forecast(scored, features, params, label, SERIES)

@@ -320,7 +320,9 @@ def _scored(t, label):
     """Predictions of all families for every feature row."""
     _, scored = demand_models.compare_families(features(t), label)
     extra = [*CALENDAR_KEY, "station_name", "holdout"]
-    return cut_lineage(demand_models.long_predictions(scored, _FAMILIES, extra))
+    # stored with a column per family: half the size of a row per family, and one pass
+    stored = cut_lineage(scored.select(*extra, "y_true", *_FAMILIES))
+    return demand_models.long_predictions(stored, _FAMILIES, extra)
 
 
 def _selection(t, label):

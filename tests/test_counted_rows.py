@@ -6,7 +6,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from curbline.operators import boosting, network, occupancy
+from curbline.operators import boosting, demand_models, network, occupancy
 from tests.conftest import values
 
 
@@ -59,3 +59,23 @@ def test_cells_of_boosting_are_dealt_over_the_cores(frame, monkeypatch):
     rows = frame([("ab"[i % 2], 1.0, i) for i in range(400)], "label string, weight double, hour int")
     boosting.fit_boosted(rows, ["hour"], rounds=1, bins=400)
     assert len(stored[0].inputFiles()) > 1
+
+
+def test_each_station_and_calendar_key_is_scored_once(frame, monkeypatch):
+    schema = "station_id string, station_name string, day_of_week int, hour int, is_weekend int, pickups long"
+    rows = [(str(i % 2), "s", 1 + h // 12 % 7, h % 12, 0, h % 12 + 3 * (i % 2)) for i in range(6) for h in range(48)]
+    train = frame(rows, schema)
+    models = demand_models.fit_families(demand_models.model_frame(train, train, "pickups"), trees=3, rounds=3)
+    asked = frame([*rows, ("new", None, 2, 5, 0, 4)], schema)
+    want = demand_models.score(models, demand_models.model_frame(asked, train, "pickups"))
+    seen, plain = [], demand_models.score
+
+    def noted(given, keys):
+        seen.append(keys.count())
+        return plain(given, keys)
+
+    monkeypatch.setattr(demand_models, "score", noted)
+    got = demand_models.score_keys(models, asked, train, "pickups")
+    columns = [*demand_models.SCORED_KEY, "y_true", *[F.round(m, 9).alias(m) for m in models]]
+    assert values(got, *columns) == values(want, *columns)
+    assert seen == [2 * 48 + 1] and got.count() == 289
