@@ -185,9 +185,11 @@ def arrival_pickup_correlation(
 ) -> DataFrame:
     """Correlation of hourly transit arrivals with bike pickups in reach, per station.
 
-    Hours in which at least one of the two happens take part. NULL where either is constant.
+    Hours in which at least one of the two happens take part. NULL where either is constant. Stations at one place
+    share its pickups, whose hours are summed once per place: only hours with arrivals are joined to them, so the
+    work grows with the rows of both sides and not with stations x hours.
     """
-    stops = coverage.unique_stations(transit)
+    stops = coverage.unique_stations(transit).select("station_id", "lat", "lng")
     arrivals = (
         scheduled.filter(F.col("scheduled_end_time").isNotNull())
         .groupBy(
@@ -214,19 +216,52 @@ def arrival_pickup_correlation(
         pairs.join(starts, ["near_lat", "near_lng"])
         .groupBy("lat", "lng", "ts_hour")
         .agg(F.sum("n").alias("pickups"))
-        .join(stops.select("station_id", "lat", "lng"), ["lat", "lng"])
-        .select("station_id", "ts_hour", "pickups")
     )
-    both = arrivals.join(pickups, ["station_id", "ts_hour"], "full").fillna(
-        0, ["arrivals", "pickups"]
+    by_place = pickups.groupBy("lat", "lng").agg(*_sums("pickups")).join(stops, ["lat", "lng"]).drop("lat", "lng")
+    # null-safe, as an hour of pickups may be NULL: a plain join would filter it and compute the pickups once more
+    there = pickups.select(F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"), F.col("ts_hour").alias("at_hour"), "pickups")
+    same = (F.col("lat") == F.col("at_lat")) & (F.col("lng") == F.col("at_lng")) & F.col("ts_hour").eqNullSafe(F.col("at_hour"))
+    by_station = (
+        arrivals.join(stops, "station_id", "left")
+        .join(there, same, "left")
+        .groupBy("station_id")
+        .agg(
+            *_sums("arrivals"),
+            F.count("pickups").alias("shared"),
+            F.sum(F.col("arrivals") * F.col("pickups")).alias("products"),
+        )
+    )
+    both = by_station.join(by_place, "station_id", "full")
+    both = both.na.fill(0, [c for c in both.columns if c != "station_id"])
+    both = both.withColumn("hours", F.col("hours_arrivals") + F.col("hours_pickups") - F.col("shared"))
+    spread = F.sqrt(_centred("squares_arrivals", "sum_arrivals", "sum_arrivals")) * F.sqrt(
+        _centred("squares_pickups", "sum_pickups", "sum_pickups")
     )
-    spread = F.stddev_pop("arrivals") * F.stddev_pop("pickups")
-    return both.groupBy("station_id").agg(
-        F.count("*").alias("hours"),
-        F.try_divide(F.covar_pop("arrivals", "pickups"), spread).alias("correlation"),
+    return both.select(
+        "station_id",
+        "hours",
+        F.try_divide(_centred("products", "sum_arrivals", "sum_pickups"), spread).alias("correlation"),
     )
 
 
+def _sums(column: str) -> list[Column]:
+    """Hours, sum and sum of squares of a count per hour."""
+    return [
+        F.count("*").alias(f"hours_{column}"),
+        F.sum(column).alias(f"sum_{column}"),
+        F.sum(F.col(column) * F.col(column)).alias(f"squares_{column}"),
+    ]
+
+
+def _centred(products: str, left: str, right: str) -> Column:
+    """``hours * products - left * right`` of whole numbers, exact until the end."""
+
+    def product(a: str, b: str) -> Column:
+        return F.col(a).cast("decimal(18,0)") * F.col(b).cast("decimal(19,0)")
+
+    return (product("hours", products) - product(left, right)).cast("double")
+
+
 CONNECTIVITY_SIGNS = {
     "distance_to_nearest_m": -1,
     "bikes_within_near": 1,
