@@ -90,3 +90,55 @@ def test_forest_connects_what_the_pairs_connect():
         if m < 100:
             assert groups(a, b) == groups(a[kept], b[kept])
         assert len(kept) <= max(n - 1, 0)
+
+
+def test_structureless_vectors_are_stored_twice_at_most(spark, frame, monkeypatch):
+    """Vectors that lie near the borders of most cells cost products, not disk: none is copied per cell."""
+    rng, taken = np.random.default_rng(8), []
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    x[:60] = x[100:160] + rng.normal(scale=0.02, size=(60, 64))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+
+    def counted(df, keep=embeddings.stored):
+        out = keep(df)
+        binary = [c for c, kind in out.dtypes if kind == "binary"]
+        if binary:
+            taken.append(out.selectExpr(f"coalesce(sum({' + '.join(f'octet_length({c})' for c in binary)}), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+    monkeypatch.setattr(embeddings, "stored", counted)
+    assert run(frame, rows) == brute(rows)
+    assert sum(taken) <= 2.5 * x.nbytes
+
+
+def test_cosines_within_single_precision_of_the_bound(frame, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+    rng = np.random.default_rng(2)
+    turns = np.arccos(0.95 + rng.uniform(-1e-6, 1e-6, 60))
+    angles = np.cumsum(np.concatenate([[0.1], turns]))  # neighbours are at the bound, all others apart or beyond a turn
+    vectors = [[float(np.cos(t)), float(np.sin(t)), float(k // 15)] for k, t in enumerate(angles)]
+    rows = list(enumerate(vectors))
+    out = near_duplicates(frame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute(rows)
+
+
+def test_spanning_connects_rows_and_columns():
+    rng = np.random.default_rng(6)
+    for n, m, share in ((1, 1, 1.0), (40, 30, 0.02), (60, 80, 0.5), (50, 50, 1.0)):
+        hit = rng.random((n, m)) < share
+        hit[: n // 2, m // 2 :] = hit[n // 2 :, : m // 2] = False
+        a, b = embeddings.spanning(hit)
+        assert hit[a, b].all() and len(a) < n + m
+
+        def groups(x, y):
+            label = np.arange(n + m)
+            for _ in range(n + m):
+                before = label.copy()
+                for i, j in zip(x, n + y, strict=True):
+                    label[i] = label[j] = min(label[i], label[j])
+                if (before == label).all():
+                    break
+            return label.tolist()
+
+        assert groups(a, b) == groups(*np.nonzero(hit))
