@@ -19,9 +19,11 @@ MAX_SAMPLE = 20_000  # bound of the sample that the cell centres are fitted on
 MAX_CELLS = 4_096  # bound of the centres that are broadcast
 CELL_ROWS = 2_048  # vectors a cell is meant to hold
 BLOCK = 2_048  # vectors of one side of a product, at most
-SLAB = 128  # vectors of the left side that share one bound between two cells
-CHUNK_BYTES = 1 << 22  # vectors that travel together, in bytes
-PART_CHUNKS = 8  # chunks of one partition: a task meets the square of it
+SLAB = 128  # vectors of the left side that share one bound between two cells, at most
+SLABS = np.concatenate([[0, 16, 48], np.arange(112, 1 << 22, SLAB)])  # where they begin: the nearest meet the most
+LEAD = 24  # leading components that are compared first
+CHUNK_ROWS, CHUNK_BYTES = 32_768, 1 << 23  # bounds of the vectors that travel together
+PART_CHUNKS = 2  # chunks of one partition: a task meets the square of it
 ROUNDS = 8
 
 
@@ -71,13 +73,15 @@ def _matrix(column: pa.Array, width: int, kind: str = "f8") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def fit_centres(classes: DataFrame, width: int, cells: int, kind: str = "f8", seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def fit_centres(
+    classes: DataFrame, width: int, cells: int, kind: str = "f8", seed: int = 11
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spherical k-means on the ``MAX_SAMPLE`` vectors with the smallest id hash: (centres, vectors of the sample
-    that each is the nearest of)."""
+    that each is the nearest of, the sample's ``LEAD`` principal directions as orthonormal columns)."""
     sample = classes.orderBy(F.xxhash64("id"), "id", "key").limit(MAX_SAMPLE).select("v").toArrow()
     x, rng = _unit(_matrix(sample["v"].combine_chunks(), width, kind))[0], np.random.default_rng(seed)
     if not len(x):
-        return np.eye(1, width), np.zeros(1, np.int64)
+        return np.eye(1, width), np.zeros(1, np.int64), np.eye(width, min(LEAD, width))
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
 
     def nearest() -> np.ndarray:
@@ -88,7 +92,9 @@ def fit_centres(classes: DataFrame, width: int, cells: int, kind: str = "f8", se
         np.add.at(sums, nearest(), x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norm > 1e-9, sums / np.where(norm > 1e-9, norm, 1), centres)
-    return centres, np.bincount(nearest(), minlength=len(centres))
+    moved = x - x.mean(axis=0)
+    lead = np.linalg.eigh(moved.T @ moved)[1][:, ::-1][:, :LEAD]
+    return centres, np.bincount(nearest(), minlength=len(centres)), lead
 
 
 def chunked(classes: DataFrame, centres: np.ndarray, held: np.ndarray, width: int, kind: str, rows: int) -> DataFrame:
@@ -167,8 +173,8 @@ def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.nonzero(hit)
     else:  # the first place of each row and column, then what lies between their trees
         i, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-        a, b = np.concatenate([i, hit[:, j].argmax(axis=0)]), np.concatenate([hit[i].argmax(axis=1), j])
-        root = _trees(a, n + b, n + m)[1]
+        a, b = np.concatenate([i, hit.argmax(axis=0)[j]]), np.concatenate([hit.argmax(axis=1)[i], j])
+        root = _trees(a, n + b, n + m)[1].astype(np.int32)
         more_a, more_b = np.nonzero(hit & (root[:n, None] != root[None, n:]))
         a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
     tree = forest(a, n + b, n + m)
@@ -176,16 +182,24 @@ def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Vectors of neighbouring cells, in single precision, and as stored."""
+    """Vectors of neighbouring cells, in single precision, and as stored.
 
-    def __init__(self, ids: bytes, copies: bytes, cells: bytes, v: bytes, centres: np.ndarray, kind: str):
+    ``lead`` holds minus half the square of a vector's leading components, 1 and these components: with the first
+    two changed about on one side, a product of rows is minus half the squared distance in leading components.
+    """
+
+    def __init__(self, ids: bytes, copies: bytes, cells: bytes, v: bytes, centres: np.ndarray, lead: np.ndarray, kind: str):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
         self.raw, cell = np.frombuffer(v, kind).reshape(-1, centres.shape[1]), np.frombuffer(cells, np.int32)
-        self.x = _unit(self.raw)[0].astype(np.float32)
+        self.x = np.empty(self.raw.shape, np.float32)
+        for at in range(0, len(cell), 2048):
+            self.x[at : at + 2048] = _unit(self.raw[at : at + 2048])[0]
         self.cells, self.starts = np.unique(cell, return_index=True)
         self.ends = np.append(self.starts[1:], len(cell))
         self.own = np.einsum("ij,ij->i", self.x, centres[cell])
         self.links = np.zeros(len(cell), np.int64)
+        z = self.x @ lead
+        self.lead = np.hstack([-(z * z).sum(axis=1, keepdims=True) / 2, np.ones((len(z), 1), np.float32), z])
 
 
 class Products:
@@ -194,14 +208,18 @@ class Products:
     With x, y unit vectors, x in cell i, y in cell j: (x(c_i - c_j)) + (y(c_j - c_i)) <= |x - y| |c_i - c_j|, and
     |x - y| <= sqrt(2 - 2 cosine) if they are linked. So a link needs both sides near the border of their cells,
     and near in sum: the sides are sorted by that distance, and each ``SLAB`` of the left one meets only the
-    right ones within the bound. It holds for any centres and loses no link. Products are taken in single
-    precision; those within its error of ``cosine`` are taken again in double precision.
+    right ones within the bound. It holds for any centres and loses no link. What is left is compared in its
+    leading components first, whose distance is no larger than that of the vectors, as long as that saves work.
+    Products are taken in single precision; those within its error of ``cosine`` are taken again in double
+    precision.
     """
 
-    def __init__(self, centres: np.ndarray, cosine: float, reach: float | None):
+    def __init__(self, centres: np.ndarray, lead: np.ndarray, cosine: float, reach: float | None):
         self.centres, self.cosine, self.reach = centres.astype(np.float32), cosine, reach
+        self.lead, self.tried, self.failed = lead.astype(np.float32), 0, 0
         self.error = 1.2e-7 * (centres.shape[1] + 16)
         self.bound = np.sqrt(2 - 2 * cosine) + 1e-9
+        self.apart = -(self.bound**2) / 2 - 8 * self.error
         self.a: list[np.ndarray] = []
         self.b: list[np.ndarray] = []
 
@@ -211,12 +229,13 @@ class Products:
 
     def meet(self, left: Chunk, right: Chunk) -> None:
         """All links between two chunks, or within one."""
+        self.tried = self.failed = 0
         beyond = left.own - self.centres[right.cells] @ left.x.T  # per cell of the right, how far x lies from it
         back = right.own - self.centres[left.cells] @ right.x.T
         least = np.minimum.reduceat(beyond, left.starts, axis=1).T
         least_back = np.minimum.reduceat(back, right.starts, axis=1)
         gaps = self.gaps(left.cells, right.cells)
-        limit = self.bound * gaps + 4 * self.error
+        limit = (self.bound * gaps + 4 * self.error).astype(np.float32)
         same = left.cells[:, None] == right.cells
         near = same | (least + least_back <= limit)
         if left is right:
@@ -225,8 +244,12 @@ class Products:
         for i, j in zip(*np.nonzero(near), strict=True):
             x, y = np.arange(left.starts[i], left.ends[i]), np.arange(right.starts[j], right.ends[j])
             if same[i, j]:
-                for at in range(0, len(x), BLOCK):
-                    self.tiles(left, right, x[at : at + BLOCK], y[at if left is right else 0 :], edges, left is right)
+                step = min(BLOCK, 256) if left is right else BLOCK
+                for at in range(0, len(x), step):
+                    block = x[at : at + step]
+                    if left is right:
+                        self.tiles(left, right, block, block, edges, True)
+                    self.tiles(left, right, block, y[at + step :] if left is right else y, edges, False)
                 continue
             far, far_back = beyond[j, x], back[i, y]
             take, take_back = far <= limit[i, j] - least_back[i, j], far_back <= limit[i, j] - least[i, j]
@@ -236,20 +259,36 @@ class Products:
                     take &= far <= visit
                 else:
                     take_back &= far_back <= visit
-            x, y, far, far_back = x[take], y[take_back], far[take], far_back[take_back]
+            x, y = x[take], y[take_back]
+            far, far_back = far[take], far_back[take_back]
             order, order_back = far.argsort(), far_back.argsort()
-            x, y, far, far_back = x[order], y[order_back], far[order], far_back[order_back]
-            slab = min(SLAB, BLOCK)
-            for at, n in zip(range(0, len(x), slab), np.searchsorted(far_back, limit[i, j] - far[::slab], "right"), strict=True):
-                if not n:
-                    break
-                self.tiles(left, right, x[at : at + slab], y[:n], edges, False)
+            far, far_back = far.take(order), far_back.take(order_back)
+            starts = SLABS[: np.searchsorted(SLABS, len(x))]
+            ends = np.searchsorted(far_back, limit[i, j] - far.take(starts), "right")
+            slabs = np.count_nonzero(ends)
+            if not slabs:
+                continue
+            x, y = x.take(order[: SLABS[slabs]]), y.take(order_back[: ends[0]])
+            first = self.first(left)
+            u, v, bound = (left.lead, right.lead, self.apart) if first else (left.x, right.x, self.cosine - self.error)
+            u, v = u.take(x, axis=0), v.take(y, axis=0)
+            if first:
+                v[:, :2] = v[:, 1::-1]
+            for at, to, n in zip(SLABS, SLABS[1:], ends[:slabs], strict=False):
+                self.tried += first
+                if (u[at:to] @ v[:n].T).max() >= bound:
+                    self.failed += first
+                    self.tiles(left, right, x[at:to], y[:n], edges, False)
         if edges:
             a, b = (np.concatenate(e) for e in zip(*edges, strict=True))
             tree = forest(a, b if left is right else b + len(left.ids), len(left.ids) + len(right.ids))
             self.a.append(left.ids[a[tree]])
             self.b.append(right.ids[b[tree]])
 
+    def first(self, left: Chunk) -> bool:
+        """Whether leading components are worth their own product: few components less, or many failures, are not."""
+        return 2 * left.lead.shape[1] <= left.x.shape[1] and 2 * self.failed <= self.tried + 100
+
     def tiles(self, left: Chunk, right: Chunk, x: np.ndarray, y: np.ndarray, edges: list, upper: bool) -> None:
         """Links of the places ``x`` with the places ``y``; with ``upper`` only those with a larger place."""
         u = left.x[x]
@@ -258,27 +297,37 @@ class Products:
             score = u @ right.x[rows].T
             if score.max() < self.cosine - self.error:
                 continue
-            hit = score >= self.cosine + self.error
-            doubt = (score >= self.cosine - self.error) & ~hit
-            i, j = np.nonzero(doubt)
-            for k in range(0, len(i), 1 << 14):
-                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                exact = (_unit(left.raw[x[p]])[0] * _unit(right.raw[rows[q]])[0]).sum(axis=1)
-                hit[p, q] = exact >= self.cosine
+            if not upper and score.min() >= self.cosine + self.error:  # all are linked
+                left.links[x] += right.copies[rows].sum()
+                right.links[rows] += left.copies[x].sum()
+                edges.append((np.concatenate([np.full(len(rows), x[0]), x[1:]]), np.append(rows, np.full(len(x) - 1, rows[0]))))
+                continue
+            hit, low = score >= self.cosine + self.error, score >= self.cosine - self.error
+            if np.count_nonzero(low) > np.count_nonzero(hit):
+                i, j = np.nonzero(low & ~hit)
+                for k in range(0, len(i), 1 << 14):
+                    p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    exact = (_unit(left.raw[x[p]])[0] * _unit(right.raw[rows[q]])[0]).sum(axis=1)
+                    hit[p, q] = exact >= self.cosine
             if upper:
                 hit &= x[:, None] < rows
             if not hit.any():
                 continue
-            i, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-            hit = hit[np.ix_(i, j)]
-            some = hit.astype(np.float64)
-            left.links[x[i]] += (some @ right.copies[rows[j]].astype(np.float64)).astype(np.int64)
-            right.links[rows[j]] += (left.copies[x[i]].astype(np.float64) @ some).astype(np.int64)
+            if 16 * np.count_nonzero(hit) <= hit.size:
+                i, j = np.nonzero(hit)
+                np.add.at(left.links, x[i], right.copies[rows[j]])
+                np.add.at(right.links, rows[j], left.copies[x[i]])
+            else:
+                some = hit.astype(np.float64)
+                left.links[x] += (some @ right.copies[rows].astype(np.float64)).astype(np.int64)
+                right.links[rows] += (left.copies[x].astype(np.float64) @ some).astype(np.int64)
             a, b = spanning(hit)
-            edges.append((x[i[a]], rows[j[b]]))
+            edges.append((x[a], rows[b]))
 
 
-def links(chunks: DataFrame, centres: np.ndarray, cosine: float, kind: str, reach: float | None = None) -> DataFrame:
+def links(
+    chunks: DataFrame, centres: np.ndarray, lead: np.ndarray, cosine: float, kind: str, reach: float | None = None
+) -> DataFrame:
     """(kind, a, b): kind 0 adds b links to vector a, kind 1 is an edge (a, b) of a spanning forest.
 
     Each two chunks meet once, by a Cartesian product of partitions that are read where they are stored: no
@@ -291,14 +340,14 @@ def links(chunks: DataFrame, centres: np.ndarray, cosine: float, kind: str, reac
     # one of the two orders of a pair, dealt by a hash, so that no part of the product has them all
     once = (F.col("l_chunk") < F.col("r_chunk")) == (F.pmod(F.xxhash64(low, high), F.lit(2)) == 0)
     met = sides[0].hint("shuffle_replicate_nl").join(sides[1], (F.col("l_chunk") == F.col("r_chunk")) | once)
-    shared = chunks.sparkSession.sparkContext.broadcast(centres)
+    shared = chunks.sparkSession.sparkContext.broadcast((centres, lead))
 
     def rows(number: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         kinds = pa.array(np.full(len(a), number), pa.int32())
         return pa.RecordBatch.from_arrays([kinds, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        products, held = Products(shared.value, cosine, reach), {}
+        products, held = Products(*shared.value, cosine, reach), {}
 
         def counted(chunk: Chunk) -> pa.RecordBatch:
             some = np.flatnonzero(chunk.links)
@@ -313,7 +362,7 @@ def links(chunks: DataFrame, centres: np.ndarray, cosine: float, kind: str, reac
                         held[number] = held.pop(number)  # used last
                     else:
                         cells = [batch.column(side + c)[k].as_py() for c in range(1, len(names))]
-                        held[number] = Chunk(*cells, products.centres, kind)
+                        held[number] = Chunk(*cells, products.centres, products.lead, kind)
                     pair.append(held[number])
                 products.meet(*pair)
                 while len(held) > PART_CHUNKS + 2:
@@ -351,15 +400,16 @@ def near_duplicates(
     release(spark)
     total = classes.count()
     cells = min(MAX_CELLS, max(1, -(-total // CELL_ROWS)))
-    centres, held = fit_centres(classes, width, cells, kind)
+    centres, held, lead = fit_centres(classes, width, cells, kind)
     # at least so many chunks that all cores meet some of their products
     side = math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism))
-    fit = max(1, CHUNK_BYTES // (width * np.dtype(kind).itemsize))
+    fit = max(1, min(CHUNK_ROWS, CHUNK_BYTES // (width * np.dtype(kind).itemsize)))
     size = min(fit, max(CELL_ROWS, -(-total // side)))
     chunks = chunked(classes, centres, held, width, kind, size)
+    release(spark)  # the shuffle of the classes, if it is still there
     chunks = stored(chunks.coalesce(max(side, -(-total // (size * PART_CHUNKS)))))
     release(spark)
-    found = stored(links(chunks, centres, cosine, kind, reach))
+    found = stored(links(chunks, centres, lead, cosine, kind, reach))
     del chunks
     release(spark)
     groups = components(found.where("kind = 1").select("a", "b"))
